@@ -17,6 +17,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptorium.llm.minhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), percent=75).drop("rid")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scriptorium.llm.packing import pack_texts
 
