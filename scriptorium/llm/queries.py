@@ -17,6 +17,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptorium.llm.suffix_dedup import remove_repeats
+
+    removed = remove_repeats(_table(spark, sf_dir, "documents"), length=400)
+    return removed.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scriptorium.llm.minhash import near_duplicates
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -35,10 +36,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: its lineage ends there.
 
     Lost executors cost nothing that was written; later passes do not repeat the work.
+    The shuffle files of earlier steps go when the driver collects its garbage, so it does.
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
