@@ -17,6 +17,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptorium.llm.embedding_dedup import embedding_duplicates
+
+    return embedding_duplicates(_table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scriptorium.llm.suffix_dedup import remove_repeats
 
