@@ -39,7 +39,7 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scriptorium.llm.packing import pack_texts
 
-    packed = pack_texts(_table(spark, sf_dir, "documents"), _path("byte_bpe_50k.json"), size=2048)
+    packed = pack_texts(_table(spark, sf_dir, "documents"), _path("byte_bpe_50k.json"), _path("byte_bpe_50k.tiktoken"), size=2048)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
