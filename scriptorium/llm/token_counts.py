@@ -92,7 +92,7 @@ def frequent_lengths(rows: DataFrame, model: str, sample_rows: int, table_size:
     if not counter.splits:
         return {}
     seen: Counter = Counter()
-    for row in rows.select("text").where("text IS NOT NULL").limit(sample_rows).toLocalIterator():
+    for row in rows.select("text").where("text IS NOT NULL").where(F.pmod(F.xxhash64("text"), F.lit(16)) == 0).limit(sample_rows).collect():
         seen.update(p for p in counter.pre_tokens(row.text) if len(p) <= counter.longest)
     top = [p for p, _ in seen.most_common(table_size)]
     return dict(zip(top, counter.lengths(top)))
