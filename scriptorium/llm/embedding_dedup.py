@@ -3,7 +3,8 @@
 Vectors go to the nearest of a bounded number of pivots, and each pivot's cell to blocks
 of bounded size, however many vectors one cell holds.  A block has a cover tree.  Pairs
 of cells, then of blocks, are dropped by their covering radii; the other pairs of blocks
-are traversed together.  A pair of nodes that is close as a whole is counted, not
+are traversed together, a tile of some blocks by some blocks in a task, so that a block
+travels once for each tile and not for each pair.  A pair of nodes that is close as a whole is counted, not
 enumerated, so a large group of near copies costs its size and not its square; a task
 returns a row for each vector that has links, with their number and a representative.
 
@@ -19,24 +20,24 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm.graph import components
 from scriptorium.llm.shared import map_batches, written
+from scriptorium.session import ship
 
 BLOCK = 4096
+#: Blocks on a side of a tile.
+SIDE = 3
 PIVOTS = 64
 SAMPLE = 4096
 SALTS = 16
 
 
-def _units(batch: list) -> np.ndarray:
-    x = np.array(batch, np.float64)
+def _units(x: np.ndarray) -> np.ndarray:
+    x = np.asarray(x, np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def usable(vector) -> bool:
-    """Neither null nor empty nor zero, and without null or non-finite components."""
-    if vector is None or not len(vector) or any(v is None for v in vector):
-        return False
-    x = np.asarray(vector, np.float64)
-    return bool(np.isfinite(x).all() and x.any())
+def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """A list column whose lists have one width, as it is stored."""
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
 
 
 def pivots_of(rows: DataFrame, many: int, sample: int) -> np.ndarray:
@@ -45,7 +46,7 @@ def pivots_of(rows: DataFrame, many: int, sample: int) -> np.ndarray:
     if not drawn:
         return np.zeros((0, 0))
     wide = max({len(r.vector) for r in drawn}, key=lambda n: (sum(len(r.vector) == n for r in drawn), n))
-    x = _units([r.vector for r in drawn if len(r.vector) == wide])
+    x = _units(np.array([r.vector for r in drawn if len(r.vector) == wide]))
     chosen, nearest = [0], x @ x[0]
     while len(chosen) < min(many, len(x)):
         chosen.append(int(nearest.argmin()))
@@ -65,38 +66,38 @@ def _assigned(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
                     cells.append(-len(v))
                     angles.append(float(np.pi))
                     continue
-                cosines = pivots @ _units([v])[0]
+                cosines = pivots @ _units(np.array([v]))[0]
                 cells.append(int(cosines.argmax()))
                 angles.append(float(np.arccos(np.clip(cosines.max(), -1, 1))))
             return {"rid": batch.column("rid"), "vector": batch.column("vector"), "cell": cells, "angle": angles}
 
         return fill
 
-    return map_batches(rows, start, "rid long, vector array<double>, cell int, angle double")
+    return map_batches(rows, start, f"rid long, vector {rows.schema['vector'].dataType.simpleString()}, cell int, angle double")
 
 
 def _blocks(assigned: DataFrame, block: int) -> DataFrame:
-    """block, cell, reach, rids, vectors (as bytes): a row for each block of at most some ``block`` vectors."""
+    """block, side, cell, reach, rids, vectors (as bytes): a row for each block of some ``block`` vectors at most."""
     cells = assigned.groupBy("cell").agg(F.count("*").alias("n")).select("cell", F.ceil(F.col("n") / block).cast("int").alias("parts"))
     dealt = assigned.join(F.broadcast(cells), "cell")  # a row a pivot, and one a width
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int"))
 
     def gather(table: pa.Table) -> pa.Table:
-        rids = np.array(table.column("rid").to_pylist(), np.int64)
+        rids = table.column("rid").to_numpy()
         order = np.argsort(rids, kind="stable")
-        units = _units(table.column("vector").to_pylist())[order]
         cell, part = table.column("cell")[0].as_py(), table.column("part")[0].as_py()
+        vectors = _matrix(table.column("vector"), len(table.column("vector")[0]))[order]
         return pa.table({
-            "block": pa.array([cell * 1_000_003 + part], pa.int64()), "cell": pa.array([cell], pa.int32()),
-            "reach": [max(table.column("angle").to_pylist())], "n": pa.array([len(rids)], pa.int32()),
-            "rids": [rids[order].tobytes()], "vectors": pa.array([units.tobytes()], pa.large_binary()).cast(pa.binary()),
+            "block": pa.array([cell * 1_000_003 + part], pa.int64()), "side": pa.array([cell * 1_000_003 + part // SIDE], pa.int64()),
+            "cell": pa.array([cell], pa.int32()), "reach": [float(table.column("angle").to_numpy().max())],
+            "rids": [rids[order].tobytes()], "vectors": [vectors.tobytes()],
         })
 
-    return dealt.groupBy("cell", "part").applyInArrow(gather, "block long, cell int, reach double, n int, rids binary, vectors binary")
+    return dealt.groupBy("cell", "part").applyInArrow(gather, "block long, side long, cell int, reach double, rids binary, vectors binary")
 
 
 def _pairs(blocks: DataFrame, pivots: np.ndarray, limit: float) -> DataFrame:
-    """Pairs of blocks (a <= b) that covering radii cannot tell apart.
+    """Pairs of blocks (a <= b), and their sides, that covering radii cannot tell apart.
 
     The cells' largest radii, one number a pivot, come to the driver; the list of cell
     pairs has at most half of PIVOTS squared entries.
@@ -107,41 +108,35 @@ def _pairs(blocks: DataFrame, pivots: np.ndarray, limit: float) -> DataFrame:
     near = [(int(c), int(d), float(apart[c, d])) for c in reach for d in reach if 0 <= c <= d and apart[c, d] <= reach[c] + reach[d] + limit + 1e-6]
     near += [(int(c), int(c), 0.0) for c in reach if c < 0]
     cells = spark.createDataFrame(near, "cell int, other int, apart double")
-    one = blocks.select("cell", F.col("block").alias("a"), F.col("reach").alias("reach_a"))
-    two = blocks.select(F.col("cell").alias("other"), F.col("block").alias("b"), F.col("reach").alias("reach_b"))
+    one = blocks.select("cell", F.col("block").alias("a"), F.col("reach").alias("reach_a"), F.col("side").alias("side_a"))
+    two = blocks.select(F.col("cell").alias("other"), F.col("block").alias("b"), F.col("reach").alias("reach_b"), F.col("side").alias("side_b"))
     found = one.join(F.broadcast(cells), "cell").join(two, "other")
-    return found.where(f"(cell < other OR a <= b) AND apart <= reach_a + reach_b + {limit + 1e-6}").select("a", "b")
+    return found.where(f"(cell < other OR a <= b) AND apart <= reach_a + reach_b + {limit + 1e-6}").select("a", "b", "side_a", "side_b")
 
 
-def _links(blocks: DataFrame, pairs: DataFrame, cosine: float) -> DataFrame:
+def _links(blocks: DataFrame, pairs: DataFrame, cosine: float, item: str) -> DataFrame:
     """rid, n, root: a row for each vector and pair of blocks in which it has links."""
-    left = blocks.select(F.col("block").alias("a"), F.col("rids").alias("rids_a"), F.col("vectors").alias("vectors_a"))
-    right = blocks.select(F.col("block").alias("b"), F.col("rids").alias("rids_b"), F.col("vectors").alias("vectors_b"))
-    tasks = blocks.sparkSession.sparkContext.defaultParallelism * 4
-    joined = pairs.join(left, "a").join(right, "b").repartition(tasks, "a", "b")
-
-    def compare(batches):
+    pairs = written(pairs.withColumn("tile", F.struct("side_a", "side_b")), "pairs")
+    todo = pairs.groupBy("tile").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))  # SIDE squared at most
+    wanted = pairs.select("tile", F.explode(F.array("a", "b")).alias("block")).distinct()
+    payload = wanted.join(blocks.select("block", "rids", "vectors"), "block").withColumn("pairs", F.lit(None).cast("array<struct<a:bigint,b:bigint>>"))
+    heads = todo.select("tile", F.lit(None).cast("long").alias("block"), F.lit(None).cast("binary").alias("rids"), F.lit(None).cast("binary").alias("vectors"), "pairs")
+    rows = payload.select("tile", "block", "rids", "vectors", "pairs").unionAll(heads)
+
+    def compare(table: pa.Table) -> pa.Table:
         from scriptorium.llm.cover_tree import build, link_blocks
 
-        trees: dict = {}
-
-        def tree(block: int, rids: bytes, vectors: bytes):
-            if block not in trees:
-                if len(trees) > 4:
-                    trees.clear()
-                ids = np.frombuffer(rids, np.int64)
-                trees[block] = ids, build(np.frombuffer(vectors, np.float64).reshape(len(ids), -1))
-            return trees[block]
-
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = {n: batch.column(n)[k].as_py() for n in batch.schema.names}
-                ids_a, a = tree(row["a"], row["rids_a"], row["vectors_a"])
-                ids_b, b = tree(row["b"], row["rids_b"], row["vectors_b"])
-                rid, n, root = link_blocks(a, b, ids_a, ids_b, cosine, row["a"] == row["b"])
-                yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(n, pa.int64()), pa.array(root, pa.int64())], names=["rid", "n", "root"])
+        trees, todo = {}, []
+        for row in table.select(["block", "rids", "vectors", "pairs"]).to_pylist():
+            if row["block"] is None:
+                todo += [(p["a"], p["b"]) for p in row["pairs"]]
+            else:
+                ids = np.frombuffer(row["rids"], np.int64)
+                trees[row["block"]] = ids, build(_units(np.frombuffer(row["vectors"], item).reshape(len(ids), -1)))
+        found = [link_blocks(trees[a][1], trees[b][1], trees[a][0], trees[b][0], cosine, a == b) for a, b in sorted(todo)]
+        return pa.table({n: pa.array(np.concatenate([f[i] for f in found]), pa.int64()) for i, n in enumerate(("rid", "n", "root"))})
 
-    return joined.mapInArrow(compare, "rid long, n long, root long")
+    return rows.groupBy("tile").applyInArrow(compare, "rid long, n long, root long")
 
 
 def embedding_duplicates(df: DataFrame, cosine: float = 0.9, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
@@ -152,16 +147,19 @@ def embedding_duplicates(df: DataFrame, cosine: float = 0.9, key: str = "vec_id"
     link with each other.  A null key counts as larger than any.  Empty table: no rows;
     other columns are not read.
     """
-    rows = written(df.select(F.col(f"`{key}`").alias("vec_id"), F.col(f"`{vector}`").cast("array<double>").alias("vector")).withColumn("rid", F.monotonically_increasing_id()), "vectors")
+    ship(df.sparkSession)
+    single = df.schema[vector].dataType.simpleString() == "array<float>"  # kept as it is; every cosine is computed in doubles
+    vectors = F.col(f"`{vector}`") if single else F.col(f"`{vector}`").cast("array<double>")
+    rows = written(df.select(F.col(f"`{key}`").alias("vec_id"), vectors.alias("vector")).withColumn("rid", F.monotonically_increasing_id()), "vectors")
     some = F.exists("vector", lambda x: x != 0)
     fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     good = rows.where(F.coalesce(some & fine, F.lit(False)))
-    pivots = pivots_of(good, PIVOTS, SAMPLE)
+    pivots = pivots_of(good, max(1, min(PIVOTS, rows.count() // block)), SAMPLE)
     result = rows.select("vec_id", "rid")
     if not len(pivots):
         return result.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     blocks = written(_blocks(_assigned(good.select("rid", "vector"), pivots), block), "blocks")
-    found = written(_links(blocks, _pairs(blocks, pivots, float(np.arccos(cosine))), cosine), "links")
+    found = written(_links(blocks, _pairs(blocks, pivots, float(np.arccos(cosine))), cosine, "<f4" if single else "<f8"), "links")
     counts = found.groupBy("rid").agg(F.sum("n").alias("n_links"))
     whole = components(found, "rid", "root").withColumnRenamed("id", "rid")
     placed = result.join(counts, "rid", "left").join(whole, "rid", "left")
