@@ -26,14 +26,14 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scriptorium.llm.suffix_dedup import remove_repeats
 
-    removed = remove_repeats(_table(spark, sf_dir, "documents"), length=400)
+    removed = remove_repeats(_table(spark, sf_dir, "documents"), length=400, whole=False)
     return removed.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scriptorium.llm.minhash import near_duplicates
 
-    return near_duplicates(_table(spark, sf_dir, "documents"), percent=75).drop("rid")
+    return near_duplicates(_table(spark, sf_dir, "documents"), percent=75).drop("rid", "root")
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.session import ship
+
 #: ASCII white space separates words; everything else belongs to one.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -39,6 +41,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     The shuffle files of earlier steps go when the driver collects its garbage, so it does.
     """
     spark = df.sparkSession
+    ship(spark)
     path = fresh_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     gc.collect()
@@ -67,14 +70,27 @@ def remainder(column: str, modulus: int) -> Column:
 
 def text_rows(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Just key and text, under those names; any other column is left behind."""
+    ship(df.sparkSession)
     return df.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """``name``, with underscores before it until no column of the frame is called that."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def map_batches(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str) -> DataFrame:
     """``mapInArrow`` where ``start()`` runs once a task and returns the function of a batch.
 
     The function returns columns by name; they are cast to ``schema``.
     """
+    spark = df.sparkSession
+    ship(spark)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:  # ten thousand whole texts are too many at once
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
     target = df.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -90,7 +106,7 @@ def map_batches(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], di
     return df.mapInArrow(run, target)
 
 
-def slices(batch: pa.RecordBatch, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """A batch in parts of about ``most`` bytes, so that long texts do not pile up in a worker."""
     step = max(1, min(2000, int(batch.num_rows * most / max(1, batch.nbytes))))
     for at in range(0, batch.num_rows, step):

@@ -19,17 +19,16 @@ carries its context: the bytes from its first start to the end of its last strin
 5. The marked starts return to their texts, whose remaining bytes are put together.
 """
 
-from __future__ import annotations
-
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm.minhash import keyed
-from scriptorium.llm.shared import map_batches, written
+from scriptorium.llm.shared import map_batches, unused, written
 
 WINDOW = 256
 HOT = 4000
@@ -172,8 +171,8 @@ def remaining(data: bytes, found: list[int] | None, length: int) -> tuple[bytes,
     return b"".join([*kept, data[at:]]), spans
 
 
-def remove_repeats(df: DataFrame, length: int = 400, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """rid, doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes), spans for every row.
+def remove_repeats(df: DataFrame, length: int = 400, key: str = "doc_id", text: str = "text", window: int = WINDOW, whole: bool = True) -> DataFrame:
+    """rid, doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row; with ``whole`` also kept (bytes) and spans.
 
     Texts are UTF-8 bytes, null is empty; strings are judged on the input and never cross
     rows.  Equal rows are removed from each other when they have ``length`` bytes.  Null
@@ -185,7 +184,7 @@ def remove_repeats(df: DataFrame, length: int = 400, key: str = "doc_id", text:
 
     def start():
         def fill(batch: pa.RecordBatch) -> dict:
-            out: dict[str, list] = {n: [] for n in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans")}
+            out: dict[str, list] = {n: [] for n in ("n_bytes", "n_removed", "n_spans", "kept_sha256", *(("kept", "spans") if whole else ()))}
             for text_, runs in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist()):
                 data = (text_ or "").encode()
                 kept, spans = remaining(data, runs, length)
@@ -196,4 +195,28 @@ def remove_repeats(df: DataFrame, length: int = 400, key: str = "doc_id", text:
         return fill
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return map_batches(joined, start, f"rid long, doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<int>")
+    return map_batches(joined, start, f"rid long, doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string{', kept binary, spans array<int>' if whole else ''}")
+
+
+def without_repeats(df: DataFrame, length: int = 400, key: str = "doc_id", text: str = "text", size: str = "n_chars") -> DataFrame:
+    """All rows and columns, their texts without what :func:`remove_repeats` removes.
+
+    A character that loses some of its bytes goes altogether.  ``size``, if there is such
+    a column, becomes the number of characters left; null texts stay null.
+    """
+    row = unused("row", df)
+    whole = written(df.withColumn(row, F.monotonically_increasing_id()), "documents")
+    rows = whole.select(F.col(row).alias("rid"), F.col(f"`{text}`").alias("text"))
+    found = marked(rows, length)
+
+    @F.pandas_udf("string")
+    def left(texts: pd.Series, runs: pd.Series) -> pd.Series:
+        return pd.Series([t if r is None else remaining(t.encode(), list(r), length)[0].decode(errors="ignore") for t, r in zip(texts, runs)], dtype=object)
+
+    runs = unused("runs", df)
+    joined = whole.join(found.select(F.col("rid").alias(row), F.col("runs").alias(runs)), row, "left")
+    shorter = F.when(F.col(runs).isNull(), F.col(f"`{text}`")).otherwise(left(F.col(f"`{text}`"), F.col(runs)))
+    out = joined.withColumn(text, shorter)
+    if size in df.columns:
+        out = out.withColumn(size, F.when(F.col(runs).isNull(), F.col(f"`{size}`")).otherwise(F.length(F.col(f"`{text}`")).cast(df.schema[size].dataType)))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns])
