@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.llm.graph import components
-from scriptorium.llm.shared import map_batches, text_rows, written
+from scriptorium.llm.shared import map_batches, text_rows, unused, written
 from scriptorium.llm.shingles import STEP, links, mixed, roots, shingles
 
 BANDS, ROWS = 48, 4
@@ -187,4 +187,16 @@ def _components_of(rows: DataFrame, percent: int) -> DataFrame:
     placed = written(placed, "placed")
     least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = placed.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int"))
-    return salted.join(least, ["root", "salt"]).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "rid")
+    return salted.join(least, ["root", "salt"]).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "rid", "root")
+
+def keep_one(df: DataFrame, percent: int = 75, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each component of near copies, with all its columns: that of the smallest key.
+
+    Null keys come last; of rows with equal keys one stays.  Rows without words all stay.
+    """
+    row = unused("row", df)
+    whole = written(df.withColumn(row, F.monotonically_increasing_id()), "documents")
+    rows = whole.select(F.col(row).alias("rid"), F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    found = _components_of(rows, percent)
+    low = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("low"))
+    return whole.join(low.select(F.col("low.rid").alias(row)), row, "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.shared import WORD, written
+from scriptorium.llm.shared import WORD, unused, written
 
 SALTS = 64
 
@@ -35,12 +35,12 @@ def uniform(key: Column, seed: int) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
-def sized(df: DataFrame, seed: int, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def sized(df: DataFrame, seed: int, key: str = "doc_id", text: str = "text", source: str = "source", row: str | None = None) -> DataFrame:
     """doc_id, group (the source, null told apart), size, late: 1 - u ** (1/w), in the order of the keys -ln(u)/w."""
     size = F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = df.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), size.alias("size"))
+    rows = df.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), size.alias("size"), *([F.col(row).alias("row")] if row else []))
     late = 1 - F.pow(uniform(F.col("doc_id"), seed), 1 / quality_weight(F.col("text"), F.col("size")))
-    return rows.select("doc_id", F.when(F.col("source").isNull(), "null").otherwise(F.concat(F.lit("="), "source")).alias("group"), F.col("source").isNull().alias("nameless"), "size", late.alias("late"))
+    return rows.select("doc_id", F.when(F.col("source").isNull(), "null").otherwise(F.concat(F.lit("="), "source")).alias("group"), F.col("source").isNull().alias("nameless"), "size", late.alias("late"), *(["row"] if row else []))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
@@ -61,8 +61,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int =
     return planned.select("group", "source_size", "target", epochs.alias("epochs"), (F.col("target") - epochs * F.col("source_size")).alias("rest"))
 
 
-def mix(df: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 20240229, key: str = "doc_id", text: str = "text", source: str = "source", intervals: int | None = None) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies for every row.
+def mix(df: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 20240229, key: str = "doc_id", text: str = "text", source: str = "source", intervals: int | None = None, row: str | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies for every row; and ``row``, a column that numbers them.
 
     A row is taken ``copies`` times: its source's epochs, and once more when half of it
     still falls within the rest of the target; so a source misses its target by at most
@@ -70,7 +70,7 @@ def mix(df: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed
     Keys depend on doc_id alone: a rerun gives the same; equal keys fall back on size.
     Repeated rows each count.  Empty table: no rows.  Other columns are not read.
     """
-    rows = written(sized(df, seed, key, text, source), "sizes")
+    rows = written(sized(df, seed, key, text, source, row), "sizes")
     n = intervals or max(16, math.isqrt(rows.count()))
     rows = rows.withColumn("interval", F.least(F.floor(F.col("late") * n), F.lit(n - 1)))
     plan = targets(rows, weights, most)
@@ -91,10 +91,19 @@ def mix(df: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed
     return (
         at_edge.unionByName(elsewhere)
         .withColumn("copies", F.col("epochs") + more.cast("long"))
-        .select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+        .select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", *(["row"] if row else []))
     )
 
 
+def mixed(df: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, **names: str) -> DataFrame:
+    """The mix itself: every row, all columns, as often as :func:`mix` takes it."""
+    row, copies = unused("row", df), unused("copies", df)
+    whole = written(df.withColumn(row, F.monotonically_increasing_id()), "documents")
+    taken = mix(whole, weights, most, row=row, **names).where("copies > 0").select(F.col("row").alias(row), F.col("copies").alias(copies))
+    again = whole.join(taken, row).withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))))
+    return again.select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 #: The same mix in one statement: what the intervals spare, the whole order of each source, is sorted here.
 ORACLE = r"""
 WITH d AS (

@@ -68,8 +68,8 @@ class ByteIds:
         return array("I", self.fast(text)).tobytes()
 
 
-def cut(df: DataFrame, tokenizer: str, ranks: str | None = None, size: int = 2048, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Pieces of every row: doc_id, piece, start, length, ids_crc32, row (a number of the row).
+def cut(df: DataFrame, tokenizer: str, ranks: str | None = None, size: int = 2048, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
+    """Pieces of every row: doc_id, piece, start, length, ids_crc32, row (a number of the row); with ``whole`` their ids too.
 
     Each text's ids are followed by id 0.  Only texts longer than ``size`` are cut, after
     every ``size`` ids.  A null text counts as empty and has one piece: id 0.
@@ -83,12 +83,12 @@ def cut(df: DataFrame, tokenizer: str, ranks: str | None = None, size: int = 204
 
         def pieces(batch: pa.RecordBatch) -> dict:
             nonlocal seen
-            out: dict[str, list] = {k: [] for k in ("doc_id", "row", "piece", "start", "length", "ids_crc32")}
+            out: dict[str, list] = {k: [] for k in ("doc_id", "row", "piece", "start", "length", "ids_crc32", *(("ids",) if whole else ()))}
             for key_, text_ in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 ids = memoryview(encode(text_ or "") + end)
                 for n, at in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[at : at + 4 * size]
-                    for k, v in zip(out, (key_, seen, n, at // 4, len(part) // 4, zlib.crc32(part))):
+                    for k, v in zip(out, (key_, seen, n, at // 4, len(part) // 4, zlib.crc32(part), bytes(part))):
                         out[k].append(v)
                 seen += 1
             return out
@@ -96,7 +96,7 @@ def cut(df: DataFrame, tokenizer: str, ranks: str | None = None, size: int = 204
         return pieces
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return map_batches(rows, start, f"doc_id {kind}, row long, piece int, start long, length long, ids_crc32 long")
+    return map_batches(rows, start, f"doc_id {kind}, row long, piece int, start long, length long, ids_crc32 long{', ids binary' if whole else ''}")
 
 
 class Bins:
@@ -165,3 +165,18 @@ def pack_texts(df: DataFrame, tokenizer: str, ranks: str | None = None, size: in
     Other columns are not read.
     """
     return pack(written(cut(df, tokenizer, ranks, size, key, text), "pieces"), size, open_bins)
+
+
+def packed_sequences(df: DataFrame, tokenizer: str, ranks: str | None = None, size: int = 2048, open_bins: int = 1024, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The sequences themselves: sequence_id, ids (little-endian 32-bit, the pieces in place), pieces.
+
+    ``pieces`` lists doc_id, piece, offset and length in the order of the offsets.
+    """
+    pieces = written(cut(df, tokenizer, ranks, size, key, text, whole=True), "pieces")
+    placed = pack(pieces.drop("ids"), size, open_bins).join(pieces.select("row", "piece", "ids"), ["row", "piece"])
+    parts = F.sort_array(F.collect_list(F.struct("offset", "doc_id", "piece", "length", "ids")))
+    return placed.groupBy("sequence_id").agg(parts.alias("parts")).select(
+        "sequence_id",
+        F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["ids"])), "")).alias("ids"),
+        F.transform("parts", lambda p: F.struct(p["doc_id"].alias("doc_id"), p["piece"].alias("piece"), p["offset"].alias("offset"), p["length"].alias("length"))).alias("pieces"),
+    )

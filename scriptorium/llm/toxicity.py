@@ -188,7 +188,7 @@ def learn_stems(sample: list[tuple[str, int]], support: int = 12, precision: flo
     return kept
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1, per_class: int = 5000, most_bytes: int = 16_000_000) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1, per_class: int = 4000, most_bytes: int = 16_000_000) -> ToxicityModel:
     """Learns from a bounded labelled sample: ``per_class`` texts and ``most_bytes`` of each class.
 
     Without labels of both classes every score is the share of label 1, or 0 without any.
@@ -223,3 +223,19 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, threshold: float = 0.7,
     kind = rows.schema["doc_id"].dataType.simpleString()
     scored = map_batches(rows, start, f"doc_id {kind}, score double, n_clauses int")
     return scored.select("doc_id", (remainder("doc_id", modulus) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_clauses")
+
+
+def toxic_clauses(df: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, clause, kind, weight: a row for every match of the grammar, in no order; texts without one have none."""
+    rows = text_rows(df, key, text)
+    kept = df.sparkSession.sparkContext.broadcast(model)
+
+    def start():
+        def find(batch: pa.RecordBatch) -> dict:
+            found = [(k, *m) for k, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) for m in kept.value.matches(t or "")]
+            return {n: [f[i] for f in found] for i, n in enumerate(("doc_id", "clause", "kind", "weight"))}
+
+        return find
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return map_batches(rows, start, f"doc_id {kind}, clause string, kind string, weight double")
