@@ -32,7 +32,6 @@ BANDS, ROWS = 48, 4
 SIZE = BANDS * ROWS
 #: A group meets in one task up to so many members and bytes of text.
 MEMBERS, BYTES = 1000, 8_000_000
-SALTS = 16
 #: One multiple of STEP for each round.
 ROUND = np.arange(1, 2 * SIZE + 1, dtype=np.uint64) * STEP
 
@@ -105,8 +104,9 @@ def _compare_queries(rows: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("part").applyInArrow(compare, "a long, b long")
 
 
-def _large(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """(rid, root) of groups too large for a task; ``members``: rid, group, bytes."""
+def _large(members: DataFrame, percent: int) -> DataFrame:
+    """(rid, root) of groups too large for a task; ``members``: rid, group, bytes, text."""
+    texts, members = members.select("rid", "text"), members.drop("text")
     totals = members.groupBy("group").agg(F.count("*").alias("m"), F.sum("bytes").alias("all_bytes"))
     blocks = F.greatest(F.ceil(F.col("m") * 2 / MEMBERS), F.ceil(F.col("all_bytes") * 2 / BYTES)).cast("int")
     members = members.join(totals.select("group", blocks.alias("blocks")), "group")
@@ -145,14 +145,14 @@ def _large(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, percent: int = 75, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, rid for every row; components of links of ``percent`` or more.
+    """doc_id, n_shingles, component_id, kept, rid, root for every row; components of links of ``percent`` or more.
 
     Words are split at ASCII white space and shingles have five words, or all of fewer.
     Rows without words have 0 shingles, no links and themselves as component.  Repeated
     rows share one; of rows with equal keys in a component every one is kept.  A null key
     counts as larger than any; a component of such rows alone has a null id and keeps
     them.  Empty table: no rows.  Other columns are not read.  ``rid`` numbers the rows
-    as written to the shared folder, see :func:`keyed`.
+    as written to the shared folder, see :func:`keyed`; ``root`` is a component's least one.
     """
     return _components_of(keyed(df, key, text), percent)
 
@@ -167,27 +167,28 @@ def _components_of(rows: DataFrame, percent: int) -> DataFrame:
     with_words = found.where("n_shingles > 0")
     class_of = ["h1", "h2", "n_shingles"]
     classes = with_words.groupBy(*class_of).agg(F.min(F.struct("rid", "bytes")).alias("low")).select(*class_of, F.col("low.rid").alias("class"), F.col("low.bytes").alias("bytes"))
-    members = written(found.join(classes.select(*class_of, "class"), class_of, "left").select("rid", "n_shingles", "bytes", F.coalesce("class", "rid").alias("class")), "classes")
+    members = written(found.join(classes.select(*class_of, "class").hint("merge"), class_of, "left").select("rid", "n_shingles", "bytes", F.coalesce("class", "rid").alias("class")), "classes")
 
-    bands = written(found.join(members.where("rid = class AND n_shingles > 0").select("rid"), "rid", "left_semi").select("rid", F.explode("bands").alias("band")), "bands")
-    shared = bands.groupBy("band").agg(F.min("rid").alias("least"), F.count("*").alias("n")).where("n > 1").select("band", "least")
+    bands = written(found.join(members.where("rid = class AND n_shingles > 0").select("rid").hint("merge"), "rid", "left_semi").select("rid", F.explode("bands").alias("band")), "bands")
+    shared = bands.groupBy("band").agg(F.min("rid").alias("least"), F.count("*").alias("n")).where("n > 1").select("band", "least").hint("merge")
     stars = bands.join(shared, "band").where("rid <> least").select("rid", "least").distinct()
     groups = written(components(stars, "rid", "least").withColumnRenamed("id", "rid").join(members.where("rid = class").select("rid", "bytes"), "rid").withColumnRenamed("root", "group"), "groups")
     totals = groups.groupBy("group").agg(F.count("*").alias("m"), F.sum("bytes").alias("all_bytes"))
     over = totals.where(f"m > {MEMBERS} OR all_bytes > {BYTES}").select("group")
-    texts = rows.select("rid", "text")
-    small = groups.join(over, "group", "left_anti").select("rid", F.col("group").alias("part"))
-    inside = _compare(small.join(texts, "rid"), percent).select("rid", "root")
+    # texts travel once, and only those of candidates go on; joined alike at every size
+    located = written(groups.join(rows.select("rid", "text").hint("merge"), "rid"), "candidates")
+    inside = _compare(located.join(over, "group", "left_anti").select("rid", F.col("group").alias("part"), "text"), percent).select("rid", "root")
     rooted = inside
     if not over.isEmpty():
-        rooted = inside.unionAll(_large(groups.join(over, "group", "left_semi"), texts, percent))
+        rooted = inside.unionAll(_large(written(located.join(over, "group", "left_semi"), "large"), percent))
     rooted = written(rooted.withColumnRenamed("rid", "class"), "roots")
 
     placed = members.join(rooted, "class", "left").select("rid", "n_shingles", F.coalesce("root", "class").alias("root")).join(rows.select("rid", "doc_id"), "rid")
     placed = written(placed, "placed")
-    least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = placed.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int"))
-    return salted.join(least, ["root", "salt"]).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "rid", "root")
+    least = written(placed.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
+    named = placed.join(least.hint("merge"), "root")  # both sides are read and dealt: a hot root is split
+    return named.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "rid", "root")
+
 
 def keep_one(df: DataFrame, percent: int = 75, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component of near copies, with all its columns: that of the smallest key.
