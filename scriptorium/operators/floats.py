@@ -149,7 +149,7 @@ def natural_widths(widths: DataFrame) -> DataFrame:
 
 def asset_action(extension: Column) -> Column:
     """L-20: what must happen to a file before LaTeX takes it."""
-    e = F.lower(F.ltrim(F.lit("."), extension))
+    e = F.lower(F.ltrim(extension, F.lit(".")))
     return F.when(e.isin("png", "jpg", "jpeg", "pdf", "eps"), "copy").when(e == "svg", "svg_to_pdf").when(e.isin("tif", "tiff", "bmp", "gif"), "raster_to_png").when(e.isin("emf", "wmf"), "metafile_to_pdf").otherwise("unsupported")
 
 

@@ -4,8 +4,6 @@ Order-dependent steps go by ``seq``, an explicit order, so reruns agree.  Calls
 are not made here; their answers come in as a table.
 """
 
-from __future__ import annotations
-
 import difflib
 
 import pandas as pd
@@ -67,8 +65,7 @@ def grounded(quotes: DataFrame, texts: DataFrame, few: int = FEW_QUOTES) -> Data
     return candidates.unionByName(whole.join(F.broadcast(short.limit(few)), found).select("quote_id", "ms_id"))
 
 
-@F.pandas_udf("boolean")
-def resembles(quote: pd.Series, text: pd.Series) -> pd.Series:
+def resembles(quote: Column, text: Column) -> Column:
     """F-06: whether some window of a text is like a quote, by 0.92 or more; only for quotes that exact search missed.
 
     Windows are as long as the quote and step by a quarter of it; a cheap upper bound
@@ -86,7 +83,10 @@ def resembles(quote: pd.Series, text: pd.Series) -> pd.Series:
                 return True
         return False
 
-    return pd.Series([like(q, t) for q, t in zip(quote, text)], dtype=bool)
+    def judge(quotes: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([like(q, t) for q, t in zip(quotes, texts)], dtype=bool)
+
+    return F.pandas_udf(judge, "boolean")(quote, text)
 
 
 def verified(findings: DataFrame, texts: DataFrame) -> DataFrame:

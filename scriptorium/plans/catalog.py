@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.plans import review_sql, rule_queries, text_queries
+from scriptorium.plans import panel_queries, review_sql, rule_queries, text_queries, tree_queries
 
-MODULES = (rule_queries, text_queries)
+MODULES = (rule_queries, text_queries, tree_queries, panel_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -5,8 +5,6 @@ worker since no built-in reads XML by ancestry.  A package that cannot be read b
 with an error and never fails its task.
 """
 
-from __future__ import annotations
-
 import io
 import re
 import struct
@@ -14,7 +12,7 @@ import xml.etree.ElementTree as ET
 import zipfile
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.session import ship
@@ -233,10 +231,13 @@ def templates(parts_: DataFrame) -> DataFrame:
     return document.join(styles, "ms_id", "left")
 
 
-@F.pandas_udf("struct<format:string,width_px:int,height_px:int>")
-def image_size(data: pd.Series) -> pd.DataFrame:
-    """A-23: format and pixels of PNG, GIF, BMP and JPEG files by their headers; nulls for anything else."""
-    return pd.DataFrame([measure(d) for d in data], columns=["format", "width_px", "height_px"]).astype({"format": object, "width_px": "Int32", "height_px": "Int32"})
+def image_size(data: Column) -> Column:
+    """A-23: struct of format and pixels of PNG, GIF, BMP and JPEG files by their headers; nulls for anything else."""
+
+    def sizes(values: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([measure(d) for d in values], columns=["format", "width_px", "height_px"]).astype({"format": object, "width_px": "Int32", "height_px": "Int32"})
+
+    return F.pandas_udf(sizes, "format string, width_px int, height_px int")(data)
 
 
 def measure(data: bytes | None) -> tuple:
@@ -279,8 +280,11 @@ def package(texts: list[str], styles: list[str] | None = None, title: str = "")
     return out.getvalue()
 
 
-@F.pandas_udf("binary")
-def packed(texts: pd.Series) -> pd.Series:
+def packed(text: Column) -> Column:
     """A package whose paragraphs are the lines of a text."""
-    return pd.Series([package((t or "").split("\n")) for t in texts], dtype=object)
+
+    def pack(texts: pd.Series) -> pd.Series:
+        return pd.Series([package((t or "").split("\n")) for t in texts], dtype=object)
+
+    return F.pandas_udf(pack, "binary")(text)
 
