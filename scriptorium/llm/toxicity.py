@@ -166,10 +166,12 @@ def families(bags: list[set[str]]) -> list[int]:
     return kept
 
 
-def learn_stems(sample: list[tuple[str, int]], support: int = 12, precision: float = 0.97, shortest: int = 4, longest: int = 10) -> dict[str, float]:
+def learn_stems(sample: list[tuple[str, int]], support: int = 3, precision: float = 0.97, shortest: int = 4, longest: int = 10) -> dict[str, float]:
     """Stems of toxic texts with weights: their log odds, at least ``support`` texts and ``precision``.
 
-    Of nested stems the longest that keeps nearly all of the shorter one's texts stays.
+    A stem needs so many toxic texts that chance would hardly give as many to any of the
+    stems there are.  Of nested stems the longest that keeps nearly all of the shorter one's
+    texts stays.
     """
     bags = [set(WORD_OF.findall(t.lower())) for t, _ in sample]
     toxic, clean = Counter(), Counter()
@@ -177,6 +179,8 @@ def learn_stems(sample: list[tuple[str, int]], support: int = 12, precision: flo
     for i in chosen:
         (toxic if sample[i][1] else clean).update({w[:n] for w in bags[i] for n in range(shortest, min(longest, len(w)) + 1)})
     total = max(1, sum(sample[i][1] for i in chosen)), max(1, sum(1 - sample[i][1] for i in chosen))
+    share = total[0] / (total[0] + total[1])
+    support = max(support, (math.log(len(toxic) + 1) + 2) / -math.log(share))
     good = {s: a for s, a in toxic.items() if a >= support and a / total[0] >= precision / (1 - precision) * clean[s] / total[1]}
     kept: dict[str, float] = {}
     for s in sorted(good, key=lambda s: (len(s), s)):
@@ -188,7 +192,7 @@ def learn_stems(sample: list[tuple[str, int]], support: int = 12, precision: flo
     return kept
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1, per_class: int = 4000, most_bytes: int = 16_000_000) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1, per_class: int = 3000, most_bytes: int = 10_000_000) -> ToxicityModel:
     """Learns from a bounded labelled sample: ``per_class`` texts and ``most_bytes`` of each class.
 
     Without labels of both classes every score is the share of label 1, or 0 without any.
@@ -197,7 +201,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out:
     y = np.array([z for _, z in sample], float)
     if len({*y}) < 2:
         return ToxicityModel({}, None, float(y.mean()) if len(y) else 0.0)
-    model = ToxicityModel(learn_stems(sample, support=max(3, min(12, len(sample) // 100))), None, 0.0)
+    model = ToxicityModel(learn_stems(sample), None, 0.0)
     found = np.array([model.features(t) for t, _ in sample])
     model.curve = Logistic(found, y, ridge=1.0, products=False)
     return model
