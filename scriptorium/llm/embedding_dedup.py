@@ -27,7 +27,6 @@ BLOCK = 4096
 SIDE = 3
 PIVOTS = 64
 SAMPLE = 4096
-SALTS = 16
 
 
 def _units(x: np.ndarray) -> np.ndarray:
@@ -164,6 +163,6 @@ def embedding_duplicates(df: DataFrame, cosine: float = 0.9, key: str = "vec_id"
     whole = components(found, "rid", "root").withColumnRenamed("id", "rid")
     placed = result.join(counts, "rid", "left").join(whole, "rid", "left")
     placed = written(placed.select("vec_id", "rid", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "rid").alias("root")), "placed")
-    least = placed.groupBy("root").agg(F.min("vec_id").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = placed.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int"))
-    return salted.join(least, ["root", "salt"]).select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    least = written(placed.groupBy("root").agg(F.min("vec_id").alias("component_id")), "least")
+    named = placed.join(least.hint("merge"), "root")  # both sides are read and dealt: a hot root is split
+    return named.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
