@@ -5,10 +5,10 @@ white space and boundaries their Unicode meaning.  Functions of null return null
 they say otherwise; blank text is not null.
 """
 
-from __future__ import annotations
-
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -361,3 +361,62 @@ def table_fit(natural: Column, columns: Column) -> Column:
 
 def label_key(text: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_replace(text, "[^A-Za-z0-9]", ""), F.lit("")), F.lit("x"))
+
+
+# --- H-39, H-40, H-43, H-47: names of models, answers of services, letters, markers ---
+
+
+def is_coder_model(name: Column) -> Column:
+    return matches(name, r"coder|code|starcoder|codellama|deepseek-coder", True)
+
+
+def service_error(code: Column, detail: Column) -> Column:
+    """What an answer of a model's service means: blocked, gone, key, limit or other."""
+    d = F.lower(detail)
+    gone = F.contains(d, F.lit("no longer available")) | F.contains(d, F.lit("not found")) | F.contains(d, F.lit("unavailable"))
+    return F.when((code == 403) & F.contains(detail, F.lit("1010")), "blocked").when((code == 404) & gone, "gone").when(code.isin(401, 403), "key").when(code == 429, "limit").otherwise("other")
+
+
+def folded(text: Column) -> Column:
+    """Text that a LaTeX input encoding takes: Latin letters stay, mathematical letters become formulas, the rest its nearest ASCII."""
+    greek = {"LAMDA": "lambda"}
+
+    def mathematical(c: str) -> str | None:
+        words = unicodedata.name(c, "").split()
+        if not words or words[0] != "MATHEMATICAL":
+            return None
+        last, capital = words[-1], "CAPITAL" in words
+        if len(last) == 1:
+            body = last if capital else last.lower()
+        elif last in ("ZERO", "ONE", "TWO", "THREE", "FOUR", "FIVE", "SIX", "SEVEN", "EIGHT", "NINE"):
+            body = str(unicodedata.digit(c))
+        else:
+            name = greek.get(last, last.lower())
+            special = name in ("gamma", "delta", "theta", "lambda", "xi", "pi", "sigma", "upsilon", "phi", "psi", "omega")
+            body = "\\" + (name.capitalize() if capital and special else name) if not capital or special else name[0].upper()
+        return f"$\\boldsymbol{{{body}}}$" if "BOLD" in words else f"${body}$"
+
+    def one(c: str) -> str:
+        if ord(c) <= 0x7F or (ord(c) < 0x250 and unicodedata.category(c).startswith("L")):
+            return c
+        if 0x1D400 <= ord(c) <= 0x1D7FF and (found := mathematical(c)):
+            return found
+        return "".join(x for x in unicodedata.normalize("NFKD", c) if ord(x) <= 0x7F)
+
+    def fold(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None or t.isascii() else "".join(map(one, t)))
+
+    return F.pandas_udf(fold, "string")(text)
+
+
+def clean_name(name: Column) -> Column:
+    """A name without the markers that are glued to its end."""
+    return stripped(replaced(name, r"[\s,;]*[\d*†‡§]+\s*$"))
+
+
+def without_marker(text: Column) -> Column:
+    return stripped(replaced(text, r"^\s*[\d*†‡§]+\s*[.)\-]?\s*"))
+
+
+def without_label(caption_text: Column) -> Column:
+    return stripped(F.regexp_replace(caption_text, rx(r"^\s*(fig(?:ure)?|tab(?:le)?|scheme|chart)\s*\.?\s*[A-Z]?\d+(?:[.\-]\d+)?\s*[.:\-–—)]?\s*", True), F.lit("")))
