@@ -66,7 +66,7 @@ def word_count(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    """Stripped sentences, line by line: text after . ! or ? and white space begins a new one."""
+    """H-29: Stripped sentences, line by line: text after . ! or ? and white space begins a new one."""
     lines = F.split(text, r"\r\n|[\n\r\x0B\f\x85\u2028\u2029]")
     parts = F.flatten(F.transform(lines, lambda line: F.split(line, r"(?U)(?<=[.!?])\s+")))
     return F.filter(F.transform(parts, stripped), lambda s: s != "")
@@ -86,13 +86,13 @@ def title_key(title: Column) -> Column:
 
 
 def role_of(title: Column) -> Column:
-    """The role whose pattern is the first to match; ``unknown`` for none, for blank and for null."""
+    """H-01: The role whose pattern is the first to match; ``unknown`` for none, for blank and for null."""
     key = title_key(title)
     return first_of([(matches(key, p), F.lit(role)) for role, p in P.ROLE_PATTERNS], F.lit("unknown"))
 
 
 def numbering_of(title: Column) -> Column:
-    """Leading section number, '' without one.  A lone capital followed by a space counts too."""
+    """H-02: Leading section number, '' without one.  A lone capital followed by a space counts too."""
     return extracted(title, P.NUMBERING, 1)
 
 
@@ -101,23 +101,24 @@ def without_numbering(title: Column) -> Column:
 
 
 def cannot_be_heading(text: Column) -> Column:
+    """H-03: Blank text and shapes that no heading has."""
     t = stripped(text)
     return (t == "") | any_match(t, P.NOT_HEADING, ignore_case=False)
 
 
 def furniture_label(text: Column) -> Column:
-    """Label of the first template pattern that matches; null for the author's own text."""
+    """H-27: Label of the first template pattern that matches; null for the author's own text."""
     return first_of([(matches(text, p, True), F.lit(label)) for p, label in P.FURNITURE], F.lit(None).cast("string"))
 
 
 def implicit_level(text: Column) -> Column:
-    """Level that a number gives a heading: one more than its dots, at most 4; 1 without."""
+    """H-04: Level that a number gives a heading: one more than its dots, at most 4; 1 without."""
     number = numbering_of(text)
     return F.least(F.lit(4), F.when(number == "", 1).otherwise(F.length(number) - F.length(F.replace(number, F.lit("."))) + 1))
 
 
 def is_implicit_heading(text: Column, all_bold: Column, has_math: Column, predicted: Column) -> Column:
-    """Whether an unstyled paragraph is a heading: its shape allows it, and emphasis, lexicon or model say so."""
+    """H-04: Whether an unstyled paragraph is a heading: its shape allows it, and emphasis, lexicon or model say so."""
     t = stripped(text)
     numbered = numbering_of(t) != ""
     shape = F.length(t).between(2, 120) & ~cannot_be_heading(t) & (numbered | ~F.substring(t, -1, 1).isin(".", ",", ";", ":")) & ~has_math & (word_count(t) <= 14)
@@ -125,7 +126,7 @@ def is_implicit_heading(text: Column, all_bold: Column, has_math: Column, predic
 
 
 def classified_role(title: Column, model_role: Column, model_probability: Column) -> Column:
-    """Struct role, method, confidence: the lexicon first, then a model sure by 0.75 or more."""
+    """H-05: Struct role, method, confidence: the lexicon first, then a model sure by 0.75 or more."""
     lexicon = role_of(without_numbering(title))
     sure = F.coalesce(model_probability >= 0.75, F.lit(False))
     made = lambda role, method, confidence: F.struct(role.alias("role"), F.lit(method).alias("method"), confidence.cast("double").alias("confidence"))
@@ -136,7 +137,7 @@ def classified_role(title: Column, model_role: Column, model_probability: Column
 
 
 def caption(text: Column, anywhere: bool = False) -> Column:
-    """Struct kind, number, rest of a caption, null where there is none."""
+    """H-06, H-07: Struct kind, number, rest of a caption, null where there is none."""
     pattern = P.CAPTION_ANYWHERE if anywhere else P.CAPTION
     part = lambda n: extracted(text, pattern, n)
     found = F.struct(F.lower(part(1)).alias("kind"), part(2).alias("number"), stripped(part(3)).alias("rest"))
@@ -144,16 +145,17 @@ def caption(text: Column, anywhere: bool = False) -> Column:
 
 
 def equation_number(text: Column) -> Column:
+    """H-08: The printed number of a display equation, '' where the text is not one."""
     return extracted(text, P.EQUATION_NUMBER, 1)
 
 
 def is_degenerate_math(latex: Column) -> Column:
-    """Nothing is left once spacing, empty scripts and braces are gone; null counts."""
+    """H-12: Nothing is left once spacing, empty scripts and braces are gone; null counts."""
     return stripped(replaced(F.coalesce(latex, F.lit("")), P.MATH_NOISE)) == ""
 
 
 def display_confidence(inlines: Column, reader_says: Column) -> Column:
-    """Confidence that a paragraph is a display equation, null if it is not: one formula and next to nothing else."""
+    """H-09: Confidence that a paragraph is a display equation, null if it is not: one formula and next to nothing else."""
     formulas = F.size(F.filter(inlines, lambda x: x["kind"] == "math"))
     rest = stripped(F.array_join(F.transform(F.filter(inlines, lambda x: x["kind"] != "math"), lambda x: F.when(x["kind"] == "break", F.lit(" ")).otherwise(x["text"])), ""))
     found = F.when(rest == "", F.lit(1.0)).when(matches(rest, P.EQUATION_NUMBER), F.lit(0.95)).when(reader_says, F.lit(0.75))
@@ -164,7 +166,7 @@ def display_confidence(inlines: Column, reader_says: Column) -> Column:
 
 
 def parse_reference(raw: Column) -> Column:
-    """Struct raw, doi, url, year, volume, issue, page, authors, title, confidence, method.
+    """H-14, H-15: Struct raw, doi, url, year, volume, issue, page, authors, title, confidence, method.
 
     Every part is what a pattern finds and empty or null otherwise; confidence adds up the
     parts that were found.  ``raw`` is kept as it is.
@@ -199,7 +201,7 @@ def parse_reference(raw: Column) -> Column:
 
 
 def split_run_on(entry: Column) -> Column:
-    """Parts of a paragraph that runs several references together; short ones stay whole.
+    """F-19, H-17: Parts of a paragraph that runs several references together; short ones stay whole.
 
     A cut falls behind the end of a citation that an author's name follows, where 40
     characters have gone by since the last; a shorter tail joins the part before it.
@@ -227,66 +229,75 @@ def split_run_on(entry: Column) -> Column:
 
 
 def split_keywords(text: Column) -> Column:
+    """H-18: Keywords of a line, its label dropped."""
     bare = F.regexp_replace(text, rx(r"^\s*(key\s*words?|index terms?)\s*[:\-–]?\s*", True), F.lit(""))
     parts = F.transform(F.split(bare, r"[;,]|•|\|"), lambda p: replaced(p, r"^[ .;–\-]+|[ .;–\-]+$"))
     return F.filter(parts, lambda p: F.length(p) > 1)
 
 
 def guess_country(text: Column) -> Column:
+    """H-23: The last part between commas, if it may be a country; '' otherwise."""
     tail = stripped(at(F.split(replaced(stripped(text), r"\.+$"), ","), -1))
     return F.when(F.length(tail).between(2, 30) & ~matches(tail, r"\d"), tail).otherwise("")
 
 
 def normal_space(text: Column) -> Column:
+    """H-24: Single spaces, formulas' marks as spaces."""
     return stripped(replaced(F.replace(text, F.lit(MATH_MARK), F.lit(" ")), r"\s+", " "))
 
 
 def match_key(text: Column) -> Column:
-    """Lower-case ASCII letters and digits, without formulas: what survives any reader."""
+    """H-24, H-53: Lower-case ASCII letters and digits, without formulas: what survives any reader."""
     return F.regexp_replace(F.lower(F.regexp_replace(normal_space(text), r"\$[^$]*\$", " ")), "[^0-9a-z]", "")
 
 
 def looks_like_path(text: Column) -> Column:
+    """H-26: Alternative text that is only a leftover path."""
     t = stripped(text)
     prefixed = reduce(lambda a, b: a | b, [F.startswith(t, F.lit(p)) for p in P.PATH_PREFIXES])
     return F.regexp_like(t, F.lit(r"^[A-Za-z]:[\\/]")) | prefixed | matches(t, P.PATH_SUFFIX)
 
 
 def digits(text: Column) -> Column:
-    """Number words from one to twelve as digits."""
+    """H-28: Number words from one to twelve as digits."""
     return reduce(lambda t, n: F.regexp_replace(t, rx(rf"\b{n[1]}\b", True), F.lit(str(n[0]))), enumerate(P.WORD_NUMBERS, 1), text)
 
 
 def slug(text: Column, default: str = "template") -> Column:
+    """H-33: Lower-case letters and digits joined by underscores."""
     return F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "_"), "^_+|_+$", ""), F.lit("")), F.lit(default))
 
 
 def quote_key(text: Column) -> Column:
-    """Straight quotes and dashes, single spaces, lower case: the form in which quotes are compared."""
+    """H-36: Straight quotes and dashes, single spaces, lower case: the form in which quotes are compared."""
     return F.lower(stripped(replaced(F.translate(text, "’‘“”–—", "''\"\"--"), r"\s+", " ")))
 
 
 def reference_style(text: Column) -> Column:
+    """H-31: numeric, author-year or numeric-superscript, by the examples a text shows; null if they do not tell."""
     numeric = F.regexp_count(text, rx(P.NUMERIC_CITATION))
     named = F.regexp_count(text, rx(P.AUTHOR_YEAR_CITATION))
     return F.when(matches(text, P.SUPERSCRIPT_CITATION), "numeric-superscript").when((numeric >= 3) & (numeric > named), "numeric").when((named >= 3) & (named > numeric), "author-year")
 
 
 def heading_numbering(text: Column) -> Column:
+    """H-32: roman or arabic, by two numbered headings or more; null otherwise."""
     roman, arabic = F.regexp_count(text, rx(P.ROMAN_HEADING)), F.regexp_count(text, rx(P.ARABIC_HEADING))
     return F.when((roman >= 2) & (roman >= arabic), "roman").when(arabic >= 2, "arabic")
 
 
 def line_spacing(twentieths: Column) -> Column:
+    """H-35: Line spacing from twentieths of a point."""
     return F.bround(twentieths / 240.0, 2)
 
 
 def is_right_to_left(text: Column) -> Column:
+    """H-50: Whether a text holds a right-to-left script."""
     return F.regexp_like(text, F.lit(r"[\u0590-\u08FF\uFB1D-\uFDFF\uFE70-\uFEFF]"))
 
 
 def specificity(issue: Column, fix: Column, quote: Column) -> Column:
-    """Between 0 and 1: how much a finding's wording tells an author to act on."""
+    """H-37: Between 0 and 1: how much a finding's wording tells an author to act on."""
     text = F.concat_ws(" ", issue, fix)
     count = lambda many: reduce(lambda a, b: a + b, [matches(text, p, True).cast("int") for p in many])
     score = 0.5 + 0.15 * count(P.SPECIFIC) - 0.25 * count(P.VACUOUS) + F.when(word_count(fix) >= 12, 0.1).otherwise(0.0) + F.when(word_count(quote) >= 8, 0.1).otherwise(0.0)
@@ -294,7 +305,7 @@ def specificity(issue: Column, fix: Column, quote: Column) -> Column:
 
 
 def structural_features(text: Column) -> Column:
-    """Struct of 15 numbers that depend on a line's shape and hardly on its language."""
+    """H-41: Struct of 15 numbers that depend on a line's shape and hardly on its language."""
     t = stripped(text)
     w = words(t)
     n = F.size(w)
@@ -318,7 +329,7 @@ def structural_features(text: Column) -> Column:
 
 
 def latex_escaped(text: Column) -> Column:
-    """Prose with LaTeX's special characters escaped.
+    """H-42: Prose with LaTeX's special characters escaped.
 
     A backslash becomes a mark first: its replacement holds braces, which must stay.
     """
@@ -328,17 +339,18 @@ def latex_escaped(text: Column) -> Column:
 
 
 def visual_length(latex: Column) -> Column:
-    """Printed width of a formula in characters: a command counts two, grouping nothing."""
+    """H-45: Printed width of a formula in characters: a command counts two, grouping nothing."""
     body = F.regexp_replace(latex, r"\\label\{[^}]*\}", "")
     return F.length(F.regexp_replace(body, r"\\[a-zA-Z]+|[{}\\\s]", "")) + 2 * F.regexp_count(body, F.lit(r"\\[a-zA-Z]+"))
 
 
 def without_manual_number(latex: Column) -> Column:
+    """H-45: A formula without a number typed at its end."""
     return stripped(F.regexp_replace(latex, r"(?:\\[,;: ]|\\quad|\\qquad|~|\s)*\(\s*\d{1,3}[a-z]?\s*\)\s*$", ""))
 
 
 def equation_fit(latex: Column, columns: Column) -> Column:
-    """keep, break or scale: what makes a formula fit its column (46 characters of two, 88 of one)."""
+    """H-46: keep, break or scale: what makes a formula fit its column (46 characters of two, 88 of one)."""
     limit = F.when(columns >= 2, 46).otherwise(88)
     parts = F.filter(F.transform(F.split(latex, r"\\quad\s*\\quad|\\qquad"), stripped), lambda p: p != "")
     breaks = (F.size(parts) > 1) & F.forall(parts, lambda p: visual_length(p) <= limit)
@@ -346,13 +358,13 @@ def equation_fit(latex: Column, columns: Column) -> Column:
 
 
 def figure_spans(columns: Column, width_mm: Column, height_mm: Column, single_mm: Column) -> Column:
-    """Whether a figure goes across both columns: much wider than tall, and wider than one."""
+    """H-48: Whether a figure goes across both columns: much wider than tall, and wider than one."""
     aspect = F.coalesce(F.try_divide(width_mm, height_mm), F.lit(0.0))
     return (columns >= 2) & (aspect >= 1.8) & (width_mm >= single_mm * 1.2)
 
 
 def table_fit(natural: Column, columns: Column) -> Column:
-    """Struct star, wraps, size of a table by its natural width in characters."""
+    """H-49: Struct star, wraps, size of a table by its natural width in characters."""
     star = (columns >= 2) & (natural > 46)
     room = F.when(columns < 2, 88).when(star, 96).otherwise(46)
     size = F.when(~star, "").when(natural <= 96 * 1.3, "small").otherwise("footnotesize")
@@ -360,6 +372,7 @@ def table_fit(natural: Column, columns: Column) -> Column:
 
 
 def label_key(text: Column) -> Column:
+    """H-45: A LaTeX label of letters and digits; x where nothing is left."""
     return F.coalesce(F.nullif(F.regexp_replace(text, "[^A-Za-z0-9]", ""), F.lit("")), F.lit("x"))
 
 
@@ -367,18 +380,19 @@ def label_key(text: Column) -> Column:
 
 
 def is_coder_model(name: Column) -> Column:
+    """H-39: Whether a model's name says it is for code."""
     return matches(name, r"coder|code|starcoder|codellama|deepseek-coder", True)
 
 
 def service_error(code: Column, detail: Column) -> Column:
-    """What an answer of a model's service means: blocked, gone, key, limit or other."""
+    """H-40: What an answer of a model's service means: blocked, gone, key, limit or other."""
     d = F.lower(detail)
     gone = F.contains(d, F.lit("no longer available")) | F.contains(d, F.lit("not found")) | F.contains(d, F.lit("unavailable"))
     return F.when((code == 403) & F.contains(detail, F.lit("1010")), "blocked").when((code == 404) & gone, "gone").when(code.isin(401, 403), "key").when(code == 429, "limit").otherwise("other")
 
 
 def folded(text: Column) -> Column:
-    """Text that a LaTeX input encoding takes: Latin letters stay, mathematical letters become formulas, the rest its nearest ASCII."""
+    """H-43: Text that a LaTeX input encoding takes: Latin letters stay, mathematical letters become formulas, the rest its nearest ASCII."""
     greek = {"LAMDA": "lambda"}
 
     def mathematical(c: str) -> str | None:
@@ -410,13 +424,15 @@ def folded(text: Column) -> Column:
 
 
 def clean_name(name: Column) -> Column:
-    """A name without the markers that are glued to its end."""
+    """H-47: A name without the markers that are glued to its end."""
     return stripped(replaced(name, r"[\s,;]*[\d*†‡§]+\s*$"))
 
 
 def without_marker(text: Column) -> Column:
+    """H-47: Text without an affiliation marker at its head."""
     return stripped(replaced(text, r"^\s*[\d*†‡§]+\s*[.)\-]?\s*"))
 
 
 def without_label(caption_text: Column) -> Column:
+    """H-47: A caption without its label."""
     return stripped(F.regexp_replace(caption_text, rx(r"^\s*(fig(?:ure)?|tab(?:le)?|scheme|chart)\s*\.?\s*[A-Z]?\d+(?:[.\-]\d+)?\s*[.:\-–—)]?\s*", True), F.lit("")))

@@ -96,7 +96,7 @@ def unreferenced(media: DataFrame, used: DataFrame, on: str | list[str]) -> Data
 
 
 def compared(before: DataFrame, after: DataFrame) -> DataFrame:
-    """H-56: ms_id, lost: distinct paragraphs of ``before`` that ``after`` lacks."""
+    """H-56, B-14: ms_id, lost: distinct paragraphs of ``before`` that ``after`` lacks."""
     gone = before.select("ms_id", "text").distinct().exceptAll(after.select("ms_id", "text").distinct())
     return gone.groupBy("ms_id").agg(F.count("*").alias("lost"))
 
@@ -139,3 +139,10 @@ def emitted_counts(text: Column) -> Column:
         count(r"\\(?:sub)*section\*?\{").alias("sections"), count(r"\\begin\{equation").alias("equations"), count(r"\\includegraphics").alias("images"), count(r"\\begin\{tabular").alias("tables"),
         count(r"\\bibitem").alias("references"), T.word_count(F.regexp_replace(body, r"\\[a-zA-Z]+\*?", " ")).alias("words"),
     )
+
+
+def distinct_paragraphs(paragraphs: DataFrame, least: int = 25) -> DataFrame:
+    """H-55: a document's paragraphs of ``least`` characters and more, each text once, the first."""
+    key = T.normal_space(F.col("text"))
+    first = F.row_number().over(Window.partitionBy("ms_id", "key").orderBy("idx"))
+    return paragraphs.withColumn("key", key).where(F.length("key") >= least).withColumn("n", first).where("n = 1").drop("n", "key")

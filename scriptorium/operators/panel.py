@@ -197,3 +197,17 @@ def context(manuscripts: DataFrame, sections: DataFrame, budget: int = 60_000) -
     text = F.when(n > F.col("allowance"), F.concat(opening, F.lit("\n[... section abridged ...]\n"), closing)).otherwise(F.col("text"))
     title = F.coalesce(F.nullif("title_raw", F.lit("")), F.concat(F.lit("("), F.col("role"), F.lit(")")))
     return rows.select("ms_id", F.row_number().over(Window.partitionBy("ms_id").orderBy("sec_ord")).alias("part_no"), title.alias("section"), text.alias("text"))
+
+
+def reviewed(runs: DataFrame, texts: DataFrame, parts: DataFrame) -> DataFrame:
+    """K-11: answers to ranked findings: parsed, verified, placed in their sections, merged; what is not in the text is withheld.
+
+    ``runs``: ms_id, provider, reviewer, raw, error (runs that failed have no findings);
+    ``texts``: ms_id, text; ``parts``: as :func:`context` gives them.
+    """
+    found = parse_findings(runs.where("error IS NULL"))
+    order = Window.partitionBy("ms_id").orderBy("provider", "reviewer", "item_no")
+    held = verified(found.withColumn("seq", F.row_number().over(order)), texts).where("grounded")
+    keyed = held.withColumn("quote_id", F.concat_ws("/", F.col("ms_id").cast("string"), F.col("seq").cast("string")))
+    placed = keyed.drop("section").join(located(keyed.select("quote_id", "ms_id", "quote"), parts), "quote_id").drop("quote_id")
+    return merged(clusters(placed))

@@ -113,6 +113,21 @@ def affiliations_of(authors: DataFrame, affiliations: DataFrame) -> DataFrame:
     return named.groupBy("ms_id", "au_id").agg(F.array_sort(F.collect_set("place")).alias("places"))
 
 
+def without_label(runs: Column, characters: Column) -> Column:
+    """H-25: runs without the first characters, which are a caption's label; what follows stays as it is."""
+    empty = F.struct(characters.cast("int").alias("left"), F.slice(runs, 1, 0).alias("kept"))
+
+    def step(state: Column, run: Column) -> Column:
+        n = F.length(run["text"])
+        text = run["kind"] == "text"
+        cut = run.withField("text", F.substring(run["text"], state["left"] + 1, n))
+        left = F.when((state["left"] <= 0) | ~text, 0).otherwise(F.greatest(F.lit(0), state["left"] - n))
+        kept = F.when((state["left"] <= 0) | ~text, F.concat(state["kept"], F.array(run))).when(n <= state["left"], state["kept"]).otherwise(F.concat(state["kept"], F.array(cut)))
+        return F.struct(left.cast("int").alias("left"), kept.alias("kept"))
+
+    return F.aggregate(runs, empty, step, lambda state: state["kept"])
+
+
 def sorted_keywords(keywords: Column) -> Column:
     """F-15: keywords in the order of their lower-case forms."""
     return F.transform(F.array_sort(F.transform(keywords, lambda k: F.struct(F.lower(k).alias("k"), k.alias("v")))), lambda s: s["v"])

@@ -125,3 +125,18 @@ def deduplicated(findings: DataFrame) -> DataFrame:
     first = F.row_number().over(Window.partitionBy("ms_id", "severity", "code").orderBy("seq"))
     n = F.count("*").over(Window.partitionBy("ms_id", "severity", "code"))
     return findings.withColumn("n", n).withColumn("place", first).where("place = 1").drop("place")
+
+
+def of_target(blocks: DataFrame, targets: DataFrame, key: str) -> DataFrame:
+    """B-08: blocks with the figure, table or equation they point at."""
+    return blocks.join(targets.withColumnRenamed(key, "target_id"), ["ms_id", "target_id"])
+
+
+def in_order(sections: DataFrame) -> DataFrame:
+    """B-06: sections in preorder."""
+    return sections.orderBy("ms_id", "sec_ord")
+
+
+def found_blocks(stream: DataFrame) -> DataFrame:
+    """N-02: the stream's blocks alone."""
+    return stream.where("record = 'block'")

@@ -288,3 +288,46 @@ def packed(text: Column) -> Column:
 
     return F.pandas_udf(pack, "binary")(text)
 
+
+
+def without_paragraphs(packages_: DataFrame, removals: DataFrame) -> DataFrame:
+    """L-22: packages (ms_id, content) without the paragraphs that ``removals`` (ms_id, idx) names; all other parts byte for byte.
+
+    A table cell keeps one empty paragraph, as the format asks.  Packages with nothing to
+    remove are not opened; one that cannot be read stays as it is.
+    """
+    ship(packages_.sparkSession)
+    wanted = removals.groupBy("ms_id").agg(F.collect_set("idx").alias("idx"))
+
+    def rewrite(contents: pd.Series, gone: pd.Series) -> pd.Series:
+        return pd.Series([c if g is None else _rewritten(bytes(c), {int(i) for i in g}) for c, g in zip(contents, gone)], dtype=object)
+
+    joined = packages_.join(wanted, "ms_id", "left")
+    return joined.select("ms_id", F.when(F.col("idx").isNull(), F.col("content")).otherwise(F.pandas_udf(rewrite, "binary")("content", "idx")).alias("content"))
+
+
+def _rewritten(content: bytes, gone: set[int]) -> bytes:
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            parts_ = {n: z.read(n) for n in z.namelist()}
+        data = parts_["word/document.xml"]
+        for prefix, uri in (e for _, e in ET.iterparse(io.BytesIO(data), events=["start-ns"])):
+            ET.register_namespace(prefix, uri)
+        root = ET.fromstring(data)
+        above = {child: parent for parent in root.iter() for child in parent}
+        for n, paragraph in enumerate(list(root.find(W + "body").iter(W + "p"))):
+            if n in gone:
+                parent = above[paragraph]
+                if parent.tag == W + "tc" and len(parent.findall(W + "p")) == 1:
+                    for child in list(paragraph):
+                        paragraph.remove(child)
+                else:
+                    parent.remove(paragraph)
+        parts_["word/document.xml"] = ET.tostring(root, encoding="UTF-8", xml_declaration=True)
+    except Exception:  # the caller sees it as it was, and the scan reports it
+        return content
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, part in parts_.items():
+            z.writestr(name, part)
+    return out.getvalue()

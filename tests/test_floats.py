@@ -119,3 +119,9 @@ def test_widths(spark):
     cells = spark.createDataFrame([(1, "t", 0, 0, "wide cell", 2), (1, "t", 0, 1, "x", 1), (1, "t", 1, 0, "ab", 1), (1, "t", 1, 1, "cdef", 1), (1, "t", 1, 2, "g", 1)], "ms_id int, tab_id string, row int, col int, text string, colspan int")
     widths = {r.column: r.width for r in floats.column_widths(cells).collect()}
     assert widths == {0: 9, 1: 4, 2: 3} and floats.natural_widths(floats.column_widths(cells)).first().natural == 22
+
+
+def test_labels_leave_runs(spark):
+    rows = spark.createDataFrame([([("text", "Fig. 3"), ("text", ": A curve"), ("math", "x")], 8), ([("math", "y"), ("text", "ab")], 3), ([], 2)], "runs array<struct<kind:string,text:string>>, n int")
+    found = rows.select(render.without_label(F.col("runs"), F.col("n")).alias("r")).collect()
+    assert [[tuple(x) for x in r.r] for r in found] == [[("text", "A curve"), ("math", "x")], [("math", "y"), ("text", "ab")], []]

@@ -89,3 +89,12 @@ def test_located(spark):
 def test_empty(spark):
     none = findings(spark, [])
     assert panel.clusters(none).isEmpty() and panel.ranked(none.withColumns({"agreement": F.lit(1), "specificity": F.lit(0.5)})).isEmpty()
+
+
+def test_answers_become_ranked_findings(spark):
+    text = "The pump was run for three hundred hours at constant load."
+    raw = '{"findings": [{"issue": "Load is not varied", "fix": "vary it", "quote": "run for three hundred hours at constant load"}, {"issue": "Made up", "quote": "a sentence that is not in the manuscript"}]}'
+    runs = spark.createDataFrame([(1, "p", "a", raw, None), (1, "q", "b", raw, None), (1, "r", "c", raw, "timed out")], RUNS + ", error string")
+    parts = spark.createDataFrame([(1, 1, "Methods", text)], "ms_id int, part_no int, section string, text string")
+    found = panel.reviewed(runs, spark.createDataFrame([(1, text)], "ms_id int, text string"), parts).collect()
+    assert [(f.issue, f.section, f.agreement, f.agreed_by, f.rank) for f in found] == [("Load is not varied", "Methods", 2, ["p/a", "q/b"], 1)]

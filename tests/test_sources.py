@@ -121,3 +121,19 @@ def test_markdown_and_results(spark, tmp_path):
     assert files.markdown(frame) == "| a | b |\n| --- | --- |\n| 1 |  |"
     files.write_results({"x": frame}, str(tmp_path), "csv")
     assert spark.read.option("header", True).csv(str(tmp_path / "x")).count() == 1
+
+
+def test_paragraphs_leave_a_package(spark):
+    rows = packages(spark)
+    gone = spark.createDataFrame([("one", 0), ("one", 1), ("damaged", 0)], "ms_id string, idx int")
+    after = docx.without_paragraphs(rows, gone)
+    texts = [r.text.strip() for r in docx.paragraphs(after).where("ms_id = 'one'").orderBy("idx").collect()]
+    assert texts == ["", "outer", "inner", ""]
+    assert docx.images(after).where("ms_id = 'one'").count() == 2 and docx.media(after).where("ms_id = 'one'").count() == 3
+    assert bytes(after.where("ms_id = 'damaged'").first().content) == b"no zip"
+    before = bytes(rows.where("ms_id = 'empty'").first().content)
+    assert bytes(after.where("ms_id = 'empty'").first().content) == before
+
+
+def test_models_that_have_enough(spark):
+    assert learn.train_all(learn.seeds(spark)) == {"heading": None, "role": None, "finding": None}
