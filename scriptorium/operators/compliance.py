@@ -2,7 +2,9 @@
 
 A profile is a row and a rule a projected struct: facts of each manuscript, one row, meet
 each profile, one row, and a rule whose limit is not set gives no finding.  Manuscripts
-that differ in size do not matter here; facts are one row each by then.
+that differ in size do not matter here; facts are one row each by then.  Every manuscript
+with every profile is the result itself, so that product is no detour; whether profiles are
+broadcast for it is left to their size.
 """
 
 from __future__ import annotations
@@ -99,7 +101,7 @@ def _rows(facts: DataFrame, rules: list[Column]) -> DataFrame:
 
 def text_findings(facts: DataFrame, table: DataFrame) -> DataFrame:
     """C-02 to C-14: rules on front matter and structure, a row for each that applies."""
-    both = facts.join(F.broadcast(table))  # profiles are data that people write: some dozens of rows
+    both = facts.crossJoin(table)
     empty = F.col("abstract_words") == 0
     n_keywords = F.size(F.coalesce("keywords", F.array()))
     low, high = F.coalesce(F.nullif("keywords_min", F.lit(0)), F.lit(0)), F.coalesce(F.nullif("keywords_max", F.lit(0)), F.lit(99))
@@ -141,12 +143,12 @@ def figure_facts(figures: DataFrame, tables: DataFrame, table: DataFrame, manusc
     low = measured & F.when(placed, effective_dpi(F.col("width_px"), F.col("placed_width_mm")) < F.col("dpi_halftone")).otherwise(F.col("width_px") < needed)
     rejected = F.array_contains(F.transform("rejected_formats", lambda f: F.lower(f)), F.lower("fmt"))
     ids = lambda condition: F.array_sort(F.collect_list(F.when(condition, F.col("fig_id"))))
-    found = figures.join(F.broadcast(table)).groupBy("ms_id", "profile_id").agg(
+    found = figures.crossJoin(table).groupBy("ms_id", "profile_id").agg(
         F.count("*").alias("figures"), ids(rejected).alias("rejected"), ids(low).alias("low"), ids(~F.col("is_vector") & ~measured).alias("unmeasured"),
         ids(F.coalesce("caption_raw", F.lit("")) == "").alias("uncaptioned"), F.array_sort(F.collect_set(F.when(rejected | (low & placed), F.col("fig_id")))).alias("unfit"),
     )
     bare = tables.groupBy("ms_id").agg(F.count("*").alias("tables"), F.array_sort(F.collect_list(F.when(F.coalesce("caption_raw", F.lit("")) == "", F.col("tab_id")))).alias("bare_tables"))
-    every = manuscripts.select("ms_id").join(F.broadcast(table.select("profile_id", "verified", "dpi_halftone")))
+    every = manuscripts.select("ms_id").crossJoin(table.select("profile_id", "verified", "dpi_halftone"))
     return every.join(found, ["ms_id", "profile_id"], "left").join(bare, "ms_id", "left")
 
 
@@ -180,7 +182,7 @@ def reference_facts(manuscripts: DataFrame, refs: DataFrame, issues: DataFrame)
 
 def reference_findings(facts: DataFrame, table: DataFrame) -> DataFrame:
     """C-15 to C-19."""
-    both = facts.join(F.broadcast(table))
+    both = facts.crossJoin(table)
     some = F.coalesce("refs", F.lit(0)) > 0
     rules = [
         F.when(~some, _finding(F.lit(FAIL), "references.present", F.lit(0), F.lit(None))),
@@ -195,7 +197,7 @@ def reference_findings(facts: DataFrame, table: DataFrame) -> DataFrame:
 def carried_findings(issues: DataFrame, table: DataFrame) -> DataFrame:
     """C-20: errors of the parser that bear on compliance, each a warning."""
     kept = issues.where((F.col("severity") == "error") & F.col("code").isin(*P.CARRIED_ISSUES))
-    return kept.join(F.broadcast(table.select("profile_id"))).select(
+    return kept.crossJoin(table.select("profile_id")).select(
         "ms_id", "profile_id", F.lit(WARN).alias("severity"), F.concat(F.lit("parse."), "code").alias("rule"), F.lit(1.0).alias("observed"), F.lit(0.0).alias("allowed"), F.array().cast("array<string>").alias("locations")
     )
 

@@ -104,7 +104,7 @@ def unsupported(facts: DataFrame, profiles: DataFrame) -> DataFrame:
     ranks = F.transform(F.filter("top_roles", lambda r: F.array_contains("section_order", r)), lambda r: F.array_position("section_order", r))
     missing = F.array_except("required_sections", F.array_union("present", F.array(F.lit("abstract"), F.lit("keywords"))))
     rows = F.array(F.when(ranks != F.array_sort(ranks), "section_order"), F.when(F.size(missing) > 0, F.concat(F.lit("missing: "), F.array_join(F.array_sort(missing), ", "))))
-    return facts.join(F.broadcast(profiles)).select("ms_id", "profile_id", F.explode(rows).alias("what")).where("what IS NOT NULL")
+    return facts.crossJoin(profiles).select("ms_id", "profile_id", F.explode(rows).alias("what")).where("what IS NOT NULL")
 
 
 def merged_styles(target: DataFrame, template: DataFrame) -> DataFrame:
@@ -136,7 +136,7 @@ def found_styles(hints: DataFrame, names: DataFrame) -> DataFrame:
     ``hints``: key, hint_ord, hint; ``names``: name_ord, name.
     """
     exact = F.lower("name") == F.lower("hint")
-    rows = hints.join(F.broadcast(names), exact | F.contains(F.lower("name"), F.lower("hint")))  # a template has some hundred styles at most
+    rows = hints.join(names, exact | F.contains(F.lower("name"), F.lower("hint")))
     place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc(exact), "hint_ord", "name_ord"))
     return rows.withColumn("place", place).where("place = 1").select("key", "name")
 

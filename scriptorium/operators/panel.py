@@ -37,7 +37,7 @@ def parse_findings(runs: DataFrame) -> DataFrame:
 
 def jobs(providers: DataFrame, reviewers: DataFrame, known: DataFrame) -> DataFrame:
     """D-15: every provider with every reviewer that is known."""
-    return providers.crossJoin(F.broadcast(reviewers.join(known, "reviewer", "left_semi")))
+    return providers.crossJoin(reviewers.join(known, "reviewer", "left_semi"))
 
 
 def grounded(quotes: DataFrame, texts: DataFrame, few: int = FEW_QUOTES) -> DataFrame:
@@ -62,7 +62,7 @@ def grounded(quotes: DataFrame, texts: DataFrame, few: int = FEW_QUOTES) -> Data
     common = parts.join(long.select("anchor").distinct(), "anchor", "left_semi").groupBy("anchor").agg(F.count("*").alias("n"))
     rarest = long.join(common, "anchor").withColumn("place", F.row_number().over(Window.partitionBy("quote_id").orderBy("n", "anchor"))).where("place = 1").select("quote_id", "q", "anchor")
     candidates = parts.join(rarest, "anchor").join(whole, "ms_id").where(found).select("quote_id", "ms_id")
-    return candidates.unionByName(whole.join(F.broadcast(short.limit(few)), found).select("quote_id", "ms_id"))
+    return candidates.unionByName(whole.join(short, found).select("quote_id", "ms_id"))
 
 
 def resembles(quote: Column, text: Column) -> Column:

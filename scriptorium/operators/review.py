@@ -187,15 +187,15 @@ def float_facts(figures: DataFrame, tables: DataFrame, profiles: DataFrame, manu
     """ms_id, profile_id, figures, tables, uncaptioned, unfit (a rejected format, or too coarse where it is placed)."""
     coarse = ~F.col("is_vector") & (F.coalesce("width_px", F.lit(0)) != 0) & (F.coalesce("placed_width_mm", F.lit(0.0)) != 0) & (effective_dpi(F.col("width_px"), F.col("placed_width_mm")) < F.col("dpi_halftone"))
     rejected = F.array_contains(F.transform("rejected_formats", lambda f: F.lower(f)), F.lower("fmt"))
-    found = figures.join(F.broadcast(profiles)).groupBy("ms_id", "profile_id").agg(
+    found = figures.crossJoin(profiles).groupBy("ms_id", "profile_id").agg(
         F.count("*").alias("figures"), F.count_if(F.coalesce("caption_raw", F.lit("")) == "").alias("uncaptioned"), F.count_if(rejected | F.coalesce(coarse, F.lit(False))).alias("unfit"))
     bare = tables.groupBy("ms_id").agg(F.count("*").alias("tables"))
-    return manuscripts.select("ms_id").join(F.broadcast(profiles.select("profile_id"))).join(found, ["ms_id", "profile_id"], "left").join(bare, "ms_id", "left")
+    return manuscripts.select("ms_id").crossJoin(profiles.select("profile_id")).join(found, ["ms_id", "profile_id"], "left").join(bare, "ms_id", "left")
 
 
 def checks(facts: DataFrame, floats: DataFrame, profiles: DataFrame) -> DataFrame:
     """I-24: ms_id, profile_id, seq and the fields of every check that applies."""
-    both = facts.join(F.broadcast(profiles)).join(floats, ["ms_id", "profile_id"], "left")
+    both = facts.crossJoin(profiles).join(floats, ["ms_id", "profile_id"], "left")
     every = scope_checks() + structure_checks() + abstract_checks() + reference_checks() + figure_checks() + reproducibility_checks() + writing_checks()
     return both.select("ms_id", "profile_id", F.posexplode(F.array(*every)).alias("seq", "c")).where("c IS NOT NULL").select("ms_id", "profile_id", "seq", "c.*")
 

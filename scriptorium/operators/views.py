@@ -31,7 +31,7 @@ def wanted_roles(facts: DataFrame, profiles: DataFrame) -> DataFrame:
     """F-22: the roles to confirm, in order: those required, those there, the essential ones; each once."""
     there = F.filter("top_roles", lambda r: r != "unknown")
     every = F.array_distinct(F.concat("required_sections", there, F.array(*map(F.lit, ESSENTIAL))))
-    return facts.join(F.broadcast(profiles)).select("ms_id", "profile_id", F.array_except(every, F.array(*map(F.lit, NOT_SELECTED))).alias("wanted"))
+    return facts.crossJoin(profiles).select("ms_id", "profile_id", F.array_except(every, F.array(*map(F.lit, NOT_SELECTED))).alias("wanted"))
 
 
 def default_ranges(rows: DataFrame, assignments: DataFrame) -> DataFrame:
