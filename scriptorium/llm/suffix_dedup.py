@@ -40,11 +40,14 @@ def _signed(x: int) -> int:
 
 
 def _anchors(rows: DataFrame, length: int, window: int) -> DataFrame:
-    """rid, lo and hi (first and last start), before (anchor - lo), lead, context."""
+    """rid, lo and hi (first and last start), more (lo of equal contexts in the same text, or null), before (anchor - lo), lead, context.
+
+    A text that repeats a line has one row for all the places where its context is the same.
+    """
     import xxhash
 
     leading = length - window + 1
-    names = ("rid", "lo", "hi", "before", "lead", "context")
+    names = ("rid", "lo", "hi", "more", "before", "lead", "context")
 
     def start():
         from scriptorium.llm.suffixes import anchors
@@ -53,18 +56,20 @@ def _anchors(rows: DataFrame, length: int, window: int) -> DataFrame:
             out: dict[str, list] = {n: [] for n in names}
             for rid, text in zip(batch.column("rid").to_pylist(), batch.column("text").to_pylist()):
                 data = (text or "").encode()
-                at, lo, hi = (x.tolist() for x in anchors(data, length, window))
-                out["rid"] += [rid] * len(at)
-                out["lo"] += lo
-                out["hi"] += hi
-                out["before"] += [a - b for a, b in zip(at, lo)]
-                out["lead"] += [_signed(xxhash.xxh3_64_intdigest(data[a : a + leading])) for a in at]
-                out["context"] += [_signed(xxhash.xxh3_64_intdigest(data[b : e + length], a - b)) for a, b, e in zip(at, lo, hi)]
+                own: dict[tuple, list] = {}
+                for a, b, e in zip(*(x.tolist() for x in anchors(data, length, window))):
+                    key = xxhash.xxh3_64_intdigest(data[a : a + leading]), xxhash.xxh3_64_intdigest(data[b : e + length], a - b)
+                    own.setdefault(key, []).append((b, e, a - b))
+                for (lead, context), places in own.items():
+                    lo, hi, before = places[0]
+                    more = [p[0] for p in places[1:]] or None
+                    for n, v in zip(names, (rid, lo, hi, more, before, _signed(lead), _signed(context))):
+                        out[n].append(v)
             return out
 
         return fill
 
-    return map_batches(rows.select("rid", "text"), start, "rid long, lo int, hi int, before int, lead long, context long")
+    return map_batches(rows.select("rid", "text"), start, "rid long, lo int, hi int, more array<int>, before int, lead long, context long")
 
 
 def _with_bytes(pointers: DataFrame, rows: DataFrame, length: int) -> DataFrame:
@@ -135,7 +140,7 @@ def _counted_strings(contexts: DataFrame, length: int) -> DataFrame:
 def marked(rows: DataFrame, length: int = 400, window: int = WINDOW) -> DataFrame:
     """rid, runs: for each text with repeated strings the flat list of first and last starts of them."""
     found = written(_anchors(rows, length, window), "anchors")
-    distinct = found.groupBy("lead", "context").agg(F.count("*").alias("n"), F.min(F.struct("rid", "lo", "hi", "before")).alias("one"))
+    distinct = found.groupBy("lead", "context").agg(F.sum(1 + F.coalesce(F.array_size("more"), F.lit(0))).alias("n"), F.min(F.struct("rid", "lo", "hi", "before")).alias("one"))
     distinct = written(distinct, "contexts")
     leads = distinct.groupBy("lead").agg(F.count("*").alias("m"), F.sum("n").alias("all")).where("all > 1").select("lead", "m")
     shared = written(distinct.join(leads, "lead").select("lead", "context", "n", "m", "one.*"), "shared")
@@ -150,7 +155,9 @@ def marked(rows: DataFrame, length: int = 400, window: int = WINDOW) -> DataFram
         partly = partly.unionAll(_counted_strings(apart.where("hot").drop("hot"), length))
     marks = shared.where("n > 1").select("lead", "context", F.array(F.lit(0), F.col("hi") - F.col("lo")).alias("marks"))
     marks = written(marks.unionAll(partly), "marks")
-    placed = found.join(marks, ["lead", "context"]).select("rid", F.transform("marks", lambda x: x + F.col("lo")).alias("runs"))
+    places = F.concat(F.array("lo"), F.coalesce("more", F.array().cast("array<int>")))
+    runs = F.flatten(F.transform(places, lambda lo: F.transform("marks", lambda x: x + lo)))
+    placed = found.join(marks, ["lead", "context"]).select("rid", runs.alias("runs"))
     return written(placed.groupBy("rid").agg(F.flatten(F.collect_list("runs")).alias("runs")), "runs")
 
 
