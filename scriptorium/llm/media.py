@@ -103,7 +103,6 @@ class Shards:
             self.at += len(head) + len(data) + -len(data) % 512
             if self.at >= self.most:
                 self.close()
-                self.places.clear()
             return place
         return self.places[digest]
 

@@ -27,7 +27,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not place:
         place = "file://" + tempfile.mkdtemp(prefix="scriptorium-")
         spark.conf.set("spark.scriptorium.dir", place)
-    return (place if "://" in place else "file://" + place).rstrip("/")
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    whole = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()  # a bare path is the cluster's default store
+    return (whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") and not whole.startswith("file://") else whole).rstrip("/")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
@@ -82,10 +84,11 @@ def unused(name: str, df: DataFrame) -> str:
     return name
 
 
-def map_batches(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, most: int = 4 << 20) -> DataFrame:
     """``mapInArrow`` where ``start()`` runs once a task and returns the function of a batch.
 
-    The function returns columns by name; they are cast to ``schema``.
+    The function returns columns by name, as Arrow arrays or sequences; they are cast to
+    ``schema``.  It is given batches of about ``most`` bytes.
     """
     spark = df.sparkSession
     ship(spark)
@@ -99,9 +102,9 @@ def map_batches(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], di
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = start()
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, most):
                 columns = function(batch)
-                yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c := columns[f.name], pa.Array) else pa.array(c, f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, target)
 
