@@ -21,10 +21,10 @@ from __future__ import annotations
 
 import numpy as np
 
-BLOCK, CONTEXT = 48, 16
+BLOCK, CONTEXT = 24, 8
 #: Width of vectors; hidden width of the head over words and of that over subwords.
-DIM, WIDE_WORDS, WIDE_SUBWORDS = 16, 24, 128
-OWN, REST = 224, 31
+DIM, WIDE_WORDS, WIDE_SUBWORDS = 16, 24, 96
+OWN, REST = 128, 31
 SLOTS = 1 + OWN + REST
 SPAN = BLOCK + CONTEXT
 #: distance from key to query within a window, and where it is allowed
@@ -77,12 +77,19 @@ def forward(head: dict, x: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray,
     """Logits of every slot for a stream of vectors, and what the backward pass needs."""
     n = len(x)
     keys, values = _windows(x @ head["key"], 0), _windows(x @ head["value"], 0)
-    queries = _windows(x @ (head["query"] * np.float32(DIM**-0.5)), 0)[:, CONTEXT:]
+    many = len(keys)
+    queries = np.zeros((many * BLOCK, DIM), x.dtype)
+    queries[:n] = x @ (head["query"] * np.float32(DIM**-0.5))
+    queries = queries.reshape(many, BLOCK, DIM)
+    scores = queries @ keys.transpose(0, 2, 1)
+    scores += np.where(ALLOWED, head["place"][CLIPPED], np.float32(-1e9))
     parts = _windows(segment, -1)
-    scores = queries @ keys.transpose(0, 2, 1) + head["place"][CLIPPED]
-    mask = ALLOWED & (parts[:, CONTEXT:, None] == parts[:, None, :])
-    np.copyto(scores, np.float32(-1e9), where=~mask)
-    scores -= scores.max(axis=2, keepdims=True)
+    if tail := many * BLOCK - n:
+        parts[-1, SPAN - tail :] = -2  # not like what is before the stream
+    mixed = np.flatnonzero(parts[:, 0] != parts[:, -1])  # segments come in runs: the other windows hold one
+    scores[mixed] = np.where(parts[mixed][:, CONTEXT:, None] == parts[mixed][:, None, :], scores[mixed], np.float32(-1e9))
+    if (top := float(scores.max())) > 40:  # far from overflow, and every row sees itself
+        scores -= top - 40
     weights = np.exp(scores, out=scores)
     weights /= weights.sum(axis=2, keepdims=True)
     seen = (weights @ values).reshape(-1, DIM)[:n]
@@ -92,9 +99,10 @@ def forward(head: dict, x: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray,
 
 def log_shares(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural logarithm of each target's softmax."""
-    logits -= logits.max(axis=1, keepdims=True)
+    if (top := float(logits.max(initial=0))) > 40:
+        logits -= top - 40
     chosen = logits[np.arange(len(target)), target]
-    return chosen - np.log(np.exp(logits, out=logits).sum(axis=1))
+    return chosen - np.log(np.exp(logits, out=logits).sum(axis=1) + np.float32(1e-37))
 
 
 def predict(head: dict, x: np.ndarray, segment: np.ndarray, target: np.ndarray, chunk: int = 32 * BLOCK) -> np.ndarray:

@@ -22,6 +22,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,11 +31,11 @@ from scriptorium.llm import attention
 from scriptorium.llm.packing import PATTERN
 from scriptorium.llm.shared import map_batches, remainder, slices, text_rows, written
 
-#: Entries of the broadcast table, and distinct words a worker keeps at hand.
-TABLE = 400_000
-KEPT_WORDS = 500_000
-#: Training: at least so many texts, or this share of them; tasks and rounds.
-LEAST_TEXTS, SHARE, TASKS, ROUNDS = 2500, 1 / 64, 64, 2
+#: Entries of the broadcast table, and other distinct words that a worker keeps at hand.
+TABLE = 250_000
+KEPT_WORDS = 200_000
+#: Training: at least so many texts, or this share of them; tasks; rounds, and more while fewer words have been seen.
+LEAST_TEXTS, SHARE, TASKS, ROUNDS, MOST_ROUNDS, LEAST_WORDS = 2500, 1 / 96, 64, 2, 6, 2_500_000
 SEED = 11
 _loaded: dict = {}
 
@@ -44,27 +45,40 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """As :func:`words_of` for many texts, in Arrow: words of each text, the number of each word among the distinct, those."""
+    own = texts.take(pa.array(np.arange(len(texts))))  # a slice of a batch would be split at its batch's places
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(own.cast(pa.large_string()), "")))
+    lengths, flat = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64), pc.list_flatten(lists)
+    some = pc.binary_length(flat).to_numpy() > 0  # white space at an end leaves an empty word there
+    lengths = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[some], minlength=len(lengths)).astype(np.int64)
+    coded = flat.filter(pa.array(some)).dictionary_encode()
+    return lengths, coded.indices.to_numpy().astype(np.int64), coded.dictionary.cast(pa.large_binary()).to_pylist()
+
+
 def encoder(ranks: str):
-    """Function from words to their subword ids, as a byte-level BPE splits them after a space."""
+    """A byte-level BPE's ids of a text, and whether each id's bytes begin with a space."""
     if ranks not in _loaded:
         import tiktoken
 
         with open(ranks, "rb") as lines:
             merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _loaded[ranks] = tiktoken.Encoding(ranks, pat_str=PATTERN, mergeable_ranks=merges, special_tokens={}).encode_ordinary, len(merges)
+        begins = np.zeros(len(merges), bool)
+        begins[[i for b, i in merges.items() if b[:1] == b" "]] = True
+        _loaded[ranks] = tiktoken.Encoding(ranks, pat_str=PATTERN, mergeable_ranks=merges, special_tokens={}).encode_ordinary, begins
     return _loaded[ranks]
 
 
 def tokens_of(words: list[bytes], ranks: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of words in one row, the number of each id's word, and whether it is the word's first."""
-    encode, _ = encoder(ranks)
-    ids = [encode(" " + w.decode()) for w in words]
-    lengths = np.array([len(x) for x in ids], np.int64)
-    flat = np.array([i for x in ids for i in x], np.int64)
-    word = np.repeat(np.arange(len(words)), lengths)
-    leads = np.zeros(len(flat), bool)
-    leads[np.cumsum(lengths) - lengths] = True
-    return flat, word, leads
+    """Ids of words in one row, the number of each id's word, and whether it is the word's first.
+
+    Words hold no space, so in a text where one stands before each, exactly the first ids
+    of words begin with it.
+    """
+    encode, begins = encoder(ranks)
+    flat = np.array(encode("".join(" " + w.decode() for w in words)), np.int64)
+    leads = begins[flat]
+    return flat, np.cumsum(leads) - 1, leads
 
 
 class Scorer:
@@ -120,9 +134,10 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
         for whole in batches:
             for batch in slices(whole, 4 << 20):
-                for text in batch.column("text").to_pylist():
-                    texts += 1
-                    seen.update(words_of(text))
+                _, numbers, distinct = split_words(batch.column("text"))
+                texts += batch.num_rows
+                for word, n in zip(distinct, np.bincount(numbers, minlength=len(distinct)).tolist()):
+                    seen[word] += n
                 if len(seen) > 600_000:
                     yield flush()
                     seen.clear()
@@ -133,9 +148,27 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
 
 
+def frequent_words(counts: DataFrame, most: int) -> dict[bytes, int]:
+    """The most frequent words, all of those with as many occurrences or none, at most ``most``.
+
+    How often each count occurs tells which count to stop at: no list of candidates is merged.
+    """
+    words = counts.where("word IS NOT NULL")
+    total, least = 0, None
+    for r in words.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).toLocalIterator():
+        total += r.words
+        if total > most:
+            break
+        least = r.n
+    if least is None:
+        return {}
+    top = words.where(F.col("n") >= least).toPandas()
+    return dict(zip(map(str.encode, top["word"]), top["n"].tolist()))
+
+
 def id_counts(counts: DataFrame, ranks: str) -> tuple[np.ndarray, np.ndarray]:
     """How often each subword id begins a word and continues one: arrays as long as the vocabulary."""
-    _, size = encoder(ranks)
+    size = len(encoder(ranks)[1])
 
     def count(batches):
         first, after = np.zeros(size), np.zeros(size)
@@ -196,18 +229,18 @@ def _train_task(scorer: Scorer, rate: float, batches, words_a_step: int = 3000):
         yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(places, pa.int32()), pa.array(np.concatenate(values).astype(np.float64)), pa.array(np.full(len(names), total))], names=["name", "place", "value", "words"])
 
 
-def train(rows: DataFrame, texts: int, first: np.ndarray, after: np.ndarray, table: dict[bytes, int], ranks: str) -> dict[str, np.ndarray]:
+def train(rows: DataFrame, texts: int, tokens: int, first: np.ndarray, after: np.ndarray, table: dict[bytes, int], ranks: str) -> dict[str, np.ndarray]:
     """Attention weights, from the texts whose hash falls in the share that is trained on."""
     of_slot = lambda counts, ends: np.bincount(attention.slots_of(counts)[0], weights=counts, minlength=attention.SLOTS) + ends * (np.arange(attention.SLOTS) == 0)
     model = attention.Model.fresh(SEED, of_slot(first, texts), of_slot(after, first.sum()))
     share = max(SHARE, min(1.0, LEAST_TEXTS / max(1, texts)))
     picked = rows.where(F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(1_000_000)) < int(share * 1_000_000)).select("text")
     picked = written(picked, "training")
-    dealt = picked.repartition(max(1, min(TASKS, int(texts * share) // 600))).sortWithinPartitions(F.xxhash64("text"))
+    dealt = picked.repartition(max(1, min(TASKS, int(texts * share) // 1250))).sortWithinPartitions(F.xxhash64("text"))
     context = rows.sparkSession.sparkContext
-    for turn in range(ROUNDS):
+    for turn in range(max(ROUNDS, min(MOST_ROUNDS, int(LEAST_WORDS / max(1.0, tokens * share))))):
         start = context.broadcast((model.weights, first, after, table))
-        rate = 0.01 / (1 + 2 * turn)
+        rate = 0.02 / (1 + 2 * turn)
 
         def task(batches, start=start, rate=rate):
             weights, first, after, table = start.value
@@ -224,59 +257,81 @@ def train(rows: DataFrame, texts: int, first: np.ndarray, after: np.ndarray, tab
 
 
 class Reader:
-    """A worker's state: each distinct word's base logarithm, count known or not, vector and score."""
+    """A worker's state: each distinct word's base logarithm, count known or not, vector and score.
 
-    def __init__(self, scorer: Scorer, shift: float, most: int):
-        self.scorer, self.shift, self.most = scorer, shift, most
-        self.clear()
+    Words of the table stay, in the first places; others have the places after them and
+    make room for new ones when those are full.
+    """
 
-    def clear(self) -> None:
+    def __init__(self, scorer: Scorer, shift: float, most: int):
+        self.scorer, self.shift = scorer, shift
         self.index: dict[bytes, int] = {}
-        self.base = np.zeros(0)
-        self.vectors = np.zeros((0, attention.DIM), np.float32)
-        self.slot, self.log = np.zeros(0, np.int64), np.zeros(0)
+        self.others: list[bytes] = []
+        self.tabled, self.size = 0, len(scorer.table) + most
+        self.base, self.log = np.zeros(self.size), np.zeros(self.size)
+        self.vectors, self.slot = np.zeros((self.size, attention.DIM), np.float32), np.zeros(self.size, np.int64)
+
+    def places(self, distinct: list[bytes]) -> np.ndarray:
+        """The place of every one of distinct words, once those that are not at hand are learned.
+
+        If there is no room for them, all but the table's words go first.
+        """
+        found = list(map(self.index.get, distinct))
+        missing = [w for w, i in zip(distinct, found) if i is None]
+        if len(missing) > self.size - len(self.scorer.table) - len(self.others):
+            for w in self.others:
+                del self.index[w]
+            self.others = []
+            missing = [w for w in distinct if w not in self.index]
+        if missing:
+            self.learn(missing)
+            found = [self.index[w] for w in distinct]
+        return np.array(found, np.int64)
 
     def learn(self, words: list[bytes]) -> None:
-        if len(self.index) + len(words) > self.most:
-            self.clear()
-        begin = len(self.index)
-        self.index.update(zip(words, range(begin, begin + len(words))))
-        count = np.array([self.scorer.table.get(w, 0) for w in words], np.float64)
-        vectors, slot, log = self.scorer.words(words)
-        self.base = np.concatenate([self.base[:begin], np.where(count > 0, np.log10(count + 1) - self.shift, np.nan)])
-        self.vectors = np.concatenate([self.vectors[:begin], vectors])
-        self.slot, self.log = np.concatenate([self.slot[:begin], slot]), np.concatenate([self.log[:begin], log])
-
-    def score(self, texts: list[str | None]) -> dict[str, list]:
-        """n_tokens without the end, base and known of tabled words, words the table lacks, score."""
-        read = [words_of(t) for t in texts]
-        new = [w for w in dict.fromkeys(w for words in read for w in words) if w not in self.index]
-        if new:
-            self.learn(new)
-            if any(w not in self.index for words in read for w in words):  # the table was cleared for room
-                self.learn([w for w in dict.fromkeys(w for words in read for w in words) if w not in self.index])
-        lengths = np.array([len(words) for words in read], np.int64)
-        number = np.fromiter(map(self.index.__getitem__, (w for words in read for w in words)), np.int64, int(lengths.sum()))
-        text = np.repeat(np.arange(len(read)), lengths)
+        table = self.scorer.table
+        known = [w for w in words if w in table]
+        other = [w for w in words if w not in table]
+        room = self.size - len(table) - len(self.others)
+        if len(other) > room:  # one batch with more new words than are kept: its arrays grow
+            more = len(other) - room
+            self.size += more
+            self.base, self.log, self.slot = (np.pad(x, (0, more)) for x in (self.base, self.log, self.slot))
+            self.vectors = np.pad(self.vectors, ((0, more), (0, 0)))
+        begin = len(table) + len(self.others)
+        places = np.concatenate([np.arange(self.tabled, self.tabled + len(known)), np.arange(begin, begin + len(other))]).astype(np.int64)
+        self.index.update(zip(known + other, places.tolist()))
+        self.tabled += len(known)
+        self.others += other
+        count = np.array([table[w] for w in known], np.float64)
+        self.vectors[places], self.slot[places], self.log[places] = self.scorer.words(known + other)
+        self.base[places] = np.concatenate([np.log10(count + 1) - self.shift, np.full(len(other), np.nan)])
+
+    def score(self, texts: pa.Array) -> dict:
+        """Words, known of tabled words, their base, words the table lacks, score, of each text."""
+        lengths, numbers, distinct = split_words(texts)
+        many = len(lengths)
+        number = self.places(distinct)[numbers] if distinct else numbers
+        text = np.repeat(np.arange(many), lengths)
         base = self.base[number]
         lacking = np.isnan(base)
         # the stream: a beginning before every text; at each place the slot of what follows
         places = np.arange(len(number)) + text + 1
-        vectors = np.broadcast_to(self.scorer.model.weights["first"][0], (len(number) + len(read), attention.DIM)).copy()
+        vectors = np.broadcast_to(self.scorer.model.weights["first"][0], (len(number) + many, attention.DIM)).copy()
         vectors[places] = self.vectors[number]
         target = np.zeros(len(vectors), np.int64)
         target[places - 1] = self.slot[number]
-        of_text = np.repeat(np.arange(len(read)), lengths + 1)
+        of_text = np.repeat(np.arange(many), lengths + 1)
         logs = self.scorer.stream(vectors, of_text, target).astype(np.float64)
-        total = np.bincount(of_text, weights=logs, minlength=len(read)) + np.bincount(text, weights=self.log[number], minlength=len(read))
-        ends = np.cumsum(lengths)
-        missed = []
-        for n, words in enumerate(read):
-            flags = lacking[ends[n] - lengths[n] : ends[n]]
-            missed.append([{"word": w.decode(), "n": c} for w, c in Counter(words[i] for i in np.flatnonzero(flags).tolist()).items()] if flags.any() else [])
+        total = np.bincount(of_text, weights=logs, minlength=many) + np.bincount(text, weights=self.log[number], minlength=many)
+        pairs, times = np.unique(text[lacking] * len(distinct) + numbers[lacking], return_counts=True)
+        of, word = np.divmod(pairs, max(1, len(distinct)))
+        ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(of, minlength=many))]).astype(np.int32))
+        rare = pa.array(distinct, pa.binary()).take(pa.array(word)).cast(pa.string())
+        missed = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([rare, pa.array(times, pa.int64())], names=["word", "n"]))
         return {
-            "words": lengths, "known": lengths - np.bincount(text, weights=lacking, minlength=len(read)).astype(np.int64),
-            "base": np.bincount(text, weights=np.where(lacking, 0, base), minlength=len(read)), "missed": missed, "score": total / math.log(10),
+            "words": lengths, "known": lengths - np.bincount(text, weights=lacking, minlength=many).astype(np.int64),
+            "base": np.bincount(text, weights=np.where(lacking, 0, base), minlength=many), "missed": missed, "score": total / math.log(10),
         }
 
 
@@ -295,9 +350,8 @@ def score_texts(df: DataFrame, ranks: str, modulus: int = 7, held_out: int = 2,
     tokens, distinct, texts = (int(x) for x in totals)
     shift = math.log10(tokens + distinct + 1)
     first, after = id_counts(counts, ranks)
-    top = counts.where("word IS NOT NULL").orderBy(F.desc("n"), "word").limit(table).toPandas()  # bounded by ``table``
-    frequent = dict(zip(map(str.encode, top["word"]), top["n"].tolist()))
-    weights = train(learned, texts, first, after, frequent, ranks)
+    frequent = frequent_words(counts, table)
+    weights = train(learned, texts, tokens, first, after, frequent, ranks)
     shared = df.sparkSession.sparkContext.broadcast((weights, first, after, frequent))
 
     def start():
@@ -309,15 +363,14 @@ def score_texts(df: DataFrame, ranks: str, modulus: int = 7, held_out: int = 2,
 
         def fill(batch: pa.RecordBatch) -> dict:
             nonlocal number
-            parts = [reader.score(part.column("text").to_pylist()) for part in slices(batch, 2 << 20)]
-            out = {n: [x for p in parts for x in p[n]] for n in parts[0]}
+            out = reader.score(batch.column("text"))
             number += batch.num_rows
-            return out | {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "row": range(number - batch.num_rows, number)}
+            return out | {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "row": np.arange(number - batch.num_rows, number)}
 
         return fill
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    scored = map_batches(rows, start, f"row long, doc_id {kind}, held_out boolean, words long, known long, base double, missed array<struct<word:string,n:long>>, score double")
+    scored = map_batches(rows, start, f"row long, doc_id {kind}, held_out boolean, words long, known long, base double, missed array<struct<word:string,n:long>>, score double", most=3 << 20)
     scored = written(scored, "scores")
     missed = scored.select("row", F.explode("missed").alias("m")).select("row", F.col("m.word").alias("word"), F.col("m.n").alias("times"))
     found = missed.join(counts.where("word IS NOT NULL"), "word", "left")
