@@ -5,9 +5,9 @@ words.  The other is a causal self-attention model on subword ids, trained in nu
 (:mod:`scriptorium.llm.attention`).
 
 What is gathered covers every training text: the count of every word, and from those the
-counts of every subword id and the table of frequent words.  The attention weights are trained on executors, on a share
-of the training texts that a hash picks (so it grows with the input), each task from the
-same start; weights are averaged, weighted by words, after each round.
+counts of every subword id and the table of frequent words.  The attention weights are trained on executors, in one
+pass over all training texts: a hash deals them to a fixed number of rounds, the tasks of a
+round have the same start, and weights are averaged, weighted by words, after each round.
 
 Scoring is one pass.  The most frequent words' counts are a broadcast table of bounded
 size; other words of a text are emitted and joined with the full counts, so every count
@@ -34,8 +34,9 @@ from scriptorium.llm.shared import map_batches, remainder, slices, text_rows, wr
 #: Entries of the broadcast table, and other distinct words that a worker keeps at hand.
 TABLE = 250_000
 KEPT_WORDS = 200_000
-#: Training: at least so many texts, or this share of them; tasks; rounds, and more while fewer words have been seen.
-LEAST_TEXTS, SHARE, TASKS, ROUNDS, MOST_ROUNDS, LEAST_WORDS = 2500, 1 / 96, 64, 2, 6, 2_500_000
+#: Training: rounds that share out the texts, the same number at every size; texts of a task; words of the first steps and of the longest.
+ROUNDS = MOST_ROUNDS = 4
+TASK_TEXTS, FIRST_STEP, STEP = 1250, 250, 3000
 SEED = 11
 _loaded: dict = {}
 
@@ -190,7 +191,7 @@ def id_counts(counts: DataFrame, ranks: str) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def _train_task(scorer: Scorer, rate: float, batches, words_a_step: int = 3000):
+def _train_task(scorer: Scorer, rate: float, batches):
     """Weights after one pass over a task's texts, as rows (name, place, value, words)."""
     adam = attention.Adam(scorer.model.weights, rate)
     total, pending, size = 0, [], 0
@@ -211,10 +212,10 @@ def _train_task(scorer: Scorer, rate: float, batches, words_a_step: int = 3000):
         for batch in slices(whole, 1 << 20):
             for text_ in batch.column("text").to_pylist():
                 words = words_of(text_)
-                for at in range(0, max(1, len(words)), words_a_step):  # long texts in steps; none is left out
-                    pending.append(words[at : at + words_a_step])
+                for at in range(0, max(1, len(words)), STEP):  # long texts in steps; none is left out
+                    pending.append(words[at : at + STEP])
                     size += len(pending[-1]) + 1
-                    if size >= words_a_step:
+                    if size >= min(STEP, FIRST_STEP + total // 4):  # steps grow with what the task has read
                         learn()
                         total, pending, size = total + size, [], 0
     if pending:
@@ -229,16 +230,14 @@ def _train_task(scorer: Scorer, rate: float, batches, words_a_step: int = 3000):
         yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(places, pa.int32()), pa.array(np.concatenate(values).astype(np.float64)), pa.array(np.full(len(names), total))], names=["name", "place", "value", "words"])
 
 
-def train(rows: DataFrame, texts: int, tokens: int, first: np.ndarray, after: np.ndarray, table: dict[bytes, int], ranks: str) -> dict[str, np.ndarray]:
-    """Attention weights, from the texts whose hash falls in the share that is trained on."""
+def train(rows: DataFrame, texts: int, first: np.ndarray, after: np.ndarray, table: dict[bytes, int], ranks: str) -> dict[str, np.ndarray]:
+    """Attention weights, from one pass over all rows; each is in one round, copies of a text in any."""
     of_slot = lambda counts, ends: np.bincount(attention.slots_of(counts)[0], weights=counts, minlength=attention.SLOTS) + ends * (np.arange(attention.SLOTS) == 0)
     model = attention.Model.fresh(SEED, of_slot(first, texts), of_slot(after, first.sum()))
-    share = max(SHARE, min(1.0, LEAST_TEXTS / max(1, texts)))
-    picked = rows.where(F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(1_000_000)) < int(share * 1_000_000)).select("text")
-    picked = written(picked, "training")
-    dealt = picked.repartition(max(1, min(TASKS, int(texts * share) // 1250))).sortWithinPartitions(F.xxhash64("text"))
     context = rows.sparkSession.sparkContext
-    for turn in range(max(ROUNDS, min(MOST_ROUNDS, int(LEAST_WORDS / max(1.0, tokens * share))))):
+    for turn in range(ROUNDS):
+        part = rows.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(SEED)), F.lit(ROUNDS)) == turn).select("text")
+        dealt = part.repartition(max(1, texts // (ROUNDS * TASK_TEXTS))).sortWithinPartitions(F.xxhash64("text"))
         start = context.broadcast((model.weights, first, after, table))
         rate = 0.02 / (1 + 2 * turn)
 
@@ -351,7 +350,7 @@ def score_texts(df: DataFrame, ranks: str, modulus: int = 7, held_out: int = 2,
     shift = math.log10(tokens + distinct + 1)
     first, after = id_counts(counts, ranks)
     frequent = frequent_words(counts, table)
-    weights = train(learned, texts, tokens, first, after, frequent, ranks)
+    weights = train(learned, texts, first, after, frequent, ranks)
     shared = df.sparkSession.sparkContext.broadcast((weights, first, after, frequent))
 
     def start():

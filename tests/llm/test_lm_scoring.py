@@ -124,6 +124,17 @@ def test_training_helps(spark):
     assert sum(r.score for r in found) > sum(r.base_score for r in found)
 
 
+def test_every_text_is_trained_on(spark):
+    """As one of 24,000 texts, of which a tenth used to be picked by a hash, each moves the weights, however often it occurs."""
+    ones = np.ones(len(lm_scoring.encoder(RANKS)[1]))
+    trained = lambda rows: lm_scoring.train(rows, 24_000, ones, ones, {b"one": 1}, RANKS)
+    frame = lambda texts: spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    fresh = trained(frame(["one"]).limit(0))
+    for texts in (["one two one"], ["two one"], ["one one"] * 30, ["two two two"] * 30):
+        found = trained(frame(texts))
+        assert any(not np.array_equal(found[k], fresh[k]) for k in fresh)
+
+
 def test_words_alike_in_arrow_and_python():
     draw = random.Random(5)
     letters = list("aBcÉ \t\n\x0b\x0c\r\x1c\xa0☃ ")
