@@ -21,10 +21,10 @@ from __future__ import annotations
 
 import numpy as np
 
-BLOCK, CONTEXT = 24, 8
+BLOCK, CONTEXT = 48, 16
 #: Width of vectors; hidden width of the head over words and of that over subwords.
-DIM, WIDE_WORDS, WIDE_SUBWORDS = 16, 24, 96
-OWN, REST = 128, 31
+DIM, WIDE_WORDS, WIDE_SUBWORDS = 16, 24, 128
+OWN, REST = 224, 31
 SLOTS = 1 + OWN + REST
 SPAN = BLOCK + CONTEXT
 #: distance from key to query within a window, and where it is allowed

@@ -88,6 +88,19 @@ def test_nothing_ahead_or_of_another_text_matters():
     assert head[1] < head[0] + 5
 
 
+def test_fifteen_words_before_matter():
+    """The vector 15 places before reaches a position's logits, the one 16 before does not; 224 ids have their own slot."""
+    head = attention.initial(3, np.zeros(attention.SLOTS), 24)
+    x = np.random.default_rng(6).standard_normal((120, attention.DIM)).astype(np.float32)
+    logits = lambda x: attention.forward(head, x, np.zeros(120, int))[0][100]
+    for back, matters in ((8, True), (15, True), (16, False)):
+        other = x.copy()
+        other[100 - back] += 1
+        assert np.allclose(logits(other), logits(x), rtol=0, atol=1e-6) != matters
+    slot, _ = attention.slots_of(np.arange(5000.0))
+    assert len(set(slot[-224:]) - set(slot[:-224])) == 224
+
+
 def test_slots_share_out_one():
     counts = np.random.default_rng(2).integers(0, 50, 5000).astype(float)
     slot, share = attention.slots_of(counts)
