@@ -63,8 +63,8 @@ def clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def verified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F-06: quotes cut out of their documents, a third with a letter changed, a third foreign."""
-    texts = X.texts(spark, sf_dir).where("length(text) > 400 AND ms_id % 10 = 0").select("ms_id", F.left("text", F.lit(2000)).alias("text"))
+    """F-06: quotes cut out of their documents, a third with a letter changed, a third foreign; whole texts of all documents."""
+    texts = X.texts(spark, sf_dir)
     quote = F.substring("text", 100, 80)
     changed = F.concat(F.left(quote, F.lit(40)), F.lit("x"), F.substring(quote, 42, 40))
     rows = texts.select("ms_id", F.when(F.col("ms_id") % 3 == 0, quote).when(F.col("ms_id") % 3 == 1, changed).otherwise(F.lit("words that nobody would write in such a text at all")).alias("quote"))

@@ -1,4 +1,5 @@
 import difflib
+import random
 
 from pyspark.sql import functions as F
 
@@ -98,3 +99,24 @@ def test_answers_become_ranked_findings(spark):
     parts = spark.createDataFrame([(1, 1, "Methods", text)], "ms_id int, part_no int, section string, text string")
     found = panel.reviewed(runs, spark.createDataFrame([(1, text)], "ms_id int, text string"), parts).collect()
     assert [(f.issue, f.section, f.agreement, f.agreed_by, f.rank) for f in found] == [("Load is not varied", "Methods", 2, ["p/a", "q/b"], 1)]
+
+
+def test_verified_reads_whole_texts_of_all_documents(spark, tmp_path):
+    """Against difflib over every window; a foreign quote stands, one letter off, behind 3,000 characters."""
+    from scriptorium.plans.panel_queries import verified
+
+    draw = random.Random(7)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "stone", "river", "cloud"]
+    texts = {i: " ".join(draw.choice(words) + str(draw.randint(0, 999)) for _ in range(n)) for i, n in enumerate((600, 5, 0, 60, 25, 600, 12, 40, 400))}
+    foreign = "words that nobody would write in such a text at all"
+    texts[5] = texts[5][:3003] + " " + foreign.replace("nobody", "nobudy") + " " + texts[5][3003:]
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.ms_id: r.grounded for r in verified(spark, str(tmp_path)).collect()}
+
+    def expected(i, text):
+        cut = text[99:179]
+        quote, text = (" ".join(x.split()) for x in ([cut, cut[:40] + "x" + cut[41:], foreign][i % 3], text))
+        windows = [text[a : a + len(quote)] for a in range(0, max(1, len(text) - len(quote) + 1), max(1, len(quote) // 4))]
+        return len(quote) >= 20 and (quote in text or any(difflib.SequenceMatcher(None, quote, w).ratio() >= 0.92 for w in windows))
+
+    assert found == {i: expected(i, t) for i, t in texts.items()} and set(found.values()) == {True, False}
