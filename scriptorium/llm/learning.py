@@ -13,24 +13,28 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     """Texts with labels 0 or 1, in a fixed order; rows whose key is held out are not read.
 
     At most ``per_class`` labels of each class are drawn, by a hash of their key, so the
-    draw covers the table evenly; of their texts, whole ones up to ``most_bytes`` a class.
+    draw covers the table evenly; of their texts, whole ones up to ``most_bytes`` a class.  A
+    text that no longer fits is passed over and costs nothing.  Lengths alone come to the
+    driver first, and of the texts only those that were chosen.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("y IN (0, 1) AND doc_id IS NOT NULL").where(remainder("doc_id", modulus) != held_out).dropDuplicates()
     drawn = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     picked = F.broadcast(drawn[0].unionAll(drawn[1]))  # at most twice per_class rows of two numbers
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(picked, "doc_id")
-    left, out = [most_bytes, most_bytes], []
-    for r in sorted(rows.limit(4 * per_class).collect(), key=lambda r: (hash_of(r.doc_id), r.doc_id, r.text)):
-        left[r.y] -= len(r.text)
-        if left[r.y] >= 0:
-            out.append((r.text, r.y))
-    return out
-
-
-def hash_of(key: object) -> int:
-    from zlib import crc32
-
-    return crc32(f"order {key}".encode())
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select("doc_id", text.alias("text"), F.length(text).alias("size"), F.xxhash64(text).alias("hash"))
+    order = F.crc32(F.concat(F.lit("order "), F.col("doc_id").cast("string")).cast("binary"))
+    sizes = keyed.select("doc_id", "size", "hash").join(picked, "doc_id").orderBy(order, "doc_id", "hash", "y").limit(4 * per_class)
+    left, chosen = [most_bytes, most_bytes], []
+    for r in sizes.collect():
+        if r["size"] <= left[r.y]:
+            left[r.y] -= r["size"]
+            chosen.append(r)
+    if not chosen:
+        return []
+    key = ["doc_id", "size", "hash"]
+    wanted = docs.sparkSession.createDataFrame(chosen, sizes.schema).select(*key).distinct()
+    texts = {(r.doc_id, r["size"], r["hash"]): r.text for r in keyed.join(F.broadcast(wanted), key).dropDuplicates(key).collect()}
+    return [(texts[r.doc_id, r["size"], r["hash"]], r.y) for r in chosen]
 
 
 def quadratic(features: np.ndarray) -> np.ndarray:

@@ -43,6 +43,17 @@ def test_held_out_rows_are_never_read(spark):
     assert sum(y == 0 for _, y in few) <= 5 and sum(y == 1 for _, y in few) <= 5
 
 
+def test_a_text_that_does_not_fit_is_passed_over(spark):
+    """Three texts over the whole budget, wherever the order puts them, leave the other texts of their class in the sample."""
+    rows = [(i, ("y" * 5000 if i in (0, 5, 9) else f"text {i:03}"), i % 2) for i in range(60)]
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(1, "text 001")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    short = sorted([(t, y) for i, t, y in rows if i not in (0, 5, 9)] + [("text 001", 1)])
+    assert sorted(labelled_sample(docs, labels, "quality", 1, 1, 1000, 4000)) == short
+    some = labelled_sample(docs, labels, "quality", 1, 1, 1000, 8 * 10 + 3)
+    assert [sum(y == z for _, z in some) for y in (0, 1)] == [10, 10] and some == labelled_sample(docs, labels, "quality", 1, 1, 1000, 8 * 10 + 3)
+
+
 def insult(draw, i):
     words = prose(draw, draw.randint(10, 80)).split()
     if i % 3 == 0:
