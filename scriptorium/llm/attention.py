@@ -1,56 +1,73 @@
-"""A small causal self-attention model in numpy: forward, backward and Adam.
-
-A text is a stream of words, a word a stream of subword ids.  The same kind of head
-reads both.  In a stream of vectors, position t sees itself and the ``CONTEXT`` - 1
-positions before it that belong to the same segment (a text, or a word), and predicts
-what comes next: the slot of the next word's first id or the end of the text; the slot
-of the word's next id or the end of the word.  Since what continues a word depends on
-the word alone, it is computed once for each distinct word.
-
-Slots make the softmax small: frequent ids have one each, the others share, and within a
-shared slot ids have the add-one frequencies of all training texts.  Once a word's first
-slot is chosen, a gate of that slot decides whether the word is spelled, id by id, or
-taken whole from the table of frequent words, by its frequency among those that begin
-alike.  A word's probability is the sum over both ways, so the model gives every text a
-probability and all of them together one.
+"""A small causal self-attention model on a stream of subword ids, in numpy: forward, backward and Adam.
+
+Texts follow each other in one stream, each closed by the end (slot 0), so what precedes a
+text's first id is always an end.  Position t sees itself and the ``CONTEXT`` - 1 positions
+before it that belong to the same text, by masked attention with a bias for each distance,
+and predicts the id that comes next.
+
+Ids are read and predicted as slots.  The most frequent ids have a slot of their own; all
+others share ``REST`` slots, and within a shared slot an id has its add-one frequency in all
+training texts.  The softmax has two levels: ``GROUPS`` groups of ``MEMBERS`` slots, by
+frequency, and the slots of the group that comes next.  Both see the context.  The
+probabilities of all ids and the end together are one.
 
 Windows of ``BLOCK`` queries overlap by ``CONTEXT`` keys; each position is predicted once.
 """
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 
-BLOCK, CONTEXT = 48, 16
-#: Width of vectors; hidden width of the head over words and of that over subwords.
-DIM, WIDE_WORDS, WIDE_SUBWORDS = 16, 24, 128
-OWN, REST = 224, 31
-SLOTS = 1 + OWN + REST
+BLOCK, CONTEXT = 16, 32
+#: Width of vectors and of the hidden layer.
+DIM, WIDE = 16, 32
+GROUPS = MEMBERS = REST = 32
+SLOTS = GROUPS * MEMBERS
 SPAN = BLOCK + CONTEXT
+#: Positions worked on at once: a few arrays of SPAN numbers for each stay in the cache.
+CHUNK = 8192
 #: distance from key to query within a window, and where it is allowed
 DISTANCE = np.arange(BLOCK)[:, None] + CONTEXT - np.arange(SPAN)[None, :]
 ALLOWED = (DISTANCE >= 0) & (DISTANCE < CONTEXT)
 CLIPPED = np.clip(DISTANCE, 0, CONTEXT - 1)
+FAR = np.float32(-1e9)
+SAFE = 60.0
+ONES = np.ones(MEMBERS, np.float32)
+ONES_OF = lambda n: np.ones(n, np.float32)
+
+
+def keep_memory() -> None:
+    """Large arrays stay in the process's heap: mapping each anew costs more than the arithmetic in it."""
+    options = getattr(ctypes.CDLL(None), "mallopt", None)
+    for option in (-3, -1) if options else ():  # from which size blocks are mapped; how much is kept free at the top
+        options(option, 64 << 20)
 
 
 def slots_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every id its slot and the logarithm of its share of it; slot 0 is the end."""
+    """For every id its slot, and the logarithm of its share of the slot."""
+    own = SLOTS - 1 - REST
     order = np.lexsort((np.arange(len(counts)), -counts))
-    slot = 1 + OWN + np.arange(len(counts)) % REST
-    slot[order[:OWN]] = 1 + np.arange(min(OWN, len(counts)))
+    slot = SLOTS - REST + np.arange(len(counts)) % REST
+    slot[order[:own]] = 1 + np.arange(min(own, len(counts)))
     smoothed = counts + 1.0
     totals = np.bincount(slot, weights=smoothed, minlength=SLOTS)
     return slot, np.log(smoothed / totals[slot])
 
 
-def initial(seed: int, bias: np.ndarray, wide: int) -> dict[str, np.ndarray]:
-    """A head's weights; ``bias``: logarithms of its slots' frequencies; ``wide``: its hidden width."""
+def fresh(seed: int, often: np.ndarray) -> dict[str, np.ndarray]:
+    """First weights: what follows does not depend on the context, but on how ``often`` a slot is met."""
     draw = np.random.default_rng(seed)
-    near = lambda *shape: (draw.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
+    near = lambda *shape: (draw.standard_normal(shape) / np.sqrt(shape[-2])).astype(np.float32)
+    smoothed = (np.asarray(often, np.float64) + 1).reshape(GROUPS, MEMBERS)
+    groups = smoothed.sum(axis=1)
     return {
+        "token": (0.5 * draw.standard_normal((SLOTS, DIM))).astype(np.float32),
         "query": near(DIM, DIM), "key": near(DIM, DIM), "value": near(DIM, DIM), "place": np.zeros(CONTEXT, np.float32),
-        "here": near(DIM, wide), "there": near(DIM, wide), "shift": np.zeros(wide, np.float32),
-        "out": 0.1 * near(wide, len(bias)), "bias": bias.astype(np.float32),
+        "here": near(DIM, WIDE), "there": near(DIM, WIDE), "shift": np.zeros(WIDE, np.float32),
+        "group": 0.1 * near(WIDE, GROUPS), "group_bias": np.log(groups / groups.sum()).astype(np.float32),
+        "member": 0.1 * near(GROUPS, WIDE, MEMBERS), "member_bias": np.log(smoothed / groups[:, None]).astype(np.float32),
     }
 
 
@@ -59,186 +76,172 @@ def _windows(x: np.ndarray, fill) -> np.ndarray:
     many = -(-len(x) // BLOCK)
     padded = np.full((CONTEXT + many * BLOCK, *x.shape[1:]), fill, x.dtype)
     padded[CONTEXT : CONTEXT + len(x)] = x
-    index = np.arange(many)[:, None] * BLOCK + np.arange(SPAN)
-    return padded[index]
+    step = padded.strides
+    return np.lib.stride_tricks.as_strided(padded, (many, SPAN, *x.shape[1:]), (BLOCK * step[0], *step), writeable=False)
 
 
 def _fold(windows: np.ndarray, n: int) -> np.ndarray:
     """Sums of what windows hold of each position: the reverse of :func:`_windows`."""
-    many = len(windows)
-    total = np.zeros((CONTEXT + many * BLOCK, windows.shape[2]), np.float32)
-    total[CONTEXT:] += windows[:, CONTEXT:].reshape(many * BLOCK, -1)
-    before = np.arange(many)[:, None] * BLOCK + np.arange(CONTEXT)
-    np.add.at(total, before.ravel(), windows[:, :CONTEXT].reshape(many * CONTEXT, -1))
-    return total[CONTEXT : CONTEXT + n]
-
-
-def forward(head: dict, x: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """Logits of every slot for a stream of vectors, and what the backward pass needs."""
-    n = len(x)
-    keys, values = _windows(x @ head["key"], 0), _windows(x @ head["value"], 0)
+    many, ahead = len(windows), CONTEXT // BLOCK
+    total = np.zeros((ahead + many, BLOCK, windows.shape[2]), np.float32)
+    for k in range(ahead + 1):
+        total[k : k + many] += windows[:, k * BLOCK : (k + 1) * BLOCK]
+    return total.reshape(-1, windows.shape[2])[CONTEXT : CONTEXT + n]
+
+
+class Tables:
+    """What each slot contributes as query, key, value and hidden layer, for one state of the weights.
+
+    The scores of a query are at most the longest query times the longest key, and hidden
+    values are within one, so logits are at most the sums of their weights.  Where these bounds are
+    below ``SAFE``, no exponential overflows and no sum of them vanishes; elsewhere the
+    maximum of each row is subtracted first.
+    """
+
+    def __init__(self, weights: dict[str, np.ndarray]):
+        token = weights["token"]
+        self.weights = weights
+        self.query = token @ (weights["query"] * np.float32(DIM**-0.5))
+        self.key = token @ weights["key"]
+        self.value = np.concatenate([token @ weights["value"], np.ones((SLOTS, 1), np.float32)], axis=1)  # the last sums the shares
+        self.here = token @ weights["here"] + weights["shift"]
+        self.mask = np.where(ALLOWED, weights["place"][CLIPPED], FAR).T.copy()
+        longest = lambda x: float(np.sqrt((x * x).sum(axis=1).max()))
+        self.safe = longest(self.query) * longest(self.key) + float(np.abs(weights["place"]).max()) < SAFE
+        reach = lambda name: float((np.abs(weights[name]).sum(axis=-2) + np.abs(weights[f"{name}_bias"])).max())
+        self.safe_logits = {name: reach(name) < SAFE for name in ("group", "member")}
+
+
+def forward(tables: Tables, slot: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """The hidden layer at every position of a stream, and what the backward pass needs."""
+    n = len(slot)
+    keys, values = _windows(tables.key[slot], 0), _windows(tables.value[slot], 1)  # queries behind the stream see ones
     many = len(keys)
-    queries = np.zeros((many * BLOCK, DIM), x.dtype)
-    queries[:n] = x @ (head["query"] * np.float32(DIM**-0.5))
+    queries = np.zeros((many * BLOCK, DIM), np.float32)
+    queries[:n] = tables.query[slot]
     queries = queries.reshape(many, BLOCK, DIM)
-    scores = queries @ keys.transpose(0, 2, 1)
-    scores += np.where(ALLOWED, head["place"][CLIPPED], np.float32(-1e9))
-    parts = _windows(segment, -1)
-    if tail := many * BLOCK - n:
-        parts[-1, SPAN - tail :] = -2  # not like what is before the stream
-    mixed = np.flatnonzero(parts[:, 0] != parts[:, -1])  # segments come in runs: the other windows hold one
-    scores[mixed] = np.where(parts[mixed][:, CONTEXT:, None] == parts[mixed][:, None, :], scores[mixed], np.float32(-1e9))
-    if (top := float(scores.max())) > 40:  # far from overflow, and every row sees itself
-        scores -= top - 40
-    weights = np.exp(scores, out=scores)
-    weights /= weights.sum(axis=2, keepdims=True)
-    seen = (weights @ values).reshape(-1, DIM)[:n]
-    hidden = np.tanh(x @ head["here"] + seen @ head["there"] + head["shift"])
-    return hidden @ head["out"] + head["bias"], (keys, values, queries, weights, seen, hidden)
-
-
-def log_shares(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Natural logarithm of each target's softmax."""
-    if (top := float(logits.max(initial=0))) > 40:
-        logits -= top - 40
-    chosen = logits[np.arange(len(target)), target]
-    return chosen - np.log(np.exp(logits, out=logits).sum(axis=1) + np.float32(1e-37))
-
-
-def predict(head: dict, x: np.ndarray, segment: np.ndarray, target: np.ndarray, chunk: int = 32 * BLOCK) -> np.ndarray:
-    """Log probability of every target, by chunks of windows that also see the context before them."""
-    out = np.empty(len(x), np.float32)
-    for at in range(0, len(x), chunk):
-        begin = max(0, at - BLOCK)
-        logits, _ = forward(head, x[begin : at + chunk], segment[begin : at + chunk])
-        out[at : at + chunk] = log_shares(logits[at - begin :], target[at : at + chunk])
+    shares = keys @ queries.transpose(0, 2, 1)  # by window, key, query
+    shares += tables.mask
+    parts = _windows(text, -1)
+    mixed = np.flatnonzero(parts[:, 0] != parts[:, -1])  # texts come in runs: the other windows hold one
+    if len(mixed):
+        shares[mixed] = np.where(parts[mixed][:, :, None] == parts[mixed][:, None, CONTEXT:], shares[mixed], FAR)
+    if not tables.safe:
+        shares -= shares.max(axis=1, keepdims=True)
+    np.exp(shares, out=shares)
+    seen = shares.transpose(0, 2, 1) @ values
+    total = seen[:, :, DIM:]
+    seen = (seen[:, :, :DIM] / total).reshape(-1, DIM)[:n]
+    hidden = seen @ tables.weights["there"]
+    hidden += tables.here[slot]
+    hidden /= 1 + np.abs(hidden)
+    return hidden, (keys, values, queries, shares, total, seen)
+
+
+def _logs(logits: np.ndarray, target: np.ndarray, safe: bool, slopes: bool = False) -> np.ndarray:
+    """Logarithm of the target's share in the softmax of each row; with ``slopes`` the rows become the shares, less one at the target."""
+    if not safe:
+        logits -= logits.max(axis=1, keepdims=True)
+    at = np.arange(len(target)) * logits.shape[1] + target
+    chosen = logits.ravel()[at]
+    np.exp(logits, out=logits)
+    total = logits @ ONES
+    if slopes:
+        logits /= total[:, None]
+        logits.ravel()[at] -= 1
+    return chosen - np.log(total)
+
+
+def _by_group(target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order of positions by the group of their targets, and the bounds of each group in it."""
+    group = (target // MEMBERS).astype(np.int16)
+    order = np.argsort(group, kind="stable")
+    ends = np.cumsum(np.bincount(group, minlength=GROUPS)).tolist()
+    return order, [(g, a, b) for g, (a, b) in enumerate(zip([0, *ends], ends)) if a < b]
+
+
+def predict(tables: Tables, slot: np.ndarray, text: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log probability of every target slot, by chunks that also see the context before them."""
+    weights, out = tables.weights, np.empty(len(slot), np.float32)
+    for at in range(0, len(slot), CHUNK):
+        begin, end = max(0, at - CONTEXT), at + CHUNK
+        hidden = forward(tables, slot[begin:end], text[begin:end])[0][at - begin :]
+        aim = target[at:end]
+        logs = _logs(hidden @ weights["group"] + weights["group_bias"], aim // MEMBERS, tables.safe_logits["group"])
+        order, groups = _by_group(aim)
+        member, ranked, more = aim[order] % MEMBERS, hidden[order], np.empty_like(logs)
+        for g, a, b in groups:
+            more[a:b] = _logs(ranked[a:b] @ weights["member"][g] + weights["member_bias"][g], member[a:b], tables.safe_logits["member"])
+        logs[order] += more
+        out[at:end] = logs
     return out
 
 
-def backward(head: dict, x: np.ndarray, kept: tuple, slope: np.ndarray) -> tuple[dict, np.ndarray]:
-    """Gradients of a head's weights and of its stream, from the slope of the logits."""
-    keys, values, queries, weights, seen, hidden = kept
-    n, many = len(x), len(keys)
-    down = (slope @ head["out"].T) * (1 - hidden * hidden)
-    to_seen = np.zeros((many * BLOCK, DIM), np.float32)
-    to_seen[:n] = down @ head["there"].T
-    to_seen = to_seen.reshape(many, BLOCK, DIM)
-    to_weights = to_seen @ values.transpose(0, 2, 1)
-    to_scores = weights * (to_weights - (weights * to_weights).sum(axis=2, keepdims=True))
-    to_values = _fold(weights.transpose(0, 2, 1) @ to_seen, n)
-    to_keys = _fold(to_scores.transpose(0, 2, 1) @ queries, n)
-    to_queries = (to_scores @ keys).reshape(-1, DIM)[:n] * np.float32(DIM**-0.5)
-    place = np.bincount(CLIPPED.ravel(), weights=np.where(ALLOWED, to_scores.sum(axis=0), 0).ravel(), minlength=CONTEXT)
-    grads = {
-        "out": hidden.T @ slope, "bias": slope.sum(axis=0), "here": x.T @ down, "there": seen.T @ down, "shift": down.sum(axis=0),
-        "key": x.T @ to_keys, "value": x.T @ to_values, "query": x.T @ to_queries, "place": place.astype(np.float32),
-    }
-    return grads, down @ head["here"].T + to_keys @ head["key"].T + to_values @ head["value"].T + to_queries @ head["query"].T
-
-
-class Adam:
-    def __init__(self, weights: dict[str, np.ndarray], rate: float):
-        self.rate, self.steps = rate, 0
-        self.first = {k: np.zeros_like(v) for k, v in weights.items()}
-        self.second = {k: np.zeros_like(v) for k, v in weights.items()}
+def _summed(rows: np.ndarray, by: np.ndarray, first: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Sums of rows of equal slots."""
+    out = np.zeros((SLOTS, rows.shape[1]), np.float32)
+    out[slots] = np.add.reduceat(rows[by], first, axis=0)
+    return out
 
-    def step(self, weights: dict[str, np.ndarray], grads: dict[str, np.ndarray]) -> None:
-        self.steps += 1
-        for k, g in grads.items():
-            self.first[k] = 0.9 * self.first[k] + 0.1 * g
-            self.second[k] = 0.99 * self.second[k] + 0.01 * g * g
-            mean, spread = self.first[k] / (1 - 0.9**self.steps), self.second[k] / (1 - 0.99**self.steps)
-            weights[k] = (weights[k] - self.rate * mean / (np.sqrt(spread) + 1e-6)).astype(np.float32)
 
+def gradients(weights: dict, slot: np.ndarray, text: np.ndarray, target: np.ndarray) -> tuple[dict, float]:
+    """Slopes of the mean loss of a stream by all weights, and the sum of the losses in nats."""
+    n, tables, token = len(slot), Tables(weights), weights["token"]
+    hidden, (keys, values, queries, shares, total, seen) = forward(tables, slot, text)
+    out = {}
+    slope = hidden @ weights["group"] + weights["group_bias"]
+    loss = -float(_logs(slope, target // MEMBERS, tables.safe_logits["group"], True).sum())
+    out["group"], out["group_bias"] = hidden.T @ slope, ONES_OF(n) @ slope
+    down = slope @ weights["group"].T
+    out["member"], out["member_bias"] = np.zeros_like(weights["member"]), np.zeros_like(weights["member_bias"])
+    order, groups = _by_group(target)
+    member, ranked, back = target[order] % MEMBERS, hidden[order], np.empty_like(hidden)
+    for g, a, b in groups:
+        slope = ranked[a:b] @ weights["member"][g] + weights["member_bias"][g]
+        loss -= float(_logs(slope, member[a:b], tables.safe_logits["member"], True).sum())
+        out["member"][g], out["member_bias"][g] = ranked[a:b].T @ slope, ONES_OF(b - a) @ slope
+        back[a:b] = slope @ weights["member"][g].T
+    down[order] += back
+    left = 1 - np.abs(hidden)
+    down *= left
+    down *= left
+    many = len(keys)
+    to_seen = np.zeros((many * BLOCK, DIM + 1), np.float32)
+    to_seen[:n, :DIM] = down @ weights["there"].T
+    to_seen[:n, DIM] = -np.einsum("ij,ij->i", to_seen[:n, :DIM], seen)
+    to_seen = to_seen.reshape(many, BLOCK, DIM + 1)
+    to_seen /= total
+    to_scores = values @ to_seen.transpose(0, 2, 1)  # the last value, one, takes off what the mean already has
+    to_scores *= shares
+    to_values = _fold(shares @ to_seen[:, :, :DIM], n)
+    to_keys = _fold(to_scores @ queries, n)
+    to_queries = (to_scores.transpose(0, 2, 1) @ keys).reshape(-1, DIM)[:n]
+    out["place"] = np.bincount(CLIPPED.T.ravel(), weights=np.where(ALLOWED.T, to_scores.sum(axis=0), 0).ravel(), minlength=CONTEXT).astype(np.float32)
+    out["there"], out["shift"] = seen.T @ down, ONES_OF(n) @ down
+    by = np.argsort(slot.astype(np.int16), kind="stable")
+    first = np.flatnonzero(np.diff(slot[by], prepend=-1))
+    slots = slot[by[first]]
+    out["token"] = np.zeros_like(token)
+    for name, found, scale in (("query", to_queries, DIM**-0.5), ("key", to_keys, 1), ("value", to_values, 1), ("here", down, 1)):
+        summed = _summed(found, by, first, slots) * np.float32(scale)
+        out[name] = token.T @ summed
+        out["token"] += summed @ weights[name].T
+    return {k: v / np.float32(n) for k, v in out.items()}, loss
 
-class Model:
-    """Both heads and the vectors of slots; a word's vector is its first id's plus the mean of the others'.
 
-    Flat names: ``w.*`` predicts words from words, ``s.*`` subwords within a word.
-    """
+class Adam:
+    """Steps down the slopes, each weight at its own pace; ``weights`` change in place."""
 
     def __init__(self, weights: dict[str, np.ndarray]):
-        self.weights = weights
+        self.weights, self.steps = weights, 0
+        self.first = {k: np.zeros_like(v) for k, v in weights.items()}
+        self.second = {k: np.zeros_like(v) for k, v in weights.items()}
 
-    @classmethod
-    def fresh(cls, seed: int, first_counts: np.ndarray, next_counts: np.ndarray) -> "Model":
-        draw = np.random.default_rng(seed)
-        log = lambda counts: np.log((counts + 1) / (counts.sum() + len(counts)))
-        weights = {f"w.{k}": v for k, v in initial(seed + 1, log(first_counts), WIDE_WORDS).items()}
-        weights |= {f"s.{k}": v for k, v in initial(seed + 2, log(next_counts), WIDE_SUBWORDS).items()}
-        for name in ("first", "next"):  # slot 0: where a text begins
-            weights[name] = (0.3 * draw.standard_normal((SLOTS, DIM))).astype(np.float32)
-        weights["gate"] = np.full(SLOTS, 2.0, np.float32)
-        return cls(weights)
-
-    def ways(self, slot: np.ndarray, spelled: np.ndarray, tabled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log probability of words after their first slots, spelled and from the table."""
-        gate = self.weights["gate"][slot].astype(np.float64)
-        return spelled - np.logaddexp(0, gate), tabled - np.logaddexp(0, -gate)
-
-    def head(self, name: str) -> dict[str, np.ndarray]:
-        return {k[2:]: v for k, v in self.weights.items() if k.startswith(name + ".")}
-
-    def word_vectors(self, slot: np.ndarray, word: np.ndarray, leads: np.ndarray, many: int) -> np.ndarray:
-        """From tokens (slot, number of their word, whether they begin it): a vector for each word."""
-        out = np.zeros((many, DIM), np.float32)
-        out[word[leads]] = self.weights["first"][slot[leads]]
-        rest = ~leads
-        length = np.maximum(1, np.bincount(word[rest], minlength=many))
-        np.add.at(out, word[rest], self.weights["next"][slot[rest]] / length[word[rest]][:, None].astype(np.float32))
-        return out
-
-    def token_vectors(self, slot: np.ndarray, leads: np.ndarray) -> np.ndarray:
-        return np.where(leads[:, None], self.weights["first"][slot], self.weights["next"][slot])
-
-    def step(self, adam: Adam, texts: tuple, words: tuple) -> float:
-        """One step on a stream of words and the tokens of its distinct words; the mean loss in nats a word.
-
-        ``texts``: (number of the distinct word or -1 at a text's beginning, text, target slot).
-        ``words``: (slot, word, leads, target, log of the id's share of its slot, log frequency of the word in the table).
-        """
-        number, text, target = texts
-        slot, word, leads, following, within, tabled = words
-        many = len(tabled)
-        vectors = np.concatenate([self.word_vectors(slot, word, leads, many), self.weights["first"][:1]])
-        grads = {k: np.zeros_like(v) for k, v in self.weights.items()}
-        x = vectors[number]  # -1 is the last: the beginning
-        shares, kept = _softmax(*forward(self.head("w"), x, text))
-        rows = np.arange(len(target))
-        loss = -float(np.log(shares[rows, target] + 1e-30).sum())
-        shares[rows, target] -= 1
-        found, to_x = backward(self.head("w"), x, kept, shares / len(target))
-        grads |= {f"w.{k}": v for k, v in found.items()}
-        to_vectors = np.zeros_like(vectors)
-        np.add.at(to_vectors, number, to_x)
-        grads["first"][0] += to_vectors[-1]
-        if many:
-            tokens = self.token_vectors(slot, leads)
-            shares, kept = _softmax(*forward(self.head("s"), tokens, word))
-            rows = np.arange(len(following))
-            spelled = np.bincount(word, weights=np.log(shares[rows, following] + 1e-30) + within, minlength=many)
-            spelled, whole = self.ways(slot[leads], spelled, tabled)
-            both = np.logaddexp(spelled, whole)
-            part = np.exp(spelled - both)  # of the probability that comes from spelling
-            often = np.bincount(number[number >= 0], minlength=many)
-            loss -= float((often * both).sum())
-            total = max(1, often.sum())
-            gate = 1 / (1 + np.exp(-self.weights["gate"][slot[leads]]))
-            np.add.at(grads["gate"], slot[leads], (often * (gate - (1 - part)) / total).astype(np.float32))
-            share = (often * part / total).astype(np.float32)[word]
-            shares[rows, following] -= 1
-            found, to_tokens = backward(self.head("s"), tokens, kept, shares * share[:, None])
-            grads |= {f"s.{k}": v for k, v in found.items()}
-            rest = ~leads
-            length = np.maximum(1, np.bincount(word[rest], minlength=many)).astype(np.float32)
-            np.add.at(grads["first"], slot[leads], to_tokens[leads] + to_vectors[word[leads]])
-            np.add.at(grads["next"], slot[rest], to_tokens[rest] + to_vectors[word[rest]] / length[word[rest]][:, None])
-        adam.step(self.weights, grads)
-        return loss / len(target)
-
-
-def _softmax(logits: np.ndarray, kept: tuple) -> tuple[np.ndarray, tuple]:
-    logits -= logits.max(axis=1, keepdims=True)
-    np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
-    return logits, kept
+    def step(self, slopes: dict[str, np.ndarray], rate: float) -> None:
+        self.steps += 1
+        pace = np.float32(rate * (1 - 0.98**self.steps) ** 0.5 / (1 - 0.9**self.steps))
+        for k, slope in slopes.items():
+            first, second = self.first[k], self.second[k]
+            first += np.float32(0.1) * (slope - first)
+            second += np.float32(0.02) * (slope * slope - second)
+            self.weights[k] -= pace * first / (np.sqrt(second) + np.float32(1e-7))

@@ -1,13 +1,16 @@
 """Language-model scores of whole texts (operator 10).
 
 Two models learn from the training texts.  The base is the add-one unigram model of
-words.  The other is a causal self-attention model on subword ids, trained in numpy
-(:mod:`scriptorium.llm.attention`).
+words.  The other is a causal self-attention model on the stream of subword ids, trained
+in numpy (:mod:`scriptorium.llm.attention`).  It reads a text as the base does: A-Z
+lower-cased, words with one space before each; its score is the log10 probability of the
+ids and the end.
 
-What is gathered covers every training text: the count of every word, and from those the
-counts of every subword id and the table of frequent words.  The attention weights are trained on executors, in one
-pass over all training texts: a hash deals them to a fixed number of rounds, the tasks of a
-round have the same start, and weights are averaged, weighted by words, after each round.
+What is gathered covers every training text: the count of every word, from those the
+counts of every subword id and the table of frequent words, and the attention weights.
+These are trained on executors, in one pass over all training texts: a hash deals them to
+a fixed number of rounds, the tasks of a round have the same start, and weights are
+averaged, weighted by tokens, after each round.
 
 Scoring is one pass.  The most frequent words' counts are a broadcast table of bounded
 size; other words of a text are emitted and joined with the full counts, so every count
@@ -31,12 +34,13 @@ from scriptorium.llm import attention
 from scriptorium.llm.packing import PATTERN
 from scriptorium.llm.shared import map_batches, remainder, slices, text_rows, written
 
-#: Entries of the broadcast table, and other distinct words that a worker keeps at hand.
+#: Entries of the broadcast table, and distinct words that a worker keeps at hand.
 TABLE = 250_000
-KEPT_WORDS = 200_000
-#: Training: rounds that share out the texts, the same number at every size; texts of a task; words of the first steps and of the longest.
-ROUNDS = MOST_ROUNDS = 4
-TASK_TEXTS, FIRST_STEP, STEP = 1250, 250, 3000
+KEPT_WORDS = 400_000
+#: Training: rounds that share out the texts, the same number at every size; ids of the first steps and of the longest; steps until the full rate.
+ROUNDS = 4
+FIRST_STEP, STEP = 128, 4096
+RATE, WARM = 0.03, 20
 SEED = 11
 _loaded: dict = {}
 
@@ -82,45 +86,60 @@ def tokens_of(words: list[bytes], ranks: str) -> tuple[np.ndarray, np.ndarray, n
     return flat, np.cumsum(leads) - 1, leads
 
 
-class Scorer:
-    """The trained model as workers use it."""
+class Lexicon:
+    """A worker's words: slots of their subword ids, logarithms of the ids' shares of those, base logarithms.
 
-    def __init__(self, weights: dict[str, np.ndarray], first: np.ndarray, following: np.ndarray, table: dict[bytes, int], ranks: str):
-        self.model, self.table, self.ranks = attention.Model(weights), table, ranks
-        self.first = attention.slots_of(first)
-        self.following = attention.slots_of(following)
-        words = list(table)
-        ids, _, leads = tokens_of(words, ranks)
-        #: Occurrences of the table's words by first slot.
-        self.tabled = np.bincount(self.first[0][ids[leads]], weights=np.array([table[w] for w in words], np.float64), minlength=attention.SLOTS)
-
-    def frequencies(self, words: list[bytes], slot: np.ndarray, but: int = 0) -> np.ndarray:
-        """Logarithms of the words' shares of the table's words in their slots; ``but``: occurrences that do not count."""
-        with np.errstate(divide="ignore"):
-            return np.log(np.maximum(0, np.array([self.table.get(w, 0) for w in words], np.float64) - but) / np.maximum(1, self.tabled[slot] - but))
-
-    def _slots(self, ids: np.ndarray, leads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(np.where(leads, a[ids], b[ids]) for a, b in zip(self.first, self.following))
+    Words that are met are kept until ``most`` are; then all make room for new ones.  Place
+    0 is the end of a text, whose slot is 0.
+    """
 
-    def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Vector, first slot, and log probability of the word given that slot, for each word."""
-        ids, word, leads = tokens_of(words, self.ranks)
-        slot, within = self._slots(ids, leads)
-        target = following(slot, leads)
-        logs = attention.predict(self.model.head("s"), self.model.token_vectors(slot, leads), word, target)
-        spelled = np.bincount(word, weights=logs + within, minlength=len(words))
-        heads = slot[leads]
-        return self.model.word_vectors(slot, word, leads, len(words)), heads, np.logaddexp(*self.model.ways(heads, spelled, self.frequencies(words, heads)))
+    def __init__(self, counts: np.ndarray, ranks: str, table: dict[bytes, int] | None = None, shift: float = 0.0, most: int = KEPT_WORDS):
+        self.slot, self.within = attention.slots_of(counts)
+        self.ranks, self.table, self.shift, self.most = ranks, table or {}, shift, most
+        self.flat = np.zeros(8 * most, np.int16)
+        self.begin, self.size = np.zeros(most, np.int64), np.ones(most, np.int64)
+        self.inside, self.base = np.zeros(most), np.full(most, np.nan)
+        self.clear()
 
-    def stream(self, vectors: np.ndarray, text: np.ndarray, target: np.ndarray) -> np.ndarray:
-        return attention.predict(self.model.head("w"), vectors, text, target)
+    def clear(self) -> None:
+        self.index: dict[bytes, int] = {}
+        self.used, self.filled = 1, 1
 
+    def places(self, distinct: list[bytes]) -> np.ndarray:
+        found = list(map(self.index.get, distinct))
+        missing = [w for w, i in zip(distinct, found) if i is None]
+        if self.used + len(missing) > len(self.size):
+            self.clear()
+            missing = distinct
+        if missing:
+            self.learn(missing)
+            found = [self.index[w] for w in distinct]
+        return np.array(found, np.int64)
 
-def following(slot: np.ndarray, leads: np.ndarray) -> np.ndarray:
-    """What each token of a word is to predict: the next one's slot, or 0 at the word's end."""
-    after = np.append(slot[1:], 0)
-    after[np.append(leads[1:], True)] = 0
-    return after
+    def learn(self, words: list[bytes]) -> None:
+        ids, word, _ = tokens_of(words, self.ranks)
+        begin, end = self.used, self.used + len(words)
+        if end > len(self.size):  # one batch with more words than are kept: the arrays grow
+            more = end - len(self.size)
+            self.begin, self.size, self.inside, self.base = (np.pad(x, (0, more)) for x in (self.begin, self.size, self.inside, self.base))
+        if self.filled + len(ids) > len(self.flat):
+            self.flat = np.pad(self.flat, (0, max(len(ids), len(self.flat) // 2)))
+        self.flat[self.filled : self.filled + len(ids)] = self.slot[ids]
+        sizes = np.bincount(word, minlength=len(words))
+        self.begin[begin:end], self.size[begin:end] = self.filled + np.cumsum(sizes) - sizes, sizes
+        self.inside[begin:end] = np.bincount(word, weights=self.within[ids], minlength=len(words))
+        known = np.array([self.table.get(w, 0) for w in words], np.float64)
+        self.base[begin:end] = np.where(known > 0, np.log10(known + 1) - self.shift, np.nan)
+        self.index.update(zip(words, range(begin, end)))
+        self.used, self.filled = end, self.filled + len(ids)
+
+    def stream(self, lengths: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What precedes each id of some texts, the text of each, and the id itself, as slots; ends included."""
+        places = np.insert(number, np.cumsum(lengths), 0)
+        sizes = self.size[places]
+        text = np.repeat(np.repeat(np.arange(len(lengths)), lengths + 1), sizes)
+        target = self.flat[np.arange(len(text)) + np.repeat(self.begin[places] - np.cumsum(sizes) + sizes, sizes)].astype(np.int64)
+        return np.concatenate([[0], target[:-1]]), text, target
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
@@ -167,171 +186,104 @@ def frequent_words(counts: DataFrame, most: int) -> dict[bytes, int]:
     return dict(zip(map(str.encode, top["word"]), top["n"].tolist()))
 
 
-def id_counts(counts: DataFrame, ranks: str) -> tuple[np.ndarray, np.ndarray]:
-    """How often each subword id begins a word and continues one: arrays as long as the vocabulary."""
+def id_counts(counts: DataFrame, ranks: str) -> np.ndarray:
+    """How often each subword id occurs in the counted words: an array as long as the vocabulary."""
     size = len(encoder(ranks)[1])
 
     def count(batches):
-        first, after = np.zeros(size), np.zeros(size)
+        found = np.zeros(size)
         for whole in batches:
             for batch in slices(whole, 1 << 20):
-                words = [w.encode() for w in batch.column("word").to_pylist()]
-                ids, word, leads = tokens_of(words, ranks)
-                n = np.array(batch.column("n").to_pylist(), np.float64)
-                first += np.bincount(ids[leads], weights=n[word[leads]], minlength=size)
-                after += np.bincount(ids[~leads], weights=n[word[~leads]], minlength=size)
-        for begins, found in ((True, first), (False, after)):
-            used = np.flatnonzero(found)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), begins)), pa.array(used.astype(np.int32)), pa.array(found[used].astype(np.int64))], names=["begins", "id", "n"])
-
-    summed = counts.where("word IS NOT NULL").mapInArrow(count, "begins boolean, id int, n long").groupBy("begins", "id").agg(F.sum("n").alias("n"))
-    out = np.zeros((2, size))
-    for r in summed.collect():  # at most two rows an id of the vocabulary
-        out[0 if r.begins else 1, r.id] = r.n
-    return out[0], out[1]
-
-
-def _train_task(scorer: Scorer, rate: float, batches):
-    """Weights after one pass over a task's texts, as rows (name, place, value, words)."""
-    adam = attention.Adam(scorer.model.weights, rate)
-    total, pending, size = 0, [], 0
-
-    def learn():
-        distinct = {w: i for i, w in enumerate(dict.fromkeys(w for words in pending for w in words))}
-        ids, word, leads = tokens_of(list(distinct), scorer.ranks)
-        slot, within = scorer._slots(ids, leads)
-        heads = slot[leads]
-        number = np.concatenate([[-1, *(distinct[w] for w in words)] for words in pending]).astype(np.int64)
-        text = np.repeat(np.arange(len(pending)), [len(words) + 1 for words in pending])
-        ahead = np.append(number[1:], -1)
-        target = np.where(ahead < 0, 0, heads[ahead] if len(heads) else 0)
-        # a word's own occurrence does not count, or every word that is trained on would be in the table
-        scorer.model.step(adam, (number, text, target), (slot, word, leads, following(slot, leads), within, scorer.frequencies(list(distinct), heads, but=1)))
+                ids, word, _ = tokens_of([w.encode() for w in batch.column("word").to_pylist()], ranks)
+                found += np.bincount(ids, weights=np.array(batch.column("n").to_pylist(), np.float64)[word], minlength=size)
+        used = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(found[used].astype(np.int64))], names=["id", "n"])
+
+    summed = counts.where("word IS NOT NULL").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # at most a row an id
+    out = np.zeros(size)
+    out[summed["id"].to_numpy(np.int64)] = summed["n"].to_numpy()
+    return out
+
+
+def flat_weights(weights: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([w.ravel() for w in weights.values()])
 
+
+def shaped_weights(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    parts = np.split(flat.astype(np.float32), np.cumsum([w.size for w in like.values()])[:-1])
+    return {k: part.reshape(w.shape) for (k, w), part in zip(like.items(), parts)}
+
+
+def _train_task(lexicon: Lexicon, weights: dict[str, np.ndarray], rate: float, batches):
+    """Weights after one pass over a task's texts, as rows (place, value, tokens)."""
+    adam, total = attention.Adam(weights), 0
     for whole in batches:
         for batch in slices(whole, 1 << 20):
-            for text_ in batch.column("text").to_pylist():
-                words = words_of(text_)
-                for at in range(0, max(1, len(words)), STEP):  # long texts in steps; none is left out
-                    pending.append(words[at : at + STEP])
-                    size += len(pending[-1]) + 1
-                    if size >= min(STEP, FIRST_STEP + total // 4):  # steps grow with what the task has read
-                        learn()
-                        total, pending, size = total + size, [], 0
-    if pending:
-        learn()
-        total += size
+            lengths, numbers, distinct = split_words(batch.column("text"))
+            before, text, target = lexicon.stream(lengths, lexicon.places(distinct)[numbers] if distinct else numbers)
+            at = 0
+            while at < len(target):  # steps grow with what the task has read; all ids are in one
+                most = min(STEP, FIRST_STEP + total // 8)
+                end = len(target) if len(target) - at < 3 * most // 2 else at + most
+                slopes, _ = attention.gradients(weights, before[at:end], text[at:end], target[at:end])
+                adam.step(slopes, rate * min(1.0, (adam.steps + 1) / WARM))
+                total, at = total + end - at, end
     if total:
-        names, places, values = [], [], []
-        for name, value in scorer.model.weights.items():
-            names += [name] * value.size
-            places += range(value.size)
-            values.append(value.ravel())
-        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(places, pa.int32()), pa.array(np.concatenate(values).astype(np.float64)), pa.array(np.full(len(names), total))], names=["name", "place", "value", "words"])
-
-
-def train(rows: DataFrame, texts: int, first: np.ndarray, after: np.ndarray, table: dict[bytes, int], ranks: str) -> dict[str, np.ndarray]:
-    """Attention weights, from one pass over all rows; each is in one round, copies of a text in any."""
-    of_slot = lambda counts, ends: np.bincount(attention.slots_of(counts)[0], weights=counts, minlength=attention.SLOTS) + ends * (np.arange(attention.SLOTS) == 0)
-    model = attention.Model.fresh(SEED, of_slot(first, texts), of_slot(after, first.sum()))
+        flat = flat_weights(weights).astype(np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat), pa.array(np.full(len(flat), total))], names=["place", "value", "tokens"])
+
+
+def train(rows: DataFrame, texts: int, counts: np.ndarray, ranks: str) -> dict[str, np.ndarray]:
+    """Attention weights, from one pass over all rows; each row is in one round, copies of a text in any.
+
+    Tasks are those of the scan, so no text is shuffled.  What comes back is a row a weight
+    and task, averaged before the driver sees it, weighted by the tokens each task has read.
+    """
+    slot, _ = attention.slots_of(counts)
+    often = np.bincount(slot, weights=counts, minlength=attention.SLOTS)
+    often[0] = texts
+    weights = attention.fresh(SEED, often)
     context = rows.sparkSession.sparkContext
     for turn in range(ROUNDS):
         part = rows.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(SEED)), F.lit(ROUNDS)) == turn).select("text")
-        dealt = part.repartition(max(1, texts // (ROUNDS * TASK_TEXTS))).sortWithinPartitions(F.xxhash64("text"))
-        start = context.broadcast((model.weights, first, after, table))
-        rate = 0.02 / (1 + 2 * turn)
+        start = context.broadcast((weights, counts))  # some 60,000 weights and a number for each id
+        rate = RATE / (1 + turn)
 
         def task(batches, start=start, rate=rate):
-            weights, first, after, table = start.value
-            return _train_task(Scorer({k: v.copy() for k, v in weights.items()}, first, after, table, ranks), rate, batches)
-
-        moved = dealt.mapInArrow(task, "name string, place int, value double, words long")
-        means = moved.groupBy("name", "place").agg((F.sum(F.col("value") * F.col("words")) / F.sum("words")).alias("value"))
-        for name, found in means.toPandas().groupby("name"):  # as many rows as the model has weights
-            flat = model.weights[name].ravel().copy()
-            flat[found["place"].to_numpy()] = found["value"].to_numpy()
-            model.weights[name] = flat.reshape(model.weights[name].shape)
+            attention.keep_memory()
+            weights, counts = start.value
+            yield from _train_task(Lexicon(counts, ranks), {k: v.copy() for k, v in weights.items()}, rate, batches)
+
+        moved = part.mapInArrow(task, "place int, value double, tokens long")
+        means = moved.groupBy("place").agg((F.sum(F.col("value") * F.col("tokens")) / F.sum("tokens")).alias("value")).toPandas()  # a row a weight
+        if len(means):
+            flat = np.empty(len(means))
+            flat[means["place"].to_numpy()] = means["value"].to_numpy()
+            weights = shaped_weights(flat, weights)
         start.unpersist()
-    return model.weights
-
-
-class Reader:
-    """A worker's state: each distinct word's base logarithm, count known or not, vector and score.
-
-    Words of the table stay, in the first places; others have the places after them and
-    make room for new ones when those are full.
-    """
-
-    def __init__(self, scorer: Scorer, shift: float, most: int):
-        self.scorer, self.shift = scorer, shift
-        self.index: dict[bytes, int] = {}
-        self.others: list[bytes] = []
-        self.tabled, self.size = 0, len(scorer.table) + most
-        self.base, self.log = np.zeros(self.size), np.zeros(self.size)
-        self.vectors, self.slot = np.zeros((self.size, attention.DIM), np.float32), np.zeros(self.size, np.int64)
-
-    def places(self, distinct: list[bytes]) -> np.ndarray:
-        """The place of every one of distinct words, once those that are not at hand are learned.
-
-        If there is no room for them, all but the table's words go first.
-        """
-        found = list(map(self.index.get, distinct))
-        missing = [w for w, i in zip(distinct, found) if i is None]
-        if len(missing) > self.size - len(self.scorer.table) - len(self.others):
-            for w in self.others:
-                del self.index[w]
-            self.others = []
-            missing = [w for w in distinct if w not in self.index]
-        if missing:
-            self.learn(missing)
-            found = [self.index[w] for w in distinct]
-        return np.array(found, np.int64)
-
-    def learn(self, words: list[bytes]) -> None:
-        table = self.scorer.table
-        known = [w for w in words if w in table]
-        other = [w for w in words if w not in table]
-        room = self.size - len(table) - len(self.others)
-        if len(other) > room:  # one batch with more new words than are kept: its arrays grow
-            more = len(other) - room
-            self.size += more
-            self.base, self.log, self.slot = (np.pad(x, (0, more)) for x in (self.base, self.log, self.slot))
-            self.vectors = np.pad(self.vectors, ((0, more), (0, 0)))
-        begin = len(table) + len(self.others)
-        places = np.concatenate([np.arange(self.tabled, self.tabled + len(known)), np.arange(begin, begin + len(other))]).astype(np.int64)
-        self.index.update(zip(known + other, places.tolist()))
-        self.tabled += len(known)
-        self.others += other
-        count = np.array([table[w] for w in known], np.float64)
-        self.vectors[places], self.slot[places], self.log[places] = self.scorer.words(known + other)
-        self.base[places] = np.concatenate([np.log10(count + 1) - self.shift, np.full(len(other), np.nan)])
-
-    def score(self, texts: pa.Array) -> dict:
-        """Words, known of tabled words, their base, words the table lacks, score, of each text."""
-        lengths, numbers, distinct = split_words(texts)
-        many = len(lengths)
-        number = self.places(distinct)[numbers] if distinct else numbers
-        text = np.repeat(np.arange(many), lengths)
-        base = self.base[number]
-        lacking = np.isnan(base)
-        # the stream: a beginning before every text; at each place the slot of what follows
-        places = np.arange(len(number)) + text + 1
-        vectors = np.broadcast_to(self.scorer.model.weights["first"][0], (len(number) + many, attention.DIM)).copy()
-        vectors[places] = self.vectors[number]
-        target = np.zeros(len(vectors), np.int64)
-        target[places - 1] = self.slot[number]
-        of_text = np.repeat(np.arange(many), lengths + 1)
-        logs = self.scorer.stream(vectors, of_text, target).astype(np.float64)
-        total = np.bincount(of_text, weights=logs, minlength=many) + np.bincount(text, weights=self.log[number], minlength=many)
-        pairs, times = np.unique(text[lacking] * len(distinct) + numbers[lacking], return_counts=True)
-        of, word = np.divmod(pairs, max(1, len(distinct)))
-        ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(of, minlength=many))]).astype(np.int32))
-        rare = pa.array(distinct, pa.binary()).take(pa.array(word)).cast(pa.string())
-        missed = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([rare, pa.array(times, pa.int64())], names=["word", "n"]))
-        return {
-            "words": lengths, "known": lengths - np.bincount(text, weights=lacking, minlength=many).astype(np.int64),
-            "base": np.bincount(text, weights=np.where(lacking, 0, base), minlength=many), "missed": missed, "score": total / math.log(10),
-        }
+    return weights
+
+
+def score_batch(lexicon: Lexicon, tables: attention.Tables, texts: pa.Array) -> dict:
+    """Words, known of tabled words, their base, words the table lacks, score, of each text."""
+    lengths, numbers, distinct = split_words(texts)
+    many = len(lengths)
+    number = lexicon.places(distinct)[numbers] if distinct else numbers
+    text = np.repeat(np.arange(many), lengths)
+    base = lexicon.base[number]
+    lacking = np.isnan(base)
+    before, of_id, target = lexicon.stream(lengths, number)
+    logs = attention.predict(tables, before, of_id, target).astype(np.float64)
+    total = np.bincount(of_id, weights=logs, minlength=many) + np.bincount(text, weights=lexicon.inside[number], minlength=many)
+    pairs, times = np.unique(text[lacking] * len(distinct) + numbers[lacking], return_counts=True)
+    of, word = np.divmod(pairs, max(1, len(distinct)))
+    ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(of, minlength=many))]).astype(np.int32))
+    rare = pa.array(distinct, pa.binary()).take(pa.array(word)).cast(pa.string())
+    missed = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([rare, pa.array(times, pa.int64())], names=["word", "n"]))
+    return {
+        "words": lengths, "known": lengths - np.bincount(text, weights=lacking, minlength=many).astype(np.int64),
+        "base": np.bincount(text, weights=np.where(lacking, 0, base), minlength=many), "missed": missed, "score": total / math.log(10),
+    }
 
 
 def score_texts(df: DataFrame, ranks: str, modulus: int = 7, held_out: int = 2, key: str = "doc_id", text: str = "text", table: int = TABLE) -> DataFrame:
@@ -348,21 +300,22 @@ def score_texts(df: DataFrame, ranks: str, modulus: int = 7, held_out: int = 2,
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word").isNull(), F.col("n"))), F.lit(0))).first()
     tokens, distinct, texts = (int(x) for x in totals)
     shift = math.log10(tokens + distinct + 1)
-    first, after = id_counts(counts, ranks)
+    ids = id_counts(counts, ranks)
     frequent = frequent_words(counts, table)
-    weights = train(learned, texts, first, after, frequent, ranks)
-    shared = df.sparkSession.sparkContext.broadcast((weights, first, after, frequent))
+    weights = train(learned, texts, ids, ranks)
+    shared = df.sparkSession.sparkContext.broadcast((weights, ids, frequent))
 
     def start():
-        weights, first, after, known = shared.value
+        attention.keep_memory()
+        weights, ids, known = shared.value
         if _loaded.get("reader", (None,))[0] != id(known):
-            _loaded["reader"] = id(known), Reader(Scorer(weights, first, after, known, ranks), shift, KEPT_WORDS)
-        reader = _loaded["reader"][1]
+            _loaded["reader"] = id(known), Lexicon(ids, ranks, known, shift), attention.Tables(weights)
+        _, lexicon, tables = _loaded["reader"]
         number = TaskContext.get().partitionId() << 40
 
         def fill(batch: pa.RecordBatch) -> dict:
             nonlocal number
-            out = reader.score(batch.column("text"))
+            out = score_batch(lexicon, tables, batch.column("text"))
             number += batch.num_rows
             return out | {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "row": np.arange(number - batch.num_rows, number)}
 

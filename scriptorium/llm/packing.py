@@ -71,8 +71,9 @@ class ByteIds:
 def cut(df: DataFrame, tokenizer: str, ranks: str | None = None, size: int = 2048, key: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
     """Pieces of every row: doc_id, piece, start, length, ids_crc32, row (a number of the row); with ``whole`` their ids too.
 
-    Each text's ids are followed by id 0.  Only texts longer than ``size`` are cut, after
-    every ``size`` ids.  A null text counts as empty and has one piece: id 0.
+    Each text's ids are followed by id 0.  Only texts longer than ``size`` are cut: the first
+    piece takes what is left over, all others have ``size`` ids.  A null text counts as empty
+    and has one piece: id 0.
     """
     rows = text_rows(df, key, text)
 
@@ -86,8 +87,9 @@ def cut(df: DataFrame, tokenizer: str, ranks: str | None = None, size: int = 204
             out: dict[str, list] = {k: [] for k in ("doc_id", "row", "piece", "start", "length", "ids_crc32", *(("ids",) if whole else ()))}
             for key_, text_ in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 ids = memoryview(encode(text_ or "") + end)
-                for n, at in enumerate(range(0, len(ids), 4 * size)):
-                    part = ids[at : at + 4 * size]
+                first = len(ids) % (4 * size) or 4 * size
+                for n, at in enumerate([0, *range(first, len(ids), 4 * size)]):
+                    part = ids[at : at + 4 * size if n else first]
                     for k, v in zip(out, (key_, seen, n, at // 4, len(part) // 4, zlib.crc32(part), bytes(part))):
                         out[k].append(v)
                 seen += 1

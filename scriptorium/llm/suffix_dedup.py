@@ -29,12 +29,17 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm.minhash import keyed
 from scriptorium.llm.shared import map_batches, unused, written
+from scriptorium.llm.suffixes import GRAM
 
-WINDOW = 256
 HOT = 4000
 BUCKET_BYTES = 16_000_000
 
 
+def window_of(length: int) -> int:
+    """Bytes in which a string of ``length`` looks for its anchor: 16 25ths, so leading bytes remain."""
+    return max(1, min(256, length * 16 // 25, length - GRAM))
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -137,8 +142,14 @@ def _counted_strings(contexts: DataFrame, length: int) -> DataFrame:
     return strings.join(twice, ["h1", "h2"]).groupBy("lead", "context").agg(F.flatten(F.collect_list(F.array("start", "start"))).alias("marks"))
 
 
-def marked(rows: DataFrame, length: int = 400, window: int = WINDOW) -> DataFrame:
-    """rid, runs: for each text with repeated strings the flat list of first and last starts of them."""
+def marked(rows: DataFrame, length: int = 400, window: int | None = None) -> DataFrame:
+    """rid, runs: for each text with repeated strings the flat list of first and last starts of them.
+
+    ``length`` is above 16; ``window`` follows it (:func:`window_of`) where none is given.
+    """
+    if length <= GRAM:
+        raise ValueError(f"strings of {length} bytes have no anchor: more than {GRAM} are needed")
+    window = window or window_of(length)
     found = written(_anchors(rows, length, window), "anchors")
     distinct = found.groupBy("lead", "context").agg(F.sum(1 + F.coalesce(F.array_size("more"), F.lit(0))).alias("n"), F.min(F.struct("rid", "lo", "hi", "before")).alias("one"))
     distinct = written(distinct, "contexts")
@@ -178,7 +189,7 @@ def remaining(data: bytes, found: list[int] | None, length: int) -> tuple[bytes,
     return b"".join([*kept, data[at:]]), spans
 
 
-def remove_repeats(df: DataFrame, length: int = 400, key: str = "doc_id", text: str = "text", window: int = WINDOW, whole: bool = True) -> DataFrame:
+def remove_repeats(df: DataFrame, length: int = 400, key: str = "doc_id", text: str = "text", window: int | None = None, whole: bool = True) -> DataFrame:
     """rid, doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row; with ``whole`` also kept (bytes) and spans.
 
     Texts are UTF-8 bytes, null is empty; strings are judged on the input and never cross
