@@ -16,8 +16,6 @@ Windows of ``BLOCK`` queries overlap by ``CONTEXT`` keys; each position is predi
 
 from __future__ import annotations
 
-import ctypes
-
 import numpy as np
 
 BLOCK, CONTEXT = 16, 32
@@ -38,13 +36,6 @@ ONES = np.ones(MEMBERS, np.float32)
 ONES_OF = lambda n: np.ones(n, np.float32)
 
 
-def keep_memory() -> None:
-    """Large arrays stay in the process's heap: mapping each anew costs more than the arithmetic in it."""
-    options = getattr(ctypes.CDLL(None), "mallopt", None)
-    for option in (-3, -1) if options else ():  # from which size blocks are mapped; how much is kept free at the top
-        options(option, 64 << 20)
-
-
 def slots_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For every id its slot, and the logarithm of its share of the slot."""
     own = SLOTS - 1 - REST

@@ -8,8 +8,10 @@ import numpy as np
 
 #: Angles are computed to some 1e-8; bounds are trusted only beyond this.
 SLACK = 1e-6
-#: Radians of the nested levels; each half of the one before.
-RADII = tuple(np.pi / 4 / 2**k for k in range(4))
+#: Radians of the nested levels; each half of the one before, and the first covers every point.
+RADII = tuple(np.pi / 2**k for k in range(6))
+#: Children of a pair of nodes from which on they are compared by a matrix product.
+MANY = 1024
 
 
 @dataclass
@@ -39,7 +41,7 @@ class Forest:
         while (apart := r != s).any():
             low, high = np.minimum(r, s)[apart], np.maximum(r, s)[apart]
             np.minimum.at(self.root, high, low)
-            while (up := self.root[self.root]).tolist() != self.root.tolist():
+            while not np.array_equal(up := self.root[self.root], self.root):
                 self.root = up
             r, s = self.root[r[apart]], self.root[s[apart]]
 
@@ -107,55 +109,54 @@ def first_points(tree: CoverTree, level: int) -> list[np.ndarray]:
     return np.split(order, np.searchsorted(below[order], np.arange(1, len(tree.centres[level]))))
 
 
-def dual(a: CoverTree, b: CoverTree, cosine: float, same: bool) -> tuple[np.ndarray, np.ndarray, Forest]:
+def dual(a: CoverTree, b: CoverTree, cosine: float, same: bool, work: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, Forest]:
     """Link counts of a's and of b's points, and their components (b's points follow a's, unless they are the same).
 
     A pair of nodes is dropped when even its closest descendants are too far apart, and
     taken whole when even its farthest are close enough; else its children are compared.
     ``same``: both are one tree; a pair of points then counts once for each of the two.
+    ``work[0]`` grows by the pairs of nodes and points that are compared.
     """
     limit = float(np.arccos(cosine))
     counts = np.zeros(len(a.vectors), np.int64), np.zeros(len(b.vectors), np.int64)
     joined = Forest(len(a.vectors) if same else len(a.vectors) + len(b.vectors))
     shift = 0 if same else len(a.vectors)
-    frontier = []
-    for at in range(0, len(a.centres[0]), 512):  # the top level, by blocks
-        rows = np.arange(at, min(at + 512, len(a.centres[0])))
-        apart = a.vectors[a.centres[0][rows]] @ b.vectors[b.centres[0]].T
-        # cos of an angle that both radii and the limit cannot bridge; beyond pi nothing is dropped
-        reach = np.cos(np.minimum(np.pi, a.radius[0][rows][:, None] + b.radius[0][None, :] + limit + SLACK))
-        i, j = np.nonzero(apart >= reach)
-        frontier.append((rows[i], j))
-    level = 0
-    i, j = (np.concatenate(x) for x in zip(*frontier))
     last = len(RADII)
-    while len(i):
-        if level == last:
-            for at in range(0, len(i), 50_000):
-                p, q = i[at : at + 50_000], j[at : at + 50_000]
-                near = (np.einsum("ij,ij->i", a.vectors[p], b.vectors[q]) >= cosine) & ((p != q) if same else True)
-                np.add.at(counts[0], p[near], 1)
-                np.add.at(counts[1], q[near], 1)
-                joined.join(p[near], q[near] + shift)
-            break
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(a.centres[0])), np.arange(len(b.centres[0])), indexing="ij"))
+    work = [0] if work is None else work
+    for level in range(last + 1):
         whole, part = [], []
         for at in range(0, len(i), 50_000):
             p, q = i[at : at + 50_000], j[at : at + 50_000]
-            apart = angle(np.einsum("ij,ij->i", a.vectors[a.centres[level][p]], b.vectors[b.centres[level][q]]))
-            radii = a.radius[level][p] + b.radius[level][q]
+            apart = np.einsum("ij,ij->i", a.vectors[a.centres[level][p]], b.vectors[b.centres[level][q]])
+            if level == last:
+                near = (apart >= cosine) & ((p != q) if same else True)
+                np.add.at(counts[0], p[near], 1)
+                np.add.at(counts[1], q[near], 1)
+                joined.join(p[near], q[near] + shift)
+                continue
+            apart, radii = angle(apart), a.radius[level][p] + b.radius[level][q]
             inside = apart + radii <= limit - SLACK
             whole.append((p[inside], q[inside]))
             open_ = ~inside & (apart <= radii + limit + SLACK)
             part.append((p[open_], q[open_]))
+        if not part:
+            break
         _take_whole(a, b, level, *(np.concatenate(x) for x in zip(*whole)), counts, joined, same)
-        i, j = _expand(a, b, level, *(np.concatenate(x) for x in zip(*part)))
-        level += 1
+        i, j = _expand(a, b, level, *(np.concatenate(x) for x in zip(*part)), limit, work)
     return *counts, joined
 
 
 def _take_whole(a, b, level, p, q, counts, joined, same) -> None:
     if not len(p):
         return
+    single = (a.size[level][p] == 1) & (b.size[level][q] == 1)
+    x, y = a.centres[level][p[single]], b.centres[level][q[single]]
+    other = x != y if same else np.ones(len(x), bool)
+    np.add.at(counts[0], x[other], 1)
+    np.add.at(counts[1], y[other], 1)
+    joined.join(x[other], y[other] + (0 if same else len(a.vectors)))
+    p, q = p[~single], q[~single]
     in_a, in_b = first_points(a, level), first_points(b, level)
     for x, y in zip(p.tolist(), q.tolist()):
         own = int(same and x == y)  # a point is not its own link
@@ -165,13 +166,34 @@ def _take_whole(a, b, level, p, q, counts, joined, same) -> None:
         joined.join(np.concatenate([in_a[x], np.full(len(in_b[y]), in_a[x][0])]), shift + np.concatenate([np.full(len(in_a[x]), in_b[y][0]), in_b[y]]))
 
 
-def _expand(a, b, level, p, q) -> tuple[np.ndarray, np.ndarray]:
+def _expand(a, b, level, p, q, limit, work) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of children, one of each, whose covering radii do not keep them apart."""
     (order_a, begin_a), (order_b, begin_b) = children(a, level), children(b, level)
+    at_a, at_b = a.vectors[a.centres[level + 1]], b.vectors[b.centres[level + 1]]
+    reach_a, reach_b = a.radius[level + 1], b.radius[level + 1]
     many_a, many_b = begin_a[p + 1] - begin_a[p], begin_b[q + 1] - begin_b[q]
-    total = many_a * many_b
-    pair = np.repeat(np.arange(len(p)), total)
-    within = np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total)
-    return order_a[begin_a[p][pair] + within // many_b[pair]], order_b[begin_b[q][pair] + within % many_b[pair]]
+    work[0] += int((many_a * many_b).sum())
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    large = many_a * many_b >= MANY
+    for x, y in zip(p[large].tolist(), q[large].tolist()):
+        own, other = order_a[begin_a[x] : begin_a[x + 1]], order_b[begin_b[y] : begin_b[y + 1]]
+        step = max(1, 4_000_000 // len(other))
+        for at in range(0, len(own), step):
+            some = own[at : at + step]
+            # cos of an angle that both radii and the limit cannot bridge; beyond pi nothing is dropped
+            least = np.cos(np.minimum(np.pi, reach_a[some][:, None] + reach_b[other][None, :] + limit + SLACK)) if reach_a[some].any() or reach_b[other].any() else np.cos(limit + SLACK)
+            r, s = np.nonzero(at_a[some] @ at_b[other].T >= least)
+            found.append((some[r], other[s]))
+    p, q, many_a, many_b = p[~large], q[~large], many_a[~large], many_b[~large]
+    ends = np.cumsum(many_a * many_b)
+    for at in range(0, int(ends[-1]) if len(ends) else 0, 200_000):
+        place = np.arange(at, min(at + 200_000, int(ends[-1])))
+        pair = np.searchsorted(ends, place, side="right")
+        within = place - (ends[pair] - many_a[pair] * many_b[pair])
+        x, y = order_a[begin_a[p[pair]] + within // many_b[pair]], order_b[begin_b[q[pair]] + within % many_b[pair]]
+        near = np.einsum("ij,ij->i", at_a[x], at_b[y]) >= np.cos(np.minimum(np.pi, reach_a[x] + reach_b[y] + limit + SLACK))
+        found.append((x[near], y[near]))
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def link_blocks(a: CoverTree, b: CoverTree, ids_a: np.ndarray, ids_b: np.ndarray, cosine: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,7 +1,7 @@
 """Near-duplicate embeddings by dual traversal of cover trees (operator 1).
 
-Vectors go to the nearest of a bounded number of pivots, and each pivot's cell to blocks
-of bounded size, however many vectors one cell holds.  A block has a cover tree.  Pairs
+Vectors go to the nearest of some pivots, whose number grows with the root of the rows, and
+each pivot's cell to blocks of bounded size, however many vectors one cell holds.  A block has a cover tree.  Pairs
 of cells, then of blocks, are dropped by their covering radii; the other pairs of blocks
 are traversed together, a tile of some blocks by some blocks in a task, so that a block
 travels once for each tile and not for each pair.  A pair of nodes that is close as a whole is counted, not
@@ -13,24 +13,28 @@ No label takes part.  Cosines are computed in double precision.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm.graph import components
-from scriptorium.llm.shared import map_batches, written
+from scriptorium.llm.shared import map_batches, settle, written
 from scriptorium.session import ship
 
 BLOCK = 4096
 #: Blocks on a side of a tile.
 SIDE = 3
-PIVOTS = 64
-SAMPLE = 4096
+#: There are a pivot for this many times the root of the rows, and rows drawn for each.
+PIVOT_SHARE, DRAWN = 8, 64
 
 
 def _units(x: np.ndarray) -> np.ndarray:
     x = np.asarray(x, np.float64)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])  # exact, and squares neither vanish nor overflow
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -57,18 +61,19 @@ def _assigned(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
     """rid, vector, cell, angle to its pivot; a vector of another width has a cell for its width."""
 
     def start():
+        settle()
+
         def fill(batch: pa.RecordBatch) -> dict:
-            vectors = batch.column("vector").to_pylist()
-            cells, angles = [], []
-            for v in vectors:
-                if len(v) != pivots.shape[1]:
-                    cells.append(-len(v))
-                    angles.append(float(np.pi))
-                    continue
-                cosines = pivots @ _units(np.array([v]))[0]
-                cells.append(int(cosines.argmax()))
-                angles.append(float(np.arccos(np.clip(cosines.max(), -1, 1))))
-            return {"rid": batch.column("rid"), "vector": batch.column("vector"), "cell": cells, "angle": angles}
+            vectors = batch.column("vector")
+            widths = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+            cells, angles = -widths.astype(np.int64), np.full(len(widths), np.pi)
+            like = np.flatnonzero(widths == pivots.shape[1])
+            if len(like):
+                x = _units(pc.list_flatten(vectors.take(pa.array(like))).to_numpy(zero_copy_only=False).reshape(len(like), -1))
+                cosines = x @ pivots.T
+                cells[like] = cosines.argmax(axis=1)
+                angles[like] = np.arccos(np.clip(cosines.max(axis=1), -1, 1))
+            return {"rid": batch.column("rid"), "vector": vectors, "cell": cells, "angle": angles}
 
         return fill
 
@@ -98,18 +103,28 @@ def _blocks(assigned: DataFrame, block: int) -> DataFrame:
 def _pairs(blocks: DataFrame, pivots: np.ndarray, limit: float) -> DataFrame:
     """Pairs of blocks (a <= b), and their sides, that covering radii cannot tell apart.
 
-    The cells' largest radii, one number a pivot, come to the driver; the list of cell
-    pairs has at most half of PIVOTS squared entries.
+    The cells' largest radii, one number a pivot, come to the driver; the pairs of cells are
+    listed by tasks, a pivot at a time.
     """
     spark = blocks.sparkSession
     reach = {r.cell: r.reach for r in blocks.groupBy("cell").agg(F.max("reach").alias("reach")).collect()}
-    apart = np.arccos(np.clip(pivots @ pivots.T, -1, 1))
-    near = [(int(c), int(d), float(apart[c, d])) for c in reach for d in reach if 0 <= c <= d and apart[c, d] <= reach[c] + reach[d] + limit + 1e-6]
-    near += [(int(c), int(c), 0.0) for c in reach if c < 0]
-    cells = spark.createDataFrame(near, "cell int, other int, apart double")
+    reached = np.array([reach.get(c, -np.inf) for c in range(len(pivots))])
+
+    def near(batches):
+        for batch in batches:
+            for c in batch.column("id").to_pylist():
+                if c < 0:  # vectors of another width have no pivot
+                    yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([c], pa.int32()), pa.array([0.0])], names=["cell", "other", "apart"])
+                    continue
+                apart = np.arccos(np.clip(pivots[c:] @ pivots[c], -1, 1))
+                apart[0] = 0.0
+                others = np.flatnonzero(apart <= reached[c] + reached[c:] + limit + 1e-6)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(others), c), pa.int32()), pa.array(c + others, pa.int32()), pa.array(apart[others])], names=["cell", "other", "apart"])
+
+    cells = spark.createDataFrame([(int(c),) for c in reach], "id long").mapInArrow(near, "cell int, other int, apart double")
     one = blocks.select("cell", F.col("block").alias("a"), F.col("reach").alias("reach_a"), F.col("side").alias("side_a"))
     two = blocks.select(F.col("cell").alias("other"), F.col("block").alias("b"), F.col("reach").alias("reach_b"), F.col("side").alias("side_b"))
-    found = one.join(F.broadcast(cells), "cell").join(two, "other")
+    found = one.join(cells, "cell").join(two, "other")
     return found.where(f"(cell < other OR a <= b) AND apart <= reach_a + reach_b + {limit + 1e-6}").select("a", "b", "side_a", "side_b")
 
 
@@ -125,6 +140,7 @@ def _links(blocks: DataFrame, pairs: DataFrame, cosine: float, item: str) -> Dat
     def compare(table: pa.Table) -> pa.Table:
         from scriptorium.llm.cover_tree import build, link_blocks
 
+        settle()
         trees, todo = {}, []
         for row in table.select(["block", "rids", "vectors", "pairs"]).to_pylist():
             if row["block"] is None:
@@ -153,7 +169,9 @@ def embedding_duplicates(df: DataFrame, cosine: float = 0.9, key: str = "vec_id"
     some = F.exists("vector", lambda x: x != 0)
     fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     good = rows.where(F.coalesce(some & fine, F.lit(False)))
-    pivots = pivots_of(good, max(1, min(PIVOTS, rows.count() // block)), SAMPLE)
+    count = rows.count()
+    many = max(1, min(math.isqrt(count) // PIVOT_SHARE, count // block))
+    pivots = pivots_of(good, many, DRAWN * many)
     result = rows.select("vec_id", "rid")
     if not len(pivots):
         return result.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))

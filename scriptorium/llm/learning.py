@@ -21,7 +21,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     drawn = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     picked = F.broadcast(drawn[0].unionAll(drawn[1]))  # at most twice per_class rows of two numbers
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.select("doc_id", text.alias("text"), F.length(text).alias("size"), F.xxhash64(text).alias("hash"))
+    keyed = docs.select("doc_id", text.alias("text"), F.octet_length(text).alias("size"), F.xxhash64(text).alias("hash"))
     order = F.crc32(F.concat(F.lit("order "), F.col("doc_id").cast("string")).cast("binary"))
     sizes = keyed.select("doc_id", "size", "hash").join(picked, "doc_id").orderBy(order, "doc_id", "hash", "y").limit(4 * per_class)
     left, chosen = [most_bytes, most_bytes], []

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm import attention
 from scriptorium.llm.packing import PATTERN
-from scriptorium.llm.shared import map_batches, remainder, slices, text_rows, written
+from scriptorium.llm.shared import map_batches, remainder, settle, slices, text_rows, written
 
 #: Entries of the broadcast table, and distinct words that a worker keeps at hand.
 TABLE = 250_000
@@ -250,7 +250,7 @@ def train(rows: DataFrame, texts: int, counts: np.ndarray, ranks: str) -> dict[s
         rate = RATE / (1 + turn)
 
         def task(batches, start=start, rate=rate):
-            attention.keep_memory()
+            settle()
             weights, counts = start.value
             yield from _train_task(Lexicon(counts, ranks), {k: v.copy() for k, v in weights.items()}, rate, batches)
 
@@ -306,7 +306,7 @@ def score_texts(df: DataFrame, ranks: str, modulus: int = 7, held_out: int = 2,
     shared = df.sparkSession.sparkContext.broadcast((weights, ids, frequent))
 
     def start():
-        attention.keep_memory()
+        settle()
         weights, ids, known = shared.value
         if _loaded.get("reader", (None,))[0] != id(known):
             _loaded["reader"] = id(known), Lexicon(ids, ranks, known, shift), attention.Tables(weights)

@@ -2,8 +2,8 @@
 
 :func:`store` writes payloads as members of tar shards in the shared store, named by
 their digest, and returns a manifest: one row per input row with digest, shard, offset
-and length.  A payload that a task meets again is stored once; all its rows carry the
-same place.  Shards are named by task attempt, so a lost or repeated task leaves files
+and length.  A payload that a task meets again is stored once; :func:`one_place` gives a
+payload that several tasks met one place, so all its rows carry the same.  Shards are named by task attempt, so a lost or repeated task leaves files
 that no manifest names, never a half-written file that one does.
 
 :func:`headers` fills metadata columns from range reads of a member's first bytes alone;
@@ -163,7 +163,7 @@ class Reader:
 
 def headers(manifest: DataFrame) -> DataFrame:
     """Adds width, height, bits, format: ``HEADER_BYTES`` are read of each member, no more."""
-    names = [f.name for f in manifest.schema]
+    names = manifest.columns
 
     def start():
         read = Reader()
@@ -192,11 +192,11 @@ def describe(payload: bytes) -> str:
 
 
 def features(manifest: DataFrame) -> DataFrame:
-    """Per manifest row, from the bytes read back: payload and stored digests, sizes, feature.
+    """The manifest's columns and, from the bytes read back, payload and stored digests, sizes, feature.
 
     A member whose payload does not match its digest raises: the store is damaged.
     """
-    kind = manifest.schema["doc_id"].dataType.simpleString()
+    names = [n for n in manifest.columns if n != "media_sha256"]
 
     def start():
         read, last = Reader(), {}
@@ -216,23 +216,38 @@ def features(manifest: DataFrame) -> DataFrame:
         def fill(batch: pa.RecordBatch) -> dict:
             seen = [look(*x) for x in zip(*(batch.column(n).to_pylist() for n in ("shard", "offset", "length", "digest")))]
             named = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
-            return {n: batch.column(n) for n in ("doc_id", "n_bytes")} | {n: [s[i] for s in seen] for i, n in enumerate(named)}
+            return {n: batch.column(n) for n in names} | {n: [s[i] for s in seen] for i, n in enumerate(named)}
 
         return fill
 
-    return map_batches(manifest, start, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    fields = ", ".join(f"`{n}` {manifest.schema[n].dataType.simpleString()}" for n in names)
+    return map_batches(manifest, start, f"{fields}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
-def media_columns(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Stores every text, reads it back and returns its digests, feature and header columns.
+def one_place(manifest: DataFrame, salts: int = 16) -> DataFrame:
+    """The manifest with one place for each digest, the first by shard and offset; ``row`` tells rows apart.
 
-    Rows: one for each input row, whatever its key; empty table: none.  Equal texts have
-    equal values in all contract columns.  Other columns are not read.
+    Tasks store what they meet, so a payload that several tasks met has several places.
+    Only those digests travel; rows of one that many share are spread over ``salts`` keys.
     """
-    manifest = written(store(df, fresh_path(df.sparkSession, "media"), key, text), "manifest")
-    return features(manifest)
+    place = F.struct("shard", "offset", "length")
+    several = manifest.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("digest", "first")
+    several = several.withColumn("salt", F.explode(F.array(*map(F.lit, range(salts)))))
+    salted = manifest.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int"))
+    joined = salted.join(several, ["digest", "salt"], "left").withColumn("place", F.coalesce("first", place))
+    return joined.select(*[F.col("place")[c].alias(c) if c in ("shard", "offset", "length") else F.col(c) for c in manifest.columns])
+
 
+def media_columns(df: DataFrame, key: str = "doc_id", text: str = "text", task_bytes: int = 64 << 20) -> DataFrame:
+    """Stores every text; fills the header columns by range reads of headers, the others from the bytes read back.
 
-def locations(manifest: DataFrame) -> DataFrame:
-    """One place for each digest, for compacting shards: the first by shard and offset."""
-    return manifest.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("place")).select("digest", "place.*")
+    Rows: one for each input row, whatever its key; empty table: none.  Equal texts have
+    equal values in all columns, digest, shard, offset and length included.  Other columns
+    are not read.  A reading task has some ``task_bytes`` of stored members, in the order
+    they are stored.
+    """
+    stored = store(df, fresh_path(df.sparkSession, "media"), key, text).withColumn("row", F.monotonically_increasing_id())
+    manifest = written(one_place(written(stored, "manifest")), "places")
+    total = manifest.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    dealt = manifest.drop("row").repartitionByRange(max(1, -(-total // task_bytes)), "shard", "offset")
+    return features(headers(dealt.sortWithinPartitions("shard", "offset")))

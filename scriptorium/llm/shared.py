@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import glob
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,11 +24,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the setting is absent (tests on one machine) a temporary folder is
-    made, and kept for the rest of the session.
+    Only where the setting is absent and all tasks run in this process's machine (tests) a
+    temporary folder is made, and kept for the rest of the session.
     """
     place = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.scriptorium.dir", None)
     if not place:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
         place = "file://" + tempfile.mkdtemp(prefix="scriptorium-")
         spark.conf.set("spark.scriptorium.dir", place)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
@@ -33,7 +39,34 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/scriptorium/{label}-{uuid.uuid4().hex}"
+    return f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/scriptorium/{spark.sparkContext.applicationId}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all that operators of this application have left in the shared folder.
+
+    Results of operators read from there: they are written elsewhere before this is called.
+    """
+    delete(spark, _own_folder(spark))
+
+
+def settle() -> None:
+    """A worker shares its cores with others: matrix products use one thread, which does not spin.
+
+    Large arrays stay in the process's heap: mapping each anew costs more than the arithmetic in it.
+    """
+    for path in glob.glob(os.path.join(os.path.dirname(np.__file__), "..", "numpy.libs", "*openblas*")):
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if limit := getattr(library, name, None):
+                limit(1)
+    options = getattr(ctypes.CDLL(None), "mallopt", None)
+    for option in (-3, -1) if options else ():  # from which size blocks are mapped; how much is kept free at the top
+        options(option, 64 << 20)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

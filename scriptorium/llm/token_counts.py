@@ -87,12 +87,12 @@ class PieceCounter:
 
 
 def frequent_lengths(rows: DataFrame, model: str, sample_rows: int, table_size: int) -> dict[str, int]:
-    """Tier one: at most ``table_size`` pre-tokens of at most ``sample_rows`` rows."""
+    """Tier one: at most ``table_size`` pre-tokens of at most ``sample_rows`` texts of 8 KB at most."""
     counter = PieceCounter.of(model)
     if not counter.splits:
         return {}
     seen: Counter = Counter()
-    for row in rows.select("text").where("text IS NOT NULL").where(F.pmod(F.xxhash64("text"), F.lit(16)) == 0).limit(sample_rows).collect():
+    for row in rows.select("text").where(F.octet_length("text") <= 8192).where(F.pmod(F.xxhash64("text"), F.lit(16)) == 0).limit(sample_rows).collect():
         seen.update(p for p in counter.pre_tokens(row.text) if len(p) <= counter.longest)
     top = [p for p, _ in seen.most_common(table_size)]
     return dict(zip(top, counter.lengths(top)))
@@ -103,7 +103,8 @@ def count_tokens(df: DataFrame, model: str, key: str = "doc_id", text: str = "te
 
     A null or empty text has 0 bytes and 0 tokens.  Equal rows give equal rows; a null
     key stays null; an empty table gives an empty table; other columns are not read.
-    ``sample_rows`` and ``table_size`` bound the broadcast table, and nothing else.
+    ``sample_rows`` (of 8 KB at most, so the driver holds 32 MB) and ``table_size`` bound the
+    broadcast table, and nothing else.
     """
     rows = text_rows(df, key, text)
     table = df.sparkSession.sparkContext.broadcast(frequent_lengths(rows, model, sample_rows, table_size))

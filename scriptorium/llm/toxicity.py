@@ -1,12 +1,19 @@
 """Toxicity by a weighted finite-state pattern grammar (operator 9).
 
 A text is cut into clauses.  A lexical transducer turns each word into a symbol: insult,
-threat, target, negation, report, other.  Four small transducers read the symbols of a
-clause - one carries who is spoken to, one how far a negation reaches, one whether the
-clause reports somebody's speech, one emits at insults and threats - and are composed
-into a single table before any text is read.  What the table emits is a match with its
-circumstances: plain, aimed, negated or reported.  Weighted sums of these over the whole
-text, not single words, go through a logistic curve fitted on labelled texts.
+harm (a verb that needs an object), doom (what befalls its subject), target, intent,
+negation, report, other.  Small transducers read the symbols of a clause.  Some read it
+forwards: whether somebody is spoken of before, how far a negation reaches, whether
+something is intended, whether speech is reported.  Some read it backwards: who stands
+behind as object, whether a report follows.  Those of a direction are composed into one
+table; insult and threat are transducers over what both directions say of a word:
+
+    insult: aimed at a target on either side, else plain
+    threat: intent, harm, then its object; or a target, intent, then its doom
+
+and negation and report turn a match into a negated or a reported one.  Weighted sums of
+matches over the whole text, not single words, go through a logistic curve fitted on
+labelled texts.
 
 The insult lexicon is learned: words and stems that labelled toxic texts have and others
 lack.  Counting is over texts that are not near copies of each other, or one copied text
@@ -28,13 +35,16 @@ from pyspark.sql import functions as F
 from scriptorium.llm.learning import Logistic, labelled_sample
 from scriptorium.llm.shared import map_batches, remainder, text_rows
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+OTHER, INSULT, HARM, DOOM, TARGET, INTENT, NEGATION, REPORT = range(8)
+SYMBOLS = 8
 #: Closed word classes of the four languages of the corpus.
 CLOSED = {
     TARGET: "you your yourself he she they him her them du dich dir ihr euch sie er tu te toi vous il elle ils usted ustedes tú ti él ella ellos",
-    NEGATION: "not never no nor neither isn't aren't wasn't don't nicht kein keine nie niemals ne pas jamais ni nunca jamás tampoco",
+    INTENT: "will shall gonna going want i'll we'll let's werde werden wollen vais allons vont voy vamos van",
+    NEGATION: "not never no nor neither isn't aren't wasn't don't won't nicht kein keine nie niemals ne pas jamais ni nunca jamás tampoco",
     REPORT: "said says called calls quoted quotes reported wrote allegedly sagte sagt nannte schrieb dit disait appelé écrit dijo llamó escribió",
-    THREAT: "kill hurt punch stab strangle destroy töten umbringen schlagen tuer frapper matar golpear",
+    HARM: "kill hurt punch stab strangle destroy töten umbringen schlagen tuer frapper matar golpear",
+    DOOM: "die suffer sterben leiden mourir souffrir morir sufrir",
 }
 CLAUSE = re.compile(r"[^.!?;:\n]+")
 WORD_OF = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
@@ -53,44 +63,80 @@ class Transducer:
 
 
 def countdown(symbol: int, reach: int) -> Transducer:
-    """State: how many more words the last ``symbol`` reaches over."""
-    moves = {(n, s): (max(0, n - 1), n > 0) for n in range(reach + 1) for s in range(6)}
+    """Emits whether one of the ``reach`` words read before was ``symbol``."""
+    moves = {(n, s): (max(0, n - 1), n > 0) for n in range(reach + 1) for s in range(SYMBOLS)}
     moves |= {(n, symbol): (reach, n > 0) for n in range(reach + 1)}
     return Transducer(0, moves)
 
 
 def latch(symbol: int) -> Transducer:
-    """State: whether ``symbol`` has been read in this clause."""
-    return Transducer(0, {(n, s): (int(n or s == symbol), bool(n)) for n in (0, 1) for s in range(6)})
-
+    """Emits whether ``symbol`` has been read in this clause."""
+    return Transducer(0, {(n, s): (int(n or s == symbol), bool(n)) for n in (0, 1) for s in range(SYMBOLS)})
 
-def emitter() -> Transducer:
-    """Emits at insults, and at threats that have a target around them."""
-    return Transducer(0, {(0, INSULT): (0, "insult"), (0, THREAT): (0, "threat")})
 
-
-def compose(target: Transducer, negation: Transducer, report: Transducer, emit: Transducer) -> list[list[tuple[int, int]]]:
-    """Table of the product machine: for state and symbol the next state and the kind emitted, or -1."""
-    numbers, table, queue = {}, [], [(target.start, negation.start, report.start, emit.start)]
-    numbers[queue[0]] = 0
+def compose(*machines: Transducer) -> list[list[tuple[int, tuple]]]:
+    """Table of the product machine: for state and symbol the next state, and what each machine emits."""
+    table, queue = [], [tuple(m.start for m in machines)]
+    numbers = {queue[0]: 0}
     for state in queue:  # grows as new states are met
         row = []
-        for symbol in range(6):
-            steps = [m.step(s, symbol) for m, s in zip((target, negation, report, emit), state)]
-            (_, aimed), (_, negated), (_, reported), (_, what) = steps
-            kind = -1
-            if what:
-                kind = 3 if reported else 2 if negated else (4 if aimed else -1) if what == "threat" else 1 if aimed else 0
+        for symbol in range(SYMBOLS):
+            steps = [m.step(s, symbol) for m, s in zip(machines, state)]
             after = tuple(s for s, _ in steps)
             if after not in numbers:
                 numbers[after] = len(numbers)
                 queue.append(after)
-            row.append((numbers[after], kind))
+            row.append((numbers[after], tuple(e for _, e in steps)))
         table.append(row)
     return table
 
 
-GRAMMAR = compose(countdown(TARGET, 4), countdown(NEGATION, 3), latch(REPORT), emitter())
+def insult(before: tuple, behind: tuple) -> str:
+    return "aimed" if before[0] or behind[0] else "plain"
+
+
+def harm(before: tuple, behind: tuple) -> str | None:
+    return "threat" if before[1] and behind[1] else None
+
+
+def doom(before: tuple, behind: tuple) -> str | None:
+    return "threat" if before[0] and before[1] else None
+
+
+#: Read forwards: target, intent, negation, report; backwards: target near, object, report.
+FORWARDS = compose(countdown(TARGET, 4), countdown(INTENT, 4), countdown(NEGATION, 3), latch(REPORT))
+BACKWARDS = compose(countdown(TARGET, 2), countdown(TARGET, 3), latch(REPORT))
+EMITTERS = {INSULT: insult, HARM: harm, DOOM: doom}
+
+
+def emitted(symbol: int, before: tuple, behind: tuple) -> str | None:
+    """The kind of match at a word, from what the words before and behind it say."""
+    kind = EMITTERS[symbol](before, behind)
+    return kind and ("reported" if before[3] or behind[2] else "negated" if before[2] else kind)
+
+
+#: The whole grammar as one table: what comes out at a symbol, for what either direction says.
+GRAMMAR = {
+    (symbol, f, g): emitted(symbol, f, g)
+    for symbol in EMITTERS
+    for f in {e for row in FORWARDS for _, e in row}
+    for g in {e for row in BACKWARDS for _, e in row}
+}
+
+
+def run(symbols: list[int]) -> list[str | None]:
+    """The kind of match at every word of a clause, or none."""
+    behind, state = [], 0
+    for s in reversed(symbols):
+        state, said = BACKWARDS[state][s]
+        behind.append(said)
+    out, state = [], 0
+    for s, g in zip(symbols, reversed(behind)):
+        state, f = FORWARDS[state][s]
+        out.append(GRAMMAR.get((s, f, g)))
+    return out
+
+
 CLOSED_WORDS = {w: symbol for symbol, words in CLOSED.items() for w in words.split()}
 
 
@@ -107,7 +153,7 @@ class ToxicityModel:
         #: The longest stem a word begins with, found by trying each stem length.
         self.lengths = sorted(by_length, reverse=True)
         any_stem = "|".join(re.escape(s) for s in sorted(self.stems, key=len, reverse=True))
-        any_threat = "|".join(CLOSED[THREAT].split())
+        any_threat = "|".join((CLOSED[HARM] + " " + CLOSED[DOOM]).split())
         self.hit = re.compile(rf"(?<![^\W\d_])(?:(?:{any_stem})|(?:{any_threat})\b)" if any_stem else rf"\b(?:{any_threat})\b")
 
     def __getstate__(self):
@@ -125,15 +171,12 @@ class ToxicityModel:
         text, out = text.lower(), []
         at = 0
         while found := self.hit.search(text, at):
-            begin = max(text.rfind(c, 0, found.start()) for c in ".!?;:\n") + 1
+            begin = max(text.rfind(c, at, found.start()) for c in ".!?;:\n") + 1 or at  # a clause begins where the last ended
             clause = CLAUSE.match(text, begin)
-            state = 0
-            for word in WORD_OF.findall(clause[0]):
-                weight = self.weight(word)
-                symbol = INSULT if weight else CLOSED_WORDS.get(word, OTHER)
-                state, kind = GRAMMAR[state][symbol]
-                if kind >= 0:
-                    out.append((clause[0].strip(), KINDS[kind], weight or 1.0))
+            words = WORD_OF.findall(clause[0])
+            weights = [self.weight(w) for w in words]
+            kinds = run([INSULT if x else CLOSED_WORDS.get(w, OTHER) for w, x in zip(words, weights)])
+            out += [(clause[0].strip(), kind, weight or 1.0) for kind, weight in zip(kinds, weights) if kind]
             at = max(clause.end(), found.end())
         return out
 

@@ -77,11 +77,34 @@ def test_the_grammar_knows_circumstances():
     assert kinds("You are an idiot") == ["aimed"]
     assert kinds("You are not an idiot") == ["negated"]
     assert kinds("He said that you are an idiot") == ["reported"]
-    assert kinds("I will kill you") == [] and kinds("You, I will kill you") == ["threat"]
+    assert kinds("I will kill you") == kinds("You, I will kill you") == kinds("We're going to hurt them") == kinds("You will die") == ["threat"]
+    assert kinds("you kill it") == kinds("I will kill the lights") == kinds("They die") == [] and kinds("I will never hurt you") == ["negated"]
+    assert kinds("Idiot, they said") == ["reported"] and kinds("What an idiot you are") == ["aimed"] and kinds("He said: I will kill you") == ["threat"]
     assert kinds("Not here. You scum! A nidiotic word") == ["aimed"]
     assert model.weight("scummy") == 3.0 and model.weight("other") == 0.0
 
 
+def test_the_grammar_tells_what_the_sum_of_stems_cannot():
+    """Quoted and denied insults are not toxic here: the same words, told apart by circumstances alone."""
+    draw = random.Random(12)
+    toxic = ["You are a {0}", "{0}, get out", "They are {0} people"]
+    clean = ["He said that you are a {0}", "You are not a {0}", "Nobody is called a {0}, she wrote"]
+    sample = [(f"{prose(draw, 20)} {draw.choice(toxic if y else clean).format(draw.choice(['grobnik', 'zarvel']))}. {prose(draw, 20)}", y) for i in range(400) for y in [i % 2]]
+    model = toxicity.ToxicityModel({"grobnik": 2.0, "zarvel": 2.0}, None, 0.0)
+    y = np.array([z for _, z in sample], float)
+    grammar = np.array([model.features(t) for t, _ in sample])
+    stems = np.array([[sum(model.weight(w) for w in toxicity.WORD_OF.findall(t.lower()))] for t, _ in sample])
+    order = np.argsort(np.arange(400) % 4 // 2, kind="stable")
+    fit, rest = order[:200], order[200:]
+    right = [np.mean((toxicity.Logistic(x[fit], y[fit], 1.0, False)(x[rest]) >= 0.5) == y[rest]) for x in (grammar, stems)]
+    assert right[0] == 1.0 and right[1] < 0.7
+
+
+def test_a_long_text_without_marks_is_read_once():
+    model = toxicity.ToxicityModel({"idiot": 2.0}, None, 0.0)
+    assert len(model.matches("word idiot " * 50_000)) == 50_000
+
+
 def test_copies_do_not_make_a_lexicon():
     draw = random.Random(9)
     copied = prose(draw, 80) + " grobnik"

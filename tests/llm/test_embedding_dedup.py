@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from scriptorium.llm import cover_tree
+from scriptorium.llm import cover_tree, embedding_dedup
 from scriptorium.llm.embedding_dedup import embedding_duplicates
 from scriptorium.llm.shingles import roots
 
@@ -61,6 +61,36 @@ def test_odd_vectors(spark):
     assert [f for f in found if f[0] in (0, 1, 9)] == [(0, 3, 0, True), (0, 3, 0, True), (1, 3, 0, False), (9, 3, 0, False)]
 
 
+def test_extreme_components(spark):
+    """Squares of the smallest doubles vanish and those of the largest overflow: cosines do not depend on length."""
+    near = [[1.0, 0.0, 0.01 * i] for i in range(3)]
+    vectors = near + [[1e-200] * 3, [1e200] * 3, [5e-324, 0.0, 0.0]]
+    rows = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    found = {r.vec_id: (r.n_links, r.component_id) for r in embedding_duplicates(rows).collect()}
+    assert found == {0: (3, 0), 1: (3, 0), 2: (3, 0), 3: (1, 3), 4: (1, 3), 5: (3, 0)}
+
+
+def test_radii_prune_clusters_but_not_noise():
+    """Of all pairs, those whose cosine is computed: few among tight clusters, all among random vectors of 64 dimensions."""
+    draw = np.random.default_rng(7)
+    centres = draw.standard_normal((40, 64))
+    share = []
+    for x in (centres[draw.integers(0, 40, 2000)] + 0.05 * draw.standard_normal((2000, 64)), draw.standard_normal((2000, 64))):
+        tree, work = cover_tree.build(x / np.linalg.norm(x, axis=1, keepdims=True)), [0]
+        assert len(tree.centres[0]) == 1
+        cover_tree.dual(tree, tree, 0.9, True, work)
+        share.append(work[0] / 2000**2)
+    assert share[0] < 0.01 and share[1] < 1.01
+
+
+def test_many_pivots(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "PIVOT_SHARE", 1)
+    x = clustered(4)
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {r.vec_id: (r.n_links, r.component_id) for r in embedding_duplicates(rows, block=12).collect()}
+    assert found == brute(list(range(len(x))), x)
+
+
 def test_empty_and_unusable(spark):
     rows = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embedding_duplicates(rows).isEmpty()

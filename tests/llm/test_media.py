@@ -37,7 +37,15 @@ def test_shards_are_tar_files_addressed_by_content(spark, documents):
         assert hashlib.sha256(media.decode(tar.extractfile(member).read())).hexdigest() == p.digest
     heads = media.headers(manifest).collect()
     assert {(h.width, h.height, h.bits, h.format) for h in heads} == {(576, 1, 8, "png")}
-    assert media.locations(manifest).count() == 3
+
+
+def test_one_place_for_each_digest(spark, documents):
+    """Tasks of their own store the same payloads: all rows of one name one place, whose header and bytes are read."""
+    rows = documents("one", "two", "one", "one", "two", None, "").repartition(7)
+    found = media.media_columns(rows, task_bytes=600).collect()
+    assert len(found) == 7 and len({(r.shard, r.offset) for r in found}) == len({r.digest for r in found}) == 3
+    assert {(r.width, r.height, r.bits, r.format) for r in found} == {(576, 1, 8, "png")}
+    assert all(r.digest == r.payload_sha256 and r.length == r.media_bytes for r in found)
 
 
 def test_headers_need_the_first_bytes_only():

@@ -31,7 +31,9 @@ def check(rows, texts, size):
     sequences = {}
     for i, t in texts.items():
         ids, pieces = ids_of(t), sorted(found[i], key=lambda r: r.piece)
-        assert [p.start for p in pieces] == list(range(0, len(ids), size)) and sum(p.length for p in pieces) == len(ids)
+        assert sum(p.length for p in pieces) == len(ids) and [p.piece for p in pieces] == list(range(len(pieces)))
+        assert 0 < pieces[0].length <= size and all(p.length == size for p in pieces[1:])  # the first piece may be shorter
+        assert all(q.start == p.start + p.length for p, q in zip(pieces, pieces[1:])) and pieces[0].start == 0
         for p in pieces:
             assert p.ids_crc32 == zlib.crc32(ids[p.start : p.start + p.length].tobytes())
     for r in rows:

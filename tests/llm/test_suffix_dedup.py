@@ -53,6 +53,16 @@ def test_like_brute_force(spark, monkeypatch, length, window, hot):
     assert [found[i] for i in range(len(texts))] == brute(texts, length)
 
 
+@pytest.mark.parametrize("length", [240, 20, 17])
+def test_the_window_follows_the_length(spark, length):
+    texts = corpus(length, 25)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(rows, length=length).collect()}
+    assert [found[i] for i in range(len(texts))] == brute(texts, length)
+    with pytest.raises(ValueError):
+        remove_repeats(rows, length=16)
+
+
 def test_equal_strings_have_equal_anchors():
     draw = random.Random(5)
     same = bytes(draw.randrange(256) for _ in range(100))
