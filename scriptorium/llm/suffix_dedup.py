@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm.minhash import keyed
-from scriptorium.llm.shared import map_batches, unused, written
+from scriptorium.llm.shared import drop_written, map_batches, unused, written
 from scriptorium.llm.suffixes import GRAM
 
 HOT = 4000
@@ -155,21 +155,29 @@ def marked(rows: DataFrame, length: int = 400, window: int | None = None) -> Dat
     distinct = written(distinct, "contexts")
     leads = distinct.groupBy("lead").agg(F.count("*").alias("m"), F.sum("n").alias("all")).where("all > 1").select("lead", "m")
     shared = written(distinct.join(leads, "lead").select("lead", "context", "n", "m", "one.*"), "shared")
+    drop_written(distinct)  # each table goes when nothing reads it any longer
     once = shared.where("m > 1")
     contexts = written(_with_bytes(once, rows, length), "bytes")
+    used = [shared, contexts]
     hot = once.where(f"m > {HOT}").select("lead").distinct()
     if hot.isEmpty():
         partly = _sorted_buckets(contexts, length, window)
     else:
         apart = written(contexts.join(hot.withColumn("hot", F.lit(True)), "lead", "left"), "apart")
+        used.append(apart)
         partly = _sorted_buckets(apart.where("hot IS NULL").drop("hot"), length, window)
         partly = partly.unionAll(_counted_strings(apart.where("hot").drop("hot"), length))
     marks = shared.where("n > 1").select("lead", "context", F.array(F.lit(0), F.col("hi") - F.col("lo")).alias("marks"))
     marks = written(marks.unionAll(partly), "marks")
+    for table in used:
+        drop_written(table)
     places = F.concat(F.array("lo"), F.coalesce("more", F.array().cast("array<int>")))
     runs = F.flatten(F.transform(places, lambda lo: F.transform("marks", lambda x: x + lo)))
     placed = found.join(marks, ["lead", "context"]).select("rid", runs.alias("runs"))
-    return written(placed.groupBy("rid").agg(F.flatten(F.collect_list("runs")).alias("runs")), "runs")
+    runs = written(placed.groupBy("rid").agg(F.flatten(F.collect_list("runs")).alias("runs")), "runs")
+    drop_written(found)
+    drop_written(marks)
+    return runs
 
 
 def remaining(data: bytes, found: list[int] | None, length: int) -> tuple[bytes, list[tuple[int, int]]]:
