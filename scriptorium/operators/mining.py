@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,35 +18,46 @@ SANE = {
 LOOK_BACK = {"abstract_words": 2, "keyword_range": 1, "keyword_max": 1}
 
 
-def windows(texts: DataFrame, back: int) -> DataFrame:
-    """F-16: ms_id, sent_ord, sentence, window: each sentence with ``back`` before it, numbers as digits, lower case."""
-    rows = texts.select("ms_id", F.posexplode(T.sentences(F.col("text"))).alias("sent_ord", "sentence"))
-    frame = Window.partitionBy("ms_id").orderBy("sent_ord").rowsBetween(-back, Window.currentRow)
-    return rows.withColumn("window", T.digits(F.lower(F.array_join(F.collect_list("sentence").over(frame), " "))))
+def windows(sentences: Column, back: int) -> Column:
+    """F-16: for each sentence of an array the text of it with ``back`` before it."""
+    start = lambda i: F.greatest(i - back, F.lit(0))
+    return F.transform(sentences, lambda s, i: F.array_join(F.slice(sentences, start(i) + 1, i - start(i) + 1), " ")) if back else sentences
+
 
+def first_hit(read: Column, what: str) -> Column:
+    """F-16: struct w, i: the first text of an array that a pattern of a limit matches, and its place; or null."""
+    any_of = lambda w: reduce(lambda x, y: x | y, [T.matches(w, p, True) for p in P.MINED_LIMITS[what]])
+    return T.at(F.filter(F.transform(read, lambda w, i: F.when(any_of(w), F.struct(w.alias("w"), i.alias("i")))), lambda h: h.isNotNull()), 1)
 
-def first_match(texts: DataFrame, what: str) -> DataFrame:
-    """F-16, H-30: ms_id, what, low, high, sentence: the first sentence, and in it the first pattern, that gives numbers."""
-    rows = windows(texts, LOOK_BACK.get(what, 0))
-    number = lambda p, n: T.extracted(F.col("window"), p, n, True).try_cast("int")
-    found = F.array(*[
-        F.when(T.matches(F.col("window"), p, True), F.struct(F.lit(n).alias("pattern"), number(p, 1).alias("a"), (number(p, 2) if p.count(r"(\d{1,4})") > 1 else F.lit(None).cast("int")).alias("b")))
-        for n, p in enumerate(P.MINED_LIMITS[what])
+
+def numbers_of(text: Column, what: str) -> Column:
+    """H-30: struct a, b: the numbers that the first matching pattern of a limit finds."""
+    number = lambda p, n: T.extracted(text, p, n, True).try_cast("int")
+    return F.coalesce(*[
+        F.when(T.matches(text, p, True), F.struct(number(p, 1).alias("a"), (number(p, 2) if p.count(r"(\d{1,4})") > 1 else F.lit(None).cast("int")).alias("b")))
+        for p in P.MINED_LIMITS[what]
     ])
-    hits = rows.withColumn("hit", T.at(F.filter(found, lambda h: h.isNotNull()), 1)).where("hit IS NOT NULL")
-    first = hits.withColumn("n", F.row_number().over(Window.partitionBy("ms_id").orderBy("sent_ord"))).where("n = 1")
-    low, high = F.when(F.col("hit.b").isNotNull(), F.col("hit.a")), F.coalesce("hit.b", "hit.a")
-    least, most = SANE[what]
-    return first.select("ms_id", F.lit(what).alias("what"), low.alias("low"), high.alias("high"), F.left("sentence", F.lit(200)).alias("sentence")).where(F.col("high").between(least, most))
+
+
+def believed(what: str) -> Column:
+    """H-30: struct what, low, high, sentence of a limit whose numbers are sane, or null."""
+    found, sentence = F.col(f"n_{what}"), T.at(F.col("s"), F.col(f"hit_{what}")["i"] + 1)
+    low, high = F.when(found["b"].isNotNull(), found["a"]), F.coalesce(found["b"], found["a"])
+    return F.when(high.between(*SANE[what]), F.struct(F.lit(what).alias("what"), low.alias("low"), high.alias("high"), F.left(sentence, F.lit(200)).alias("sentence")))
 
 
 def mined(texts: DataFrame) -> DataFrame:
-    """H-30: every limit found in each text, with the sentence that states it."""
-    parts = [first_match(texts, what) for what in P.MINED_LIMITS]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """H-30: every limit found in each text, with the sentence that states it: one pass over the texts, none is shuffled.
+
+    Each step names what the next reads more than once, so that nothing is computed twice.
+    """
+    limits = list(P.MINED_LIMITS)
+    # numbers as digits, lower case: that moves no sentence's end, so both arrays go together
+    rows = texts.select("ms_id", T.sentences(F.col("text")).alias("s"), T.sentences(T.digits(F.lower("text"))).alias("read"))
+    rows = rows.select("*", *[windows(F.col("read"), n).alias(f"read_{n}") for n in sorted({LOOK_BACK.get(what, 0) for what in limits})])
+    rows = rows.select("ms_id", "s", *[first_hit(F.col(f"read_{LOOK_BACK.get(what, 0)}"), what).alias(f"hit_{what}") for what in limits])
+    rows = rows.select("*", *[numbers_of(F.col(f"hit_{what}.w"), what).alias(f"n_{what}") for what in limits])
+    return rows.select("ms_id", F.explode(F.array(*map(believed, limits))).alias("f")).where("f IS NOT NULL").select("ms_id", "f.*")
 
 
 def derived(texts: DataFrame, base: DataFrame) -> DataFrame:

@@ -44,16 +44,19 @@ def section_text(sections: DataFrame, blocks: DataFrame, role: str) -> DataFrame
     return rows.groupBy("ms_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("blk_ord", "text"))), lambda r: r["text"]), " ").alias("text"))
 
 
-def whole_words(terms: Column, hay: Column) -> Column:
-    """Terms that occur in ``hay`` as whole words, any case: both sides are padded, no pattern is built."""
-    padded = F.concat(F.lit(" "), F.regexp_replace(F.lower(hay), r"(?U)[^\w]+", " "), F.lit(" "))
+def padded_words(hay: Column) -> Column:
+    """Lower-case words with one space around each."""
+    return F.concat(F.lit(" "), F.regexp_replace(F.lower(hay), r"(?U)[^\w]+", " "), F.lit(" "))
+
+
+def whole_words(terms: Column, padded: Column) -> Column:
+    """Terms that occur in padded words as whole words, any case: no pattern is built."""
     return F.filter(terms, lambda t: F.contains(padded, F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(t), r"(?U)[^\w]+", " ")), F.lit(" "))))
 
 
 def scope_checks() -> list[Column]:
     """I-01."""
-    hay = F.concat_ws(" ", "title", F.array_join("keywords", " "), "abstract_raw")
-    matched, n = F.size(whole_words(F.col("scope_keywords"), hay)), F.size("scope_keywords")
+    matched, n = F.size(whole_words(F.col("scope_keywords"), F.col("padded"))), F.size("scope_keywords")
     score = F.least(F.lit(1.0), F.coalesce(F.try_divide(matched, F.least(n, F.lit(12))), F.lit(0.0)) * 2)
     severity = F.when(score >= 0.67, "ok").when(score >= 0.34, "minor").otherwise("major")
     none = _check("Scope fit", "scope.match", F.lit(1.0), 0.0, F.lit("info"), F.lit(None))
@@ -64,19 +67,23 @@ def _any_has(sentences: Column, pattern: str) -> Column:
     return F.exists(sentences, lambda s: T.matches(s, pattern, True))
 
 
-def abstract_checks() -> list[Column]:
-    """I-02 to I-07; without an abstract the first is all there is."""
-    text = T.stripped(F.coalesce("abstract_raw", F.lit("")))
-    n, some = T.word_count(text), text != ""
-    low, high = _set_or("abstract_min_words", 0), _set_or("abstract_max_words", 10_000)
-    over, under = n > high, (low > 0) & (n < low)
-    length = F.when(over, F.greatest(F.lit(0.0), 1 - (n - high) / high)).when(under, n / low).otherwise(1.0)
+def abstract_facts(text: Column) -> Column:
+    """Struct n (words), missing (moves), quantities, foreign, novel (signals) of an abstract; no profile takes part."""
     sentences = T.joined_sentences(text)
     missing = reduce(lambda a, b: a + b, [F.when(_any_has(sentences, p), 0).otherwise(1) for p in P.MOVES.values()])
-    quantities = F.regexp_count(text, T.rx(P.QUANTITY))
     foreign = T.matches(text, P.CITATION_IN_ABSTRACT) | F.coalesce("abstract_has_math", F.lit(False)) | T.matches(text, P.FLOAT_IN_ABSTRACT)
     front = F.concat_ws(" ", "title", text, "introduction")
     novel = reduce(lambda a, b: a + b, [T.matches(front, p, True).cast("int") for p in P.NOVELTY])
+    return F.struct(T.word_count(text).alias("n"), missing.alias("missing"), F.regexp_count(text, T.rx(P.QUANTITY)).alias("quantities"), foreign.alias("foreign"), novel.alias("novel"))
+
+
+def abstract_checks() -> list[Column]:
+    """I-02 to I-07; without an abstract the first is all there is."""
+    n, missing, quantities, foreign, novel = (F.col("abstract_facts")[c] for c in ("n", "missing", "quantities", "foreign", "novel"))
+    some = n.isNotNull()
+    low, high = _set_or("abstract_min_words", 0), _set_or("abstract_max_words", 10_000)
+    over, under = n > high, (low > 0) & (n < low)
+    length = F.when(over, F.greatest(F.lit(0.0), 1 - (n - high) / high)).when(under, n / low).otherwise(1.0)
     made = [
         _check("Abstract", "abstract.length", length, 2.0, F.when(over, "major").when(under, "minor").otherwise("ok"), n),
         _check("Abstract", "abstract.moves", 1 - missing / len(P.MOVES), 2.0, F.when(missing == 0, "ok").when(missing > 1, "major").otherwise("minor"), missing),
@@ -93,7 +100,7 @@ def structure_checks() -> list[Column]:
     severity = F.when((missing > 0) & (F.col("unlabelled") > 0), "minor").when(missing == 0, "ok").when(missing > 2, "blocker").otherwise("major")
     keywords = F.size(F.coalesce("keywords", F.array()))
     fits = keywords.between(_set_or("keywords_min", 0), _set_or("keywords_max", 99))
-    title = T.word_count(T.stripped(F.coalesce("title", F.lit(""))))
+    title = F.col("title_words")
     good = title.between(6, 20)
     return [
         _check("Structure", "structure.required", 1 - missing / F.greatest(F.lit(1), n), 3.0, severity, missing),
@@ -136,8 +143,7 @@ def figure_checks() -> list[Column]:
 
 def reproducibility_checks() -> list[Column]:
     """I-19, I-20."""
-    text = F.coalesce("all_text", F.lit(""))
-    found = reduce(lambda a, b: a + b, [T.matches(text, p, True).cast("int") for p in P.REPRODUCIBILITY.values()])
+    found = F.col("signals")
     stated = F.array_contains("present", "data_availability")
     needed = F.array_contains("required_sections", "data_availability")
     score = found / len(P.REPRODUCIBILITY)
@@ -172,7 +178,10 @@ def writing_checks() -> list[Column]:
 
 
 def review_facts(corpus: dict[str, DataFrame], text_facts: DataFrame, as_of_year: int) -> DataFrame:
-    """Adds to text facts what the checks read: the introduction, references, whole texts."""
+    """Adds to text facts what the checks read of references and texts.
+
+    Texts are read here, once a manuscript; they stay behind when manuscripts meet profiles.
+    """
     refs = corpus["refs"].groupBy("ms_id").agg(
         F.count("*").alias("refs"), F.count("year").alias("dated"), F.count_if(as_of_year - F.col("year") <= 5).alias("recent"),
         F.count_if(F.coalesce("doi", F.lit("")) != "").alias("with_doi"), F.count_if(F.col("confidence") < 0.6).alias("low_refs"),
@@ -180,7 +189,13 @@ def review_facts(corpus: dict[str, DataFrame], text_facts: DataFrame, as_of_year
     text = corpus_text(corpus["sections"], corpus["blocks"])
     introduction = section_text(corpus["sections"], corpus["blocks"], "introduction").withColumnRenamed("text", "introduction")
     facts = text_facts.join(refs, "ms_id", "left").join(text, "ms_id", "left").join(introduction, "ms_id", "left")
-    return facts.withColumn("writing", writing_facts(F.coalesce("all_text", F.lit(""))))
+    abstract, whole = T.stripped(F.coalesce("abstract_raw", F.lit(""))), F.coalesce("all_text", F.lit(""))
+    signals = reduce(lambda a, b: a + b, [T.matches(whole, p, True).cast("int") for p in P.REPRODUCIBILITY.values()])
+    read = {
+        "abstract_facts": F.when(abstract != "", abstract_facts(abstract)), "writing": writing_facts(whole), "signals": signals,
+        "title_words": T.word_count(T.stripped(F.coalesce("title", F.lit("")))), "padded": padded_words(F.concat_ws(" ", "title", F.array_join("keywords", " "), "abstract_raw")),
+    }
+    return facts.withColumns(read).drop("all_text", "introduction", "abstract_raw")
 
 
 def float_facts(figures: DataFrame, tables: DataFrame, profiles: DataFrame, manuscripts: DataFrame) -> DataFrame:
@@ -206,12 +221,19 @@ def category_scores(found: DataFrame) -> DataFrame:
     return found.groupBy("ms_id", "profile_id", "category").agg(score.alias("category_score"))
 
 
+def _readiness() -> Column:
+    """The weighted mean over the checks of one manuscript and profile: sums by category in one pass."""
+    total = 0
+    for name, weight in P.CATEGORY_WEIGHTS.items():
+        own = F.col("category") == name
+        score = F.try_divide(F.sum(F.when(own, F.col("score") * F.col("weight"))), F.nullif(F.sum(F.when(own, F.col("weight"))), F.lit(0.0)))
+        total = total + F.coalesce(score, F.lit(1.0)) * weight
+    return total / sum(P.CATEGORY_WEIGHTS.values())
+
+
 def readiness(found: DataFrame) -> DataFrame:
     """E-09: weighted mean of the seven categories; one without checks counts as whole."""
-    weights = [F.struct(F.lit(n).alias("category"), F.lit(w).alias("w")) for n, w in P.CATEGORY_WEIGHTS.items()]
-    every = found.select("ms_id", "profile_id").distinct().select("*", F.inline(F.array(*weights)))
-    scored = every.join(category_scores(found), ["ms_id", "profile_id", "category"], "left")
-    return scored.groupBy("ms_id", "profile_id").agg((F.sum(F.coalesce("category_score", F.lit(1.0)) * F.col("w")) / F.sum("w")).alias("readiness"))
+    return found.groupBy("ms_id", "profile_id").agg(_readiness().alias("readiness"))
 
 
 def _rank(severity: Column) -> Column:
@@ -235,7 +257,7 @@ def desk_risk(found: DataFrame) -> DataFrame:
     """F-11: High, Moderate or Low, with the keys of the checks that are its reasons."""
     scope = F.max(F.when(F.col("key") == "scope.match", F.col("score")))
     keyed = lambda s: F.transform(F.array_sort(F.collect_list(F.when(F.col("severity") == s, F.struct("seq", "key")))), lambda r: r["key"])
-    facts = found.groupBy("ms_id", "profile_id").agg(scope.alias("scope"), keyed("blocker").alias("blockers"), keyed("major").alias("majors")).join(readiness(found), ["ms_id", "profile_id"])
+    facts = found.groupBy("ms_id", "profile_id").agg(scope.alias("scope"), keyed("blocker").alias("blockers"), keyed("major").alias("majors"), _readiness().alias("readiness"))
     weak = F.coalesce(F.col("scope") < 0.34, F.lit(False))
     band = F.when((F.size("blockers") > 0) | weak, "High").when((F.size("majors") >= 3) | (F.col("readiness") < 0.6), "Moderate").otherwise("Low")
     reasons = F.concat(F.when(weak, F.array(F.lit("scope"))).otherwise(F.array().cast("array<string>")), "blockers", F.slice("majors", 1, 4))

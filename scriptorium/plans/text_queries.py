@@ -70,7 +70,7 @@ def writing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References built of a line item's columns, so that each part is known."""
-    rows = X.table(spark, sf_dir, "lineitem").where("l_linenumber <= 3")
+    rows = X.table(spark, sf_dir, "lineitem")
     year = (F.lit(1990) + F.col("l_suppkey") % 30).cast("string")
     title = F.concat(F.lit("A study of item "), F.col("l_partkey").cast("string"), F.lit(" and its price"))
     end = F.when(F.col("l_returnflag") == "R", F.lit("")).otherwise(F.concat(F.lit(" doi:10.1234/x"), F.col("l_partkey").cast("string")))
@@ -111,7 +111,7 @@ def sentence_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def escaped(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.col("text"), F.lit(" 5% & $3 #1 a_b {c} ~ ^ \\x"))
-    return X.lines(spark, sf_dir).where("idx < 3").select("ms_id", "idx", T.latex_escaped(text).alias("latex"))
+    return X.lines(spark, sf_dir).select("ms_id", "idx", T.latex_escaped(text).alias("latex"))
 
 
 def fits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,14 +219,14 @@ ORACLES = {
       SELECT ms_id, len(n)::BIGINT AS sentences, round(list_sum(n) / nullif(len(n), 0)::DOUBLE, 9) AS mean_words, round(len(list_filter(n, lambda x: x > 40)) / nullif(len(n), 0)::DOUBLE, 9) AS long_share, round(hedges / greatest(1.0, words / 1000.0::DOUBLE), 9) AS hedges_per_1000 FROM f""",
     "h_15_references": """SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN '' ELSE '10.1234/x' || l_partkey END AS doi, (1990 + l_suppkey % 30)::INT AS year, (l_linenumber + 10)::VARCHAR AS volume, (l_linenumber + 1)::VARCHAR AS issue,
         (l_suppkey + 100) || '-' || (l_suppkey + 120) AS page, 'A study of item ' || l_partkey || ' and its price' AS title, 'Miller|A. B.;Stone|C.' AS authors, round(CASE WHEN l_returnflag = 'R' THEN 0.9 ELSE 1.0 END, 6)::DOUBLE AS confidence
-      FROM lineitem WHERE l_linenumber <= 3""",
+      FROM lineitem""",
     "h_18_keywords": "SELECT p_partkey, array_to_string(list_filter(list_concat(string_split(p_name, ' '), [p_brand]), lambda w: length(w) > 1), '/') AS keywords FROM part",
     "h_33_slugs": "SELECT p_partkey, trim(regexp_replace(lower(p_type || ' ' || p_brand), '[^a-z0-9]+', '_', 'g'), '_') AS slug, regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g') AS label FROM part",
     "h_36_quote_keys": r"""SELECT item_id, '"' || lower(trim(regexp_replace(translate(text, '’‘“”–—', '''''""--'), '\s+', ' ', 'g'))) || CASE WHEN regexp_matches(text, '\s$') THEN ' ' ELSE '' END || '" ''x'' --' AS quote_key FROM benchmark""",
     "h_28_number_words": "SELECT p_partkey, 'between ' || (p_size % 12 + 1) || ' and 12, someone' AS digits FROM part",
     "h_29_sentences": X.CORPUS + r""", s AS (SELECT ms_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '\n', chr(1), 'g'), '([.!?])[\s]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS s FROM texts)
       SELECT ms_id, len(s)::BIGINT AS sentences, coalesce(list_max(list_transform(s, lambda x: length(x))), 0)::BIGINT AS longest FROM s""",
-    "h_42_latex_escape": X.CORPUS + ", r AS (SELECT ms_id, idx, text || ' 5% & $3 #1 a_b {c} ~ ^ \\x' AS t FROM lines WHERE idx < 3) SELECT ms_id, idx, replace(replace(" + _ESCAPE.replace("\x01", "⟦⟧") + ", '⟦⟧', '{}'), chr(2), '\\textbackslash{}') AS latex FROM r",
+    "h_42_latex_escape": X.CORPUS + ", r AS (SELECT ms_id, idx, text || ' 5% & $3 #1 a_b {c} ~ ^ \\x' AS t FROM lines) SELECT ms_id, idx, replace(replace(" + _ESCAPE.replace("\x01", "⟦⟧") + ", '⟦⟧', '{}'), chr(2), '\\textbackslash{}') AS latex FROM r",
     "h_46_fits": r"""WITH p AS (SELECT p_partkey, p_size::INT AS n, p_size % 2 + 1 AS cols FROM part), v AS (SELECT *, 2 * n + 2 + 2 + CASE WHEN n % 3 = 0 THEN n + 4 ELSE 0 END AS visual, 2 * n + 4 AS left_, n AS right_, CASE WHEN cols >= 2 THEN 46 ELSE 88 END AS room FROM p)
       SELECT p_partkey, visual::BIGINT AS visual, CASE WHEN visual <= room THEN 'keep' WHEN n % 3 = 0 AND left_ <= room AND right_ <= room THEN 'break' ELSE 'scale' END AS fit,
         cols >= 2 AND coalesce(n * 6.0 / nullif((n % 9) * 10.0, 0), 0) >= 1.8 AND n * 6.0 >= 88.9 * 1.2 AS spans, cols >= 2 AND n * 4 > 46 AS star,

@@ -76,7 +76,7 @@ def ranged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def equation_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = _lines_of_orders(spark, sf_dir).where("l_orderkey % 5 = 0")
+    line = _lines_of_orders(spark, sf_dir)
     rows = line.select(F.col("l_orderkey").alias("ms_id"), F.col("place").alias("ord"), F.when(F.col("l_suppkey") % 3 == 0, F.lit("")).otherwise((F.col("place") + F.col("l_suppkey") % 2).cast("string")).alias("number_raw"))
     return tree.number_mismatches(rows).select("ms_id", "ord", "number")
 
@@ -128,7 +128,7 @@ def grouped_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table for each order: a row a line, a formula, a number and a spacer, which some lines break."""
-    line = _lines_of_orders(spark, sf_dir).where("place <= 4")
+    line = _lines_of_orders(spark, sf_dir)
     bad = F.col("l_suppkey") % 29 == 0
     cell = lambda col, math, text: F.struct(F.lit(col).alias("col"), math.cast("int").alias("n_math"), text.alias("text"))
     number = F.when(F.col("l_partkey") % 2 == 0, F.concat(F.lit("("), F.col("place").cast("string"), F.lit(")"))).otherwise("")
@@ -206,7 +206,7 @@ _ROWS = X.CORPUS + """, every AS (
 rows_ AS (SELECT *, row_number() OVER (PARTITION BY ms_id ORDER BY sec_ord, is_heading DESC, blk_ord) - 1 AS idx FROM every)
 """
 _CAP = X.CORPUS + ", cap AS (SELECT ms_id, idx, CASE WHEN idx % 7 = 0 THEN 'fig' WHEN idx % 11 = 0 THEN 'tab' ELSE '' END AS kind FROM lines)"
-_CELLS = f"WITH c AS (SELECT l_orderkey AS ms_id, place AS row, l_suppkey % 29 = 0 AS bad, l_partkey % 2 = 0 AS num FROM {_PLACED} WHERE place <= 4) "
+_CELLS = f"WITH c AS (SELECT l_orderkey AS ms_id, place AS row, l_suppkey % 29 = 0 AS bad, l_partkey % 2 = 0 AS num FROM {_PLACED}) "
 ORACLES = {
     "b_10_parents": f"WITH {_H} SELECT ms_id, ord, level, (SELECT max(p.ord) FROM h p WHERE p.ms_id = h.ms_id AND p.ord < h.ord AND p.level < h.level) AS parent_ord FROM h",
     "b_12_flatten": _ROWS + "SELECT ms_id, idx, is_heading, kind, length(text) AS characters FROM rows_",
@@ -233,7 +233,7 @@ ORACLES = {
       s AS (SELECT *, opens IS NOT NULL OR (is_heading AND NOT covered AND NOT takes) AS starts FROM k)
       SELECT ms_id, idx, coalesce((SELECT max(p.idx) FROM s p WHERE p.ms_id = s.ms_id AND p.idx <= s.idx AND p.starts), -1) AS section,
         coalesce((SELECT arg_max(coalesce(p.opens, p.role), p.idx) FROM s p WHERE p.ms_id = s.ms_id AND p.idx <= s.idx AND p.starts), 'unknown') AS role, is_heading AND NOT starts AND (takes OR covered) AS dropped FROM s""",
-    "f_02_equation_numbers": f"""WITH r AS (SELECT l_orderkey AS ms_id, place AS ord, place AS number, CASE WHEN l_suppkey % 3 <> 0 THEN place + l_suppkey % 2 END AS raw FROM {_PLACED} WHERE l_orderkey % 5 = 0)
+    "f_02_equation_numbers": f"""WITH r AS (SELECT l_orderkey AS ms_id, place AS ord, place AS number, CASE WHEN l_suppkey % 3 <> 0 THEN place + l_suppkey % 2 END AS raw FROM {_PLACED})
       SELECT ms_id, ord, number FROM r WHERE raw <> number""",
     "f_18_breaks": X.CORPUS + "SELECT ms_id, idx, (SELECT count(*) FROM lines b WHERE b.ms_id = l.ms_id AND b.idx < l.idx AND length(b.text) % 3 = 0) AS part FROM lines l",
     "f_20_entries": X.CORPUS + """, m AS (SELECT *, (idx + ms_id) % 2 = 0 AS marked FROM lines), e AS (SELECT *, CASE WHEN sum(marked::INT) OVER (PARTITION BY ms_id) >= greatest(2, count(*) OVER (PARTITION BY ms_id) // 2) THEN sum(marked::INT) OVER (PARTITION BY ms_id ORDER BY idx) ELSE row_number() OVER (PARTITION BY ms_id ORDER BY idx) END AS entry FROM m)
@@ -243,8 +243,8 @@ ORACLES = {
       SELECT f.ms_id, f.idx AS float_id, (SELECT arg_min(pos, pri) FROM p WHERE p.ms_id = f.ms_id AND p.float_id = f.idx)::VARCHAR AS number, (SELECT arg_min(off, pri) FROM p WHERE p.ms_id = f.ms_id AND p.float_id = f.idx) AS "offset" FROM f""",
     "d_02_figures": f"""WITH g AS (SELECT l_orderkey AS ms_id, l_suppkey % 5 AS para, string_agg(CASE WHEN l_returnflag = 'R' THEN 'v.svg' ELSE 'i' || place END, '|' ORDER BY place) AS files, max((l_quantity * 100000)::BIGINT) AS w FROM {_PLACED} GROUP BY ALL)
       SELECT ms_id, 'fig' || row_number() OVER (PARTITION BY ms_id ORDER BY para) AS fig_id, files, round_even(w / (914400.0::DOUBLE / 25.4), 1) AS placed_width_mm FROM g""",
-    "h_10_equation_tables": _CELLS + "SELECT ms_id, row, 'a=b' AS latex, CASE WHEN num THEN row::VARCHAR ELSE '' END AS number_raw FROM c WHERE ms_id IN (SELECT ms_id FROM c GROUP BY ms_id HAVING NOT bool_or(bad) AND bool_or(num))",
-    "b_25_widths": _CELLS + "SELECT ms_id, (3 + CASE WHEN bool_or(bad) THEN 10 ELSE 3 END + 3 + 6)::BIGINT AS natural FROM c GROUP BY ms_id",
+    "h_10_equation_tables": _CELLS + "SELECT ms_id, row, 'a=b' AS latex, CASE WHEN num THEN row::VARCHAR ELSE '' END AS number_raw FROM c WHERE ms_id IN (SELECT ms_id FROM c GROUP BY ms_id HAVING NOT bool_or(bad) AND bool_or(num) AND count(*) <= 40)",
+    "b_25_widths": _CELLS + "SELECT ms_id, (3 + CASE WHEN bool_or(bad) THEN 10 ELSE 3 END + greatest(3, max(CASE WHEN num THEN length(row::VARCHAR) + 2 ELSE 0 END)) + 6)::BIGINT AS natural FROM c GROUP BY ms_id",
     "l_20_assets": X.CORPUS + r""", f AS (SELECT 'fig' || p_partkey AS fig_id, (""" + X._sql(X.FORMATS) + r""")[p_size % 5 + 1] AS fmt, CASE WHEN p_size % 3 <> 0 THEN p_size * 3.0::DOUBLE END AS w FROM part)
       SELECT fig_id, CASE WHEN fmt IN ('png', 'jpg', 'pdf') THEN 'copy' WHEN fmt = 'tif' THEN 'raster_to_png' ELSE 'metafile_to_pdf' END AS action, CASE WHEN w IS NULL THEN '\linewidth' ELSE printf('%.2f', least(1.0, greatest(0.25, w / 190.0))::DOUBLE) || '\linewidth' END AS one,
         CASE WHEN w > 126.0 THEN '\textwidth' ELSE '\linewidth' END AS two FROM f""",
