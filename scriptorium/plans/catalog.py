@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.plans import panel_queries, review_sql, rule_queries, text_queries, tree_queries
+from scriptorium.plans import panel_queries, part_queries, review_sql, rule_queries, text_queries, tree_queries
 
-MODULES = (rule_queries, text_queries, tree_queries, panel_queries)
+MODULES = (rule_queries, text_queries, tree_queries, panel_queries, part_queries)
 
 #: Columns that are 32-bit here and 64-bit in the SQL as it is written.
 INTEGERS = {
