@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.shared import fresh_path, map_batches, text_rows, written
+from scriptorium.llm.shared import drop_written, fresh_path, map_batches, text_rows, written
 
 LINE = 576
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -246,8 +246,10 @@ def media_columns(df: DataFrame, key: str = "doc_id", text: str = "text", task_b
     are not read.  A reading task has some ``task_bytes`` of stored members, in the order
     they are stored.
     """
-    stored = store(df, fresh_path(df.sparkSession, "media"), key, text).withColumn("row", F.monotonically_increasing_id())
-    manifest = written(one_place(written(stored, "manifest")), "places")
+    stored = store(df, fresh_path(df.sparkSession, "media"), key, text).drop("media_sha256").withColumn("row", F.monotonically_increasing_id())
+    first = written(stored, "manifest")
+    manifest = written(one_place(first), "places")
+    drop_written(first)
     total = manifest.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     dealt = manifest.drop("row").repartitionByRange(max(1, -(-total // task_bytes)), "shard", "offset")
     return features(headers(dealt.sortWithinPartitions("shard", "offset")))
