@@ -251,5 +251,6 @@ def media_columns(df: DataFrame, key: str = "doc_id", text: str = "text", task_b
     manifest = written(one_place(first), "places")
     drop_written(first)
     total = manifest.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-    dealt = manifest.drop("row").repartitionByRange(max(1, -(-total // task_bytes)), "shard", "offset")
-    return features(headers(dealt.sortWithinPartitions("shard", "offset")))
+    order = ("shard", "offset", "row")  # rows of one place may be dealt to several tasks
+    dealt = manifest.repartitionByRange(max(1, -(-total // task_bytes)), *order).sortWithinPartitions(*order)
+    return features(headers(dealt.drop("row")))
