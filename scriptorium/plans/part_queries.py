@@ -14,7 +14,10 @@ from scriptorium.functions import text as T
 from scriptorium.operators import audit, floats, frontmatter, issues, layout, render, tree, views
 from scriptorium.plans import adapters as X
 
-K = F.col("k")
+
+def K() -> Column:  # noqa: N802
+    """The key of a part."""
+    return F.col("k")
 
 
 def _pick(values: list, by: Column) -> Column:
@@ -55,7 +58,7 @@ _NUMBERED = ["1. ", "2.3 ", "IV. ", "A) ", "(3) ", ""]
 
 @_query("h_02_numbering", f"WITH {_K} SELECT k, {_of(['1', '2.3', 'IV', 'A', '3', ''])} AS number, 'Heading ' || k AS rest FROM k")
 def numbering(spark, sf_dir):
-    title = F.concat(_pick(_NUMBERED, K), F.lit("Heading "), K.cast("string"))
+    title = F.concat(_pick(_NUMBERED, K()), F.lit("Heading "), K().cast("string"))
     return _parts(spark, sf_dir).select("k", T.numbering_of(title).alias("number"), T.without_numbering(title).alias("rest"))
 
 
@@ -65,55 +68,55 @@ _SHAPES = ["2.1 Heat pumps", "Introduction", "Plain words here", "Plain words he
 @_query("h_04_implicit_headings", f"""WITH {_K} SELECT k, {_of([2, 1, 1, 1, 1, 4])}::BIGINT AS level,
   k % 6 <> 3 AND k % 5 <> 0 AND (k % 2 = 0 OR k % 6 = 1 OR (k % 10 >= 9 AND k % 6 IN (0, 4, 5))) AS heading FROM k""")
 def implicit_headings(spark, sf_dir):
-    text = _pick(_SHAPES, K)
-    heading = T.is_implicit_heading(text, K % 2 == 0, K % 5 == 0, (K % 10) / 10.0)
+    text = _pick(_SHAPES, K())
+    heading = T.is_implicit_heading(text, K() % 2 == 0, K() % 5 == 0, (K() % 10) / 10.0)
     return _parts(spark, sf_dir).select("k", T.implicit_level(text).alias("level"), heading.alias("heading"))
 
 
 @_query("h_05_classified_roles", f"""WITH {_K} SELECT k, CASE WHEN k % 3 = 0 THEN 'methods' WHEN k % 3 = 2 THEN 'conclusion' WHEN k % 4 = 3 AND k % 7 <> 0 THEN 'results' ELSE 'unknown' END AS role,
   CASE WHEN k % 3 <> 1 THEN 'heuristic' WHEN k % 4 = 3 AND k % 7 <> 0 THEN 'model' ELSE 'default' END AS method, CASE WHEN k % 3 <> 1 THEN 0.95 WHEN k % 4 = 3 AND k % 7 <> 0 THEN 0.75 ELSE 0.0 END::DOUBLE AS confidence FROM k""")
 def classified(spark, sf_dir):
-    role = T.classified_role(_pick(["2. Methods", "Odd things", "Conclusions"], K), F.lit("results"), F.when(K % 7 != 0, (K % 4) / 4.0))
+    role = T.classified_role(_pick(["2. Methods", "Odd things", "Conclusions"], K()), F.lit("results"), F.when(K() % 7 != 0, (K() % 4) / 4.0))
     return _parts(spark, sf_dir).select("k", role.alias("r")).select("k", "r.*")
 
 
 @_query("h_06_captions", f"""WITH {_K} SELECT k, {_of(['figure|3|A plot', '', 'table|A4|Values', ''])} AS anchored, {_of(['figure|3|A plot', 'fig|2-1|inset', 'table|A4|Values', ''])} AS anywhere FROM k""")
 def captions(spark, sf_dir):
-    text = _pick(["Figure 3. A plot", "see Fig. 2-1: inset", "Table A4 – Values", "No name here"], K)
+    text = _pick(["Figure 3. A plot", "see Fig. 2-1: inset", "Table A4 – Values", "No name here"], K())
     shown = lambda c: F.coalesce(F.concat(c["kind"], F.lit("|"), c["number"], F.lit("|"), c["rest"]), F.lit(""))
     return _parts(spark, sf_dir).select("k", shown(T.caption(text)).alias("anchored"), shown(T.caption(text, anywhere=True)).alias("anywhere"))
 
 
 @_query("h_08_printed_numbers", f"WITH {_K} SELECT k, {_of(['12', 'A.3', '7', '', ''])} AS number FROM k")
 def printed_numbers(spark, sf_dir):
-    return _parts(spark, sf_dir).select("k", T.equation_number(_pick(["(12)", "(A.3)", "7", "(x)", ""], K)).alias("number"))
+    return _parts(spark, sf_dir).select("k", T.equation_number(_pick(["(12)", "(A.3)", "7", "(x)", ""], K())).alias("number"))
 
 
 @_query("h_09_display_formulas", f"WITH {_K} SELECT k, CASE k % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.95 WHEN 2 THEN CASE WHEN k % 3 = 0 THEN 0.75 END END::DOUBLE AS confidence FROM k")
 def display_formulas(spark, sf_dir):
     run = lambda kind, text: F.struct(F.lit(kind).alias("kind"), F.lit(text).alias("text"))
     formula = run("math", "a=b")
-    inlines = F.when(K % 4 == 0, F.array(formula)).when(K % 4 == 1, F.array(formula, run("break", ""), run("text", " (3)"))).when(K % 4 == 2, F.array(formula, run("text", "and words"))).otherwise(F.array(formula, formula))
-    return _parts(spark, sf_dir).select("k", T.display_confidence(inlines, K % 3 == 0).alias("confidence"))
+    inlines = F.when(K() % 4 == 0, F.array(formula)).when(K() % 4 == 1, F.array(formula, run("break", ""), run("text", " (3)"))).when(K() % 4 == 2, F.array(formula, run("text", "and words"))).otherwise(F.array(formula, formula))
+    return _parts(spark, sf_dir).select("k", T.display_confidence(inlines, K() % 3 == 0).alias("confidence"))
 
 
 @_query("h_14_patterns", f"WITH {_K} SELECT k, '10.1234/ab' || k AS doi, 'https://ex.org/p' || k AS url, '(2001a)' AS year, 'a.b' || k || '@mail.org' AS email, CASE WHEN k % 2 = 0 THEN '' ELSE 'Text' END AS unmarked FROM k")
 def part_patterns(spark, sf_dir):
-    key = K.cast("string")
+    key = K().cast("string")
     text = F.concat(F.lit("See doi:10.1234/ab"), key, F.lit(", https://ex.org/p"), key, F.lit(" (2001a) or a.b"), key, F.lit("@mail.org"))
-    marked = F.concat(F.when(K % 2 == 0, F.lit("")).otherwise(F.lit("[12] Text")))
+    marked = F.concat(F.when(K() % 2 == 0, F.lit("")).otherwise(F.lit("[12] Text")))
     return _parts(spark, sf_dir).select("k", T.extracted(text, P.DOI, 1).alias("doi"), T.extracted(text, P.URL, 1).alias("url"), T.extracted(text, P.YEAR, 0).alias("year"), T.extracted(text, P.EMAIL, 0).alias("email"), T.replaced(marked, P.REFERENCE_MARKER).alias("unmarked"))
 
 
 @_query("h_23_countries", f"WITH {_K} SELECT k, {_of(['Norway', '', 'Spain', ''])} AS country FROM k")
 def countries(spark, sf_dir):
-    return _parts(spark, sf_dir).select("k", T.guess_country(_pick(["Institute, Oslo, Norway.", "Laboratory 5, Room 12", " Spain ", "A, B, C"], K)).alias("country"))
+    return _parts(spark, sf_dir).select("k", T.guess_country(_pick(["Institute, Oslo, Norway.", "Laboratory 5, Room 12", " Spain ", "A, B, C"], K())).alias("country"))
 
 
 @_query("h_31_evidence", f"WITH {_K} SELECT k, {_of(['numeric', 'author-year', None])} AS style, {_of(['roman', 'arabic', None, None])} AS numbering FROM k")
 def evidence(spark, sf_dir):
-    cited = _pick(["As in [1] and [2], also [3].", "See (Miller, 2001), (Stone, 2002) and (Long, 2003).", "Nothing cited [1]."], K)
-    headed = _pick(["I. INTRODUCTION\nwords\nII. METHODS\n", "1. Introduction\nwords\n2. Methods\n", "Plain\n", "1. Only one\n"], K)
+    cited = _pick(["As in [1] and [2], also [3].", "See (Miller, 2001), (Stone, 2002) and (Long, 2003).", "Nothing cited [1]."], K())
+    headed = _pick(["I. INTRODUCTION\nwords\nII. METHODS\n", "1. Introduction\nwords\n2. Methods\n", "Plain\n", "1. Only one\n"], K())
     return _parts(spark, sf_dir).select("k", T.reference_style(cited).alias("style"), T.heading_numbering(headed).alias("numbering"))
 
 
@@ -124,26 +127,26 @@ def line_spacing(spark, sf_dir):
 
 @_query("h_39_services", f"WITH {_K} SELECT k, {_of([True, False, True, False])} AS coder, {_of(['blocked', 'gone', 'key', 'limit', 'other', 'other'])} AS answer FROM k")
 def services(spark, sf_dir):
-    answer = T.service_error(_pick([403, 404, 401, 429, 500, 404], K), _pick(["error code 1010", "Model NOT FOUND", "bad", "slow", "oops", "elsewhere"], K))
-    return _parts(spark, sf_dir).select("k", T.is_coder_model(_pick(["qwen-Coder:7b", "gpt", "CodeLlama", "plain"], K)).alias("coder"), answer.alias("answer"))
+    answer = T.service_error(_pick([403, 404, 401, 429, 500, 404], K()), _pick(["error code 1010", "Model NOT FOUND", "bad", "slow", "oops", "elsewhere"], K()))
+    return _parts(spark, sf_dir).select("k", T.is_coder_model(_pick(["qwen-Coder:7b", "gpt", "CodeLlama", "plain"], K())).alias("coder"), answer.alias("answer"))
 
 
 @_query("h_43_folded", f"WITH {_K} SELECT k, {_of(['naïve $' + chr(92) + 'alpha$ test', 'x2  1', 'plain'])} || k AS folded FROM k")
 def folded(spark, sf_dir):
-    return _parts(spark, sf_dir).select("k", T.folded(F.concat(_pick(["naïve \U0001d6fc test", "x² − 1", "plain"], K), K.cast("string"))).alias("folded"))
+    return _parts(spark, sf_dir).select("k", T.folded(F.concat(_pick(["naïve \U0001d6fc test", "x² − 1", "plain"], K()), K().cast("string"))).alias("folded"))
 
 
 @_query("h_47_markers", f"WITH {_K} SELECT k, 'Miller' AS name, 'Institute ' || k AS place, {_of(['A plot', 'Values', 'Plain words'])} AS caption FROM k")
 def markers(spark, sf_dir):
     return _parts(spark, sf_dir).select(
-        "k", T.clean_name(F.concat(F.lit("Miller"), _pick(["1*", "†", ", 2", ""], K))).alias("name"),
-        T.without_marker(F.concat(_pick(["1. ", "* ", "2) ", ""], K), F.lit("Institute "), K.cast("string"))).alias("place"), T.without_label(_pick(["Figure 3. A plot", "Table A4 - Values", "Plain words"], K)).alias("caption"),
+        "k", T.clean_name(F.concat(F.lit("Miller"), _pick(["1*", "†", ", 2", ""], K()))).alias("name"),
+        T.without_marker(F.concat(_pick(["1. ", "* ", "2) ", ""], K()), F.lit("Institute "), K().cast("string"))).alias("place"), T.without_label(_pick(["Figure 3. A plot", "Table A4 - Values", "Plain words"], K())).alias("caption"),
     )
 
 
 @_query("h_50_scripts", f"WITH {_K} SELECT k, k % 2 = 1 AS right_to_left FROM k")
 def scripts(spark, sf_dir):
-    return _parts(spark, sf_dir).select("k", T.is_right_to_left(_pick(["left to right, é", "שלום words"], K)).alias("right_to_left"))
+    return _parts(spark, sf_dir).select("k", T.is_right_to_left(_pick(["left to right, é", "שלום words"], K())).alias("right_to_left"))
 
 
 @_query("f_15_keyword_order", f"WITH {_K} SELECT k, array_to_string(list_transform(list_sort(list_transform(list_append(string_split(name, ' '), brand), lambda x: {{'k': lower(x), 'v': x}})), lambda s: s.v), '/') AS keywords FROM k")
@@ -181,7 +184,7 @@ def inline_formulas(spark, sf_dir):
     """E-03 and E-20: formulas in all blocks, and in those that no block holds."""
     math, word = (F.struct(F.lit(kind).alias("kind")) for kind in ("math", "text"))
     runs = F.concat(F.array(word), F.array_repeat(math, (F.col("n") % 3).cast("int")))
-    rows = _parts(spark, sf_dir).select(F.floor(K / 4).alias("ms_id"), runs.alias("inlines"), F.when(K % 2 == 1, K).alias("parent"))
+    rows = _parts(spark, sf_dir).select(F.floor(K() / 4).alias("ms_id"), runs.alias("inlines"), F.when(K() % 2 == 1, K()).alias("parent"))
     return audit.inline_formulas(rows).withColumnRenamed("n", "every").join(views.numbered_display(rows).withColumnRenamed("formulas", "top"), "ms_id", "left")
 
 
@@ -216,7 +219,7 @@ _WANTED = [(i, p["profile_id"], ",".join(r for r in dict.fromkeys([*p["required_
 
 @_query("f_22_wanted_roles", f"WITH {_K}, w(i, profile_id, wanted) AS (VALUES {', '.join(map(str, _WANTED))}) SELECT k AS ms_id, profile_id, wanted FROM k JOIN w ON k % 3 = i")
 def wanted_roles(spark, sf_dir):
-    tops = F.element_at(F.array(*[F.array(*map(F.lit, t)).cast("array<string>") for t in _TOPS]), (K % 3 + 1).cast("int"))
+    tops = F.element_at(F.array(*[F.array(*map(F.lit, t)).cast("array<string>") for t in _TOPS]), (K() % 3 + 1).cast("int"))
     return views.wanted_roles(_parts(spark, sf_dir).select("ms_id", tops.alias("top_roles")), X.profiles(spark)).withColumn("wanted", F.array_join("wanted", ","))
 
 
@@ -282,7 +285,7 @@ def preorder(spark, sf_dir):
 
 @_query("n_02_blocks", f"WITH {_K} SELECT k FROM k WHERE k % 3 = 0")
 def stream_blocks(spark, sf_dir):
-    return views.found_blocks(_parts(spark, sf_dir).select("k", _pick(["block", "issue", "figure"], K).alias("record"))).select("k")
+    return views.found_blocks(_parts(spark, sf_dir).select("k", _pick(["block", "issue", "figure"], K()).alias("record"))).select("k")
 
 
 # --- trees ---
@@ -302,11 +305,11 @@ def numbered(spark, sf_dir):
   CASE WHEN o = 0 THEN 1 WHEN k % 2 = 0 AND k % 3 > 0 THEN greatest(1, [1, 2, 2, 3][o + 1] - 1) ELSE [1, 2, 2, 3][o + 1] END::BIGINT AS level FROM s""")
 def unwrapped(spark, sf_dir):
     """A section with the title's words, or others; its children have two canonical roles, or one twice."""
-    second = F.when(K % 3 > 0, "results").otherwise("methods")
-    rows = [(0, 1, F.concat(F.lit("A Title of "), K.cast("string")), F.lit("unknown")), (1, 2, F.lit("Methods"), F.lit("methods")), (2, 2, F.lit("Then"), second), (3, 3, F.lit("Deep"), F.lit("unknown"))]
+    second = F.when(K() % 3 > 0, "results").otherwise("methods")
+    rows = [(0, 1, F.concat(F.lit("A Title of "), K().cast("string")), F.lit("unknown")), (1, 2, F.lit("Methods"), F.lit("methods")), (2, 2, F.lit("Then"), second), (3, 3, F.lit("Deep"), F.lit("unknown"))]
     made = F.array(*[F.struct(F.lit(o).alias("sec_ord"), F.lit(v).alias("level"), t.alias("title_raw"), r.alias("role")) for o, v, t, r in rows])
     sections = _parts(spark, sf_dir).select("ms_id", "k", F.inline(made)).drop("k")
-    titles = _parts(spark, sf_dir).select("ms_id", F.when(K % 2 == 0, F.concat(F.lit("a TITLE of "), K.cast("string"))).otherwise("Something else").alias("title"))
+    titles = _parts(spark, sf_dir).select("ms_id", F.when(K() % 2 == 0, F.concat(F.lit("a TITLE of "), K().cast("string"))).otherwise("Something else").alias("title"))
     return tree.unwrap_title(sections, titles, ["introduction", "methods", "results", "conclusion"]).select("ms_id", "sec_ord", "unwrapped", "level")
 
 
@@ -314,7 +317,7 @@ def unwrapped(spark, sf_dir):
 
 
 def _blocked(spark, sf_dir):
-    return audit.blocking(_parts(spark, sf_dir).select("ms_id", (K % 2).alias("mathtype"), (K % 3).alias("citation_fields"), (K % 5).alias("refs"), F.when(K % 7 == 0, 2).alias("unconvertible")))
+    return audit.blocking(_parts(spark, sf_dir).select("ms_id", (K() % 2).alias("mathtype"), (K() % 3).alias("citation_fields"), (K() % 5).alias("refs"), F.when(K() % 7 == 0, 2).alias("unconvertible")))
 
 
 @_query("e_05_blocking", f"WITH {_K} SELECT k AS ms_id, array_to_string(list_filter([CASE WHEN k % 2 > 0 THEN 'mathtype_objects' END, CASE WHEN k % 3 = 0 AND k % 5 > 0 THEN 'hand_typed_references' END, CASE WHEN k % 7 = 0 THEN 'unconvertible_figures' END], lambda x: x IS NOT NULL), ',') AS blocking FROM k")
@@ -324,7 +327,7 @@ def blocking(spark, sf_dir):
 
 @_query("e_06_ready", f"WITH {_K} SELECT k AS ms_id, NOT (k % 2 > 0 OR (k % 3 = 0 AND k % 5 > 0) OR k % 7 = 0) AND (k % 4 = 0 OR k % 11 > 0) AS ready FROM k")
 def ready(spark, sf_dir):
-    checks = _parts(spark, sf_dir).where("k % 4 <> 0").select("ms_id", F.explode(F.array(F.lit(True), K % 11 > 0)).alias("ok"))
+    checks = _parts(spark, sf_dir).where("k % 4 <> 0").select("ms_id", F.explode(F.array(F.lit(True), K() % 11 > 0)).alias("ok"))
     return audit.ready(checks, _blocked(spark, sf_dir))
 
 
@@ -341,21 +344,21 @@ def compared(spark, sf_dir):
 
 @_query("l_18_build_notes", f"WITH {_K} SELECT k AS ms_id, w AS what, (n % 3)::BIGINT AS expected, CASE w WHEN 'sections' THEN k % 3 ELSE 1 END::BIGINT AS emitted, CASE w WHEN 'sections' THEN k % 3 ELSE 1 END >= n % 3 AS ok FROM k, (VALUES ('sections'), ('images')) AS v(w)")
 def build_notes(spark, sf_dir):
-    produced = _parts(spark, sf_dir).select("ms_id", F.concat(F.lit("\\begin{document}\\includegraphics{a} "), F.repeat(F.lit("\\section{x} "), (K % 3).cast("int"))).alias("latex"))
+    produced = _parts(spark, sf_dir).select("ms_id", F.concat(F.lit("\\begin{document}\\includegraphics{a} "), F.repeat(F.lit("\\section{x} "), (K() % 3).cast("int"))).alias("latex"))
     expected = _parts(spark, sf_dir).select("ms_id", F.explode(F.array(F.lit("sections"), F.lit("images"))).alias("what"), (F.col("n") % 3).alias("n"))
     return render.build_notes(produced, expected).select("ms_id", "what", "expected", "emitted", "ok")
 
 
 @_query("l_19_outcome", f"WITH {_K} SELECT k AS ms_id, k % 2 = 0 OR n + 1 < 50 AS empty_body FROM k")
 def outcome(spark, sf_dir):
-    body = F.concat(F.lit("\\begin{document}"), F.when(K % 2 == 1, "\\section{one} ").otherwise(""), F.repeat(F.lit("word "), F.col("n").cast("int")))
+    body = F.concat(F.lit("\\begin{document}"), F.when(K() % 2 == 1, "\\section{one} ").otherwise(""), F.repeat(F.lit("word "), F.col("n").cast("int")))
     return render.outcome(_parts(spark, sf_dir).select("ms_id", body.alias("latex")))
 
 
 @_query("d_11_affiliations", f"WITH {_K} SELECT k AS ms_id, 'au' AS au_id, CASE WHEN k % 2 = 0 THEN '1,2' ELSE '2' END AS places FROM k")
 def affiliations(spark, sf_dir):
     parts = _parts(spark, sf_dir)
-    people = parts.select("ms_id", F.lit("au").alias("au_id"), F.when(K % 2 == 0, F.array(F.lit("b"), F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("b"), F.lit("gone"))).alias("affiliation_ids"))
+    people = parts.select("ms_id", F.lit("au").alias("au_id"), F.when(K() % 2 == 0, F.array(F.lit("b"), F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("b"), F.lit("gone"))).alias("affiliation_ids"))
     places = parts.select("ms_id", F.inline(F.array(F.struct(F.lit("b").alias("aff_id"), F.lit(9).alias("ord")), F.struct(F.lit("a").alias("aff_id"), F.lit(4).alias("ord")))))
     return render.affiliations_of(people, places).withColumn("places", F.array_join(F.transform("places", lambda p: p.cast("string")), ","))
 
@@ -363,7 +366,7 @@ def affiliations(spark, sf_dir):
 @_query("l_15_blocks", f"""WITH {_K} SELECT k, CASE k % 5 WHEN 0 THEN '\\subsection{{A \\& B}}' WHEN 1 THEN '\\begin{{equation}}' || chr(10) || 'A & B' || chr(10) || '\\end{{equation}}' WHEN 2 THEN '\\begin{{verbatim}}' || chr(10) || 'A & B' || chr(10) || '\\end{{verbatim}}'
   WHEN 3 THEN '\\begin{{quote}}' || chr(10) || 'A \\& B' || chr(10) || '\\end{{quote}}' ELSE 'A \\& B' END AS latex FROM k""")
 def blocks(spark, sf_dir):
-    rows = _parts(spark, sf_dir).select("ms_id", "k", (K % 5 == 0).alias("is_heading"), F.lit(1).alias("depth"), _pick(["heading", "equation_ref", "code", "quote", "paragraph"], K).alias("kind"), F.lit("A & B").alias("text"), F.lit("").alias("target_id"))
+    rows = _parts(spark, sf_dir).select("ms_id", "k", (K() % 5 == 0).alias("is_heading"), F.lit(1).alias("depth"), _pick(["heading", "equation_ref", "code", "quote", "paragraph"], K()).alias("kind"), F.lit("A & B").alias("text"), F.lit("").alias("target_id"))
     return render.blocks(rows).select("k", "latex")
 
 
@@ -373,12 +376,12 @@ def blocks(spark, sf_dir):
 @_query("d_01_files", f"WITH {_K} SELECT k AS ms_id, 'm' || k || '.png' AS target FROM k WHERE k % 3 > 0")
 def files(spark, sf_dir):
     parts = _parts(spark, sf_dir)
-    rels = parts.where("k % 3 > 0").select("ms_id", F.lit("r1").alias("rid"), F.concat(F.lit("m"), K.cast("string"), F.lit(".png")).alias("target"))
+    rels = parts.where("k % 3 > 0").select("ms_id", F.lit("r1").alias("rid"), F.concat(F.lit("m"), K().cast("string"), F.lit(".png")).alias("target"))
     return floats.with_files(parts.select("ms_id", F.lit("r1").alias("rid")), rels).select("ms_id", "target")
 
 
 def _empty_cells(spark, sf_dir):
-    return _parts(spark, sf_dir).select(F.floor(K / 3).alias("ms_id"), F.lit("t").alias("tab_id"), F.when(F.col("n") % 2 == 0, " ").alias("text"), (F.col("n") % 5 == 0).cast("int").alias("n_math"))
+    return _parts(spark, sf_dir).select(F.floor(K() / 3).alias("ms_id"), F.lit("t").alias("tab_id"), F.when(F.col("n") % 2 == 0, " ").alias("text"), (F.col("n") % 5 == 0).cast("int").alias("n_math"))
 
 
 @_query("b_22_empty_tables", f"WITH {_K} SELECT k // 3 AS ms_id, 't' AS tab_id FROM k GROUP BY 1 HAVING count(*) FILTER (WHERE n % 5 = 0) = 0")
@@ -389,11 +392,11 @@ def empty_tables(spark, sf_dir):
 def _anchored(spark, sf_dir):
     """Texts of three long paragraphs; a caption that is found, a neighbour that is, or neither."""
     parts = _parts(spark, sf_dir)
-    line = lambda j: F.concat(F.lit(f"Paragraph {j} of the document number "), K.cast("string"))
+    line = lambda j: F.concat(F.lit(f"Paragraph {j} of the document number "), K().cast("string"))
     rows = F.array(*[F.struct(F.lit(j).alias("pos"), line(j).alias("text")) for j in range(3)])
     stream = parts.select("ms_id", "k", F.inline(rows)).drop("k")
-    source = parts.select("ms_id", "k", F.inline(F.array(*[F.struct(F.lit(j).alias("idx"), F.when(K % 3 == 2, "words that are not there at all").otherwise(line(j)).alias("text")) for j in range(3)]))).drop("k")
-    figures = parts.select("ms_id", F.lit("fig1").alias("fig_id"), F.lit(1).alias("para_index"), F.when(K % 3 == 0, F.lit("PARAGRAPH 2 of the")).otherwise(F.lit("short")).alias("caption"))
+    source = parts.select("ms_id", "k", F.inline(F.array(*[F.struct(F.lit(j).alias("idx"), F.when(K() % 3 == 2, "words that are not there at all").otherwise(line(j)).alias("text")) for j in range(3)]))).drop("k")
+    figures = parts.select("ms_id", F.lit("fig1").alias("fig_id"), F.lit(1).alias("para_index"), F.when(K() % 3 == 0, F.lit("PARAGRAPH 2 of the")).otherwise(F.lit("short")).alias("caption"))
     return stream, floats.anchors(figures, stream, source)
 
 
@@ -421,11 +424,11 @@ def inserted(spark, sf_dir):
   SELECT *, row_number() OVER (PARTITION BY ms_id ORDER BY severity, code, location, message) AS seq FROM i""")
 def float_issues(spark, sf_dir):
     parts = _parts(spark, sf_dir)
-    name = lambda prefix: F.concat(F.lit(prefix), K.cast("string"))
+    name = lambda prefix: F.concat(F.lit(prefix), K().cast("string"))
     return issues.numbered(
-        issues.orphan_media(parts.select(F.floor(K / 8).alias("ms_id"), name("f").alias("filename"))),
-        issues.missing_captions(parts.select("ms_id", name("fig").alias("float_id"), _pick(["", None, "A", "B"], K).alias("caption"))),
-        issues.missing_captions(parts.select("ms_id", name("tab").alias("float_id"), F.when(K % 5 == 0, "").otherwise("T").alias("caption"))),
+        issues.orphan_media(parts.select(F.floor(K() / 8).alias("ms_id"), name("f").alias("filename"))),
+        issues.missing_captions(parts.select("ms_id", name("fig").alias("float_id"), _pick(["", None, "A", "B"], K()).alias("caption"))),
+        issues.missing_captions(parts.select("ms_id", name("tab").alias("float_id"), F.when(K() % 5 == 0, "").otherwise("T").alias("caption"))),
         issues.floating_images(parts.select("ms_id", name("fig").alias("fig_id"), (F.col("n") % 2 == 0).alias("floating"))), issues.estimated_positions(_anchored(spark, sf_dir)[1]),
     )
 
@@ -435,8 +438,8 @@ def float_issues(spark, sf_dir):
   UNION ALL SELECT k, 'warning', 'eqnum_mismatch', 'Printed as 7, in place 1', '5' FROM k WHERE k % 2 = 0""")
 def table_issues(spark, sf_dir):
     parts = _parts(spark, sf_dir)
-    rows = parts.select(F.floor(K / 4).alias("ms_id"), F.concat(F.lit("tab"), (F.col("n") % 2).cast("string")).alias("tab_id"))
-    printed = tree.number_mismatches(parts.select("ms_id", F.lit(5).alias("ord"), F.when(K % 2 == 0, "7").otherwise("1").alias("number_raw")))
+    rows = parts.select(F.floor(K() / 4).alias("ms_id"), F.concat(F.lit("tab"), (F.col("n") % 2).cast("string")).alias("tab_id"))
+    printed = tree.number_mismatches(parts.select("ms_id", F.lit(5).alias("ord"), F.when(K() % 2 == 0, "7").otherwise("1").alias("number_raw")))
     return issues.layout_tables(rows, floats.empty_tables(_empty_cells(spark, sf_dir))).unionByName(issues.number_mismatches(printed))
 
 
@@ -447,7 +450,7 @@ def table_issues(spark, sf_dir):
   UNION ALL SELECT ms_id, 'info', 'role_model_used', count(*) || ' roles were given by the model.', '' FROM s WHERE n % 2 = 0 GROUP BY 1
   UNION ALL SELECT ms_id, 'warning', 'unclassified_sections', count(*) || ' sections have no role: ' || string_agg('T' || k, '; ' ORDER BY k), '' FROM s WHERE role = 'unknown' GROUP BY 1""")
 def heading_issues(spark, sf_dir):
-    rows = _parts(spark, sf_dir).select(F.floor(K / 4).alias("ms_id"), K.alias("sec_ord"), "n", _pick(["unknown", "methods"], K).alias("role"), F.lit(1).alias("level"), F.concat(F.lit("T"), K.cast("string")).alias("title_raw"), F.when(F.col("n") % 2 == 0, "model").otherwise("default").alias("role_method"))
+    rows = _parts(spark, sf_dir).select(F.floor(K() / 4).alias("ms_id"), K().alias("sec_ord"), "n", _pick(["unknown", "methods"], K()).alias("role"), F.lit(1).alias("level"), F.concat(F.lit("T"), K().cast("string")).alias("title_raw"), F.when(F.col("n") % 2 == 0, "model").otherwise("default").alias("role_method"))
     found = issues.headings(rows, rows.select("ms_id", (F.col("n") % 3 == 0).alias("by_model")), rows.select("ms_id", "sec_ord", (F.col("n") % 7 == 0).alias("unwrapped")))
     return found.unionByName(issues.roles(rows))
 
@@ -464,7 +467,7 @@ def lost_text(spark, sf_dir):
 
 def _abstract_blocks(spark, sf_dir):
     """An abstract of two paragraphs and, in every third, a line of keywords at its end or between them."""
-    rows = [(0, F.lit("First part."), K >= 0), (1, F.lit("Keywords: a; b"), K % 3 == 1), (2, F.lit("Second part."), K % 4 > 0), (3, F.lit(" Index terms - c"), K % 3 > 0)]
+    rows = [(0, F.lit("First part."), K() >= 0), (1, F.lit("Keywords: a; b"), K() % 3 == 1), (2, F.lit("Second part."), K() % 4 > 0), (3, F.lit(" Index terms - c"), K() % 3 > 0)]
     made = F.array(*[F.when(on, F.struct(F.lit(o).alias("blk_ord"), t.alias("text"))) for o, t, on in rows])
     return _parts(spark, sf_dir).select("ms_id", F.inline(F.filter(made, lambda r: r.isNotNull())))
 
@@ -493,7 +496,7 @@ def keyword_sections(spark, sf_dir):
   UNION ALL SELECT ms_id, 'info', 'keywords_split_from_abstract' FROM a WHERE split_keywords > 0 AND ms_id % 7 > 0 UNION ALL SELECT k, 'warning', 'no_keywords' FROM k WHERE k % 5 = 0 UNION ALL SELECT k, 'warning', 'authors_heuristic' FROM k WHERE k % 2 = 0 UNION ALL SELECT k, 'error', 'no_authors' FROM k WHERE k % 2 = 1""")
 def front_issues(spark, sf_dir):
     parts = _parts(spark, sf_dir)
-    titles = parts.select("ms_id", F.when(K % 3 == 1, "").otherwise("T").alias("title"), _pick(["heuristic", "default", "explicit"], K).alias("method"))
+    titles = parts.select("ms_id", F.when(K() % 3 == 1, "").otherwise("T").alias("title"), _pick(["heuristic", "default", "explicit"], K()).alias("method"))
     return frontmatter.front_issues(titles, frontmatter.abstract(_abstract_blocks(spark, sf_dir).where("ms_id % 7 > 0")), _keyword_lists(spark, sf_dir), parts.where("k % 2 = 0").select("ms_id"), parts)
 
 
@@ -513,25 +516,25 @@ def masthead(spark, sf_dir):
 
 @_query("l_05_indents", f"WITH {_K} SELECT k, 283::BIGINT AS first_line FROM k WHERE k % 2 = 0 AND k % 3 > 0 AND k % 5 > 0 AND k % 7 > 0")
 def indents(spark, sf_dir):
-    rows = _parts(spark, sf_dir).select("k", (K % 2 == 1).alias("in_table"), (K % 3 == 0).alias("is_heading"), (K % 5 == 0).alias("is_list"), F.when(K % 7 == 0, 283).otherwise(F.when(K % 4 == 0, 10)).alias("first_line"))
+    rows = _parts(spark, sf_dir).select("k", (K() % 2 == 1).alias("in_table"), (K() % 3 == 0).alias("is_heading"), (K() % 5 == 0).alias("is_list"), F.when(K() % 7 == 0, 283).otherwise(F.when(K() % 4 == 0, 10)).alias("first_line"))
     return layout.indents(rows, 5.0).select("k", "first_line")
 
 
 @_query("l_06_emptied_parts", f"WITH {_K} SELECT k, {_of(['header', 'footer', 'footnote', None, None])} AS emptied FROM k WHERE k % 5 < 3")
 def emptied_parts(spark, sf_dir):
-    rows = _parts(spark, sf_dir).select("k", _pick(["word/header1.xml", "word/footer2.xml", "word/footnotes.xml", "word/footnotes.xml", "word/document.xml"], K).alias("name"), _pick(["a", "b", "ISSN 1234", "A real note", "ISSN 1"], K).alias("text"))
+    rows = _parts(spark, sf_dir).select("k", _pick(["word/header1.xml", "word/footer2.xml", "word/footnotes.xml", "word/footnotes.xml", "word/document.xml"], K()).alias("name"), _pick(["a", "b", "ISSN 1234", "A real note", "ISSN 1"], K()).alias("text"))
     return layout.emptied_parts(rows).select("k", "emptied")
 
 
 @_query("l_10_directions", f"WITH {_K} SELECT k FROM k WHERE k % 2 = 0 AND k % 3 > 0")
 def directions(spark, sf_dir):
-    return layout.cleared_direction(_parts(spark, sf_dir).select("k", (K % 2 == 0).alias("bidi"), _pick(["שלום", "words", "more words"], K).alias("text"))).select("k")
+    return layout.cleared_direction(_parts(spark, sf_dir).select("k", (K() % 2 == 0).alias("bidi"), _pick(["שלום", "words", "more words"], K()).alias("text"))).select("k")
 
 
 @_query("h_51_body_openings", f"WITH {_K} SELECT k AS ms_id, CASE WHEN k % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS idx FROM k WHERE k % 3 < 2")
 def body_openings(spark, sf_dir):
     """A heading whose role opens the body, else one that is numbered as the first; the other third has neither."""
-    rows = [(0, F.lit("Preface"), F.lit("unknown")), (1, F.when(K % 3 < 2, "1. Anything").otherwise("Anything"), F.lit("unknown")), (2, F.lit("Start"), F.when(K % 3 == 0, "introduction").otherwise("unknown"))]
+    rows = [(0, F.lit("Preface"), F.lit("unknown")), (1, F.when(K() % 3 < 2, "1. Anything").otherwise("Anything"), F.lit("unknown")), (2, F.lit("Start"), F.when(K() % 3 == 0, "introduction").otherwise("unknown"))]
     made = F.array(*[F.struct(F.lit(i).alias("idx"), t.alias("text"), r.alias("role"), F.lit(True).alias("is_heading")) for i, t, r in rows])
     return layout.split_point(_parts(spark, sf_dir).select("ms_id", "k", F.inline(made)), ["introduction", "methods"])
 
@@ -549,8 +552,8 @@ _LACKS = [(i, p["profile_id"], what) for i in (0, 1) for p in X.PROFILES for wha
 @_query("l_12_unsupported", f"WITH {_K}, u(i, profile_id, what) AS (VALUES {', '.join(map(str, _LACKS))}) SELECT k AS ms_id, profile_id, what FROM k JOIN u ON k % 2 = i")
 def unsupported(spark, sf_dir):
     names = lambda *r: F.array(*map(F.lit, r))
-    top = F.when(K % 2 == 0, names("introduction", "methods", "results")).otherwise(names("results", "introduction"))
-    present = F.when(K % 2 == 0, names("introduction", "methods", "results", "references", "discussion", "data_availability")).otherwise(names("results", "introduction"))
+    top = F.when(K() % 2 == 0, names("introduction", "methods", "results")).otherwise(names("results", "introduction"))
+    present = F.when(K() % 2 == 0, names("introduction", "methods", "results", "references", "discussion", "data_availability")).otherwise(names("results", "introduction"))
     return layout.unsupported(_parts(spark, sf_dir).select("ms_id", top.alias("top_roles"), present.alias("present")), X.profiles(spark))
 
 
