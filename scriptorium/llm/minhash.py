@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.llm.graph import components
-from scriptorium.llm.shared import map_batches, text_rows, unused, written
+from scriptorium.llm.shared import drop_written, map_batches, text_rows, unused, written
 from scriptorium.llm.shingles import STEP, links, mixed, roots, shingles
 
 BANDS, ROWS = 48, 4
@@ -112,10 +112,11 @@ def _large(members: DataFrame, percent: int) -> DataFrame:
     members = members.join(totals.select("group", blocks.alias("blocks")), "group")
     members = written(members.withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")), "members")
     found = None
-    level = members
+    level, used = members, []
     while True:  # inside blocks, then between delegates of the blocks' components
         parts = level.select("rid", F.concat_ws("/", F.col("group").cast("string"), F.col("block").cast("string")).alias("part"))
         inside = written(_compare(parts.join(texts, "rid"), percent), "inside")
+        used += [inside, *([level] if level is not members else [])]
         pairs = inside.select("rid", "root").where("rid <> root")
         found = pairs if found is None else found.unionAll(pairs)
         ranked = inside.join(level.select("rid", "group", "blocks"), "rid").withColumn("n", F.row_number().over(Window.partitionBy("part", "root").orderBy(F.xxhash64("rid"), "rid"))).withColumn("size", F.count("*").over(Window.partitionBy("part", "root")))
@@ -126,6 +127,8 @@ def _large(members: DataFrame, percent: int) -> DataFrame:
             break
     known = components(found, "rid", "root").withColumnsRenamed({"id": "rid"})
     placed = written(members.join(known, "rid", "left").withColumn("root", F.coalesce("root", "rid")), "placed")
+    for table in used:
+        drop_written(table)
     # what is outside its group's largest component is asked against all of the group
     sizes = placed.groupBy("group", "root").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("group").agg(F.max_by("root", F.struct("n", -F.col("root"))).alias("largest"))
@@ -141,6 +144,7 @@ def _large(members: DataFrame, percent: int) -> DataFrame:
     cross = _compare_queries(dealt.join(texts, "rid"), percent)
     edges = placed.where("rid <> root").select(F.col("rid").alias("a"), F.col("root").alias("b")).unionAll(cross)
     whole = components(edges, "a", "b").withColumnsRenamed({"id": "rid"})
+    drop_written(placed)
     return members.select("rid").join(whole, "rid", "left").select("rid", F.coalesce("root", "rid").alias("root"))
 
 
@@ -154,7 +158,10 @@ def near_duplicates(df: DataFrame, percent: int = 75, key: str = "doc_id", text:
     them.  Empty table: no rows.  Other columns are not read.  ``rid`` numbers the rows
     as written to the shared folder, see :func:`keyed`; ``root`` is a component's least one.
     """
-    return _components_of(keyed(df, key, text), percent)
+    rows = keyed(df, key, text)
+    found = _components_of(rows, percent)
+    drop_written(rows)  # the result reads numbers and keys only
+    return found
 
 
 def keyed(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -170,21 +177,28 @@ def _components_of(rows: DataFrame, percent: int) -> DataFrame:
     members = written(found.join(classes.select(*class_of, "class").hint("merge"), class_of, "left").select("rid", "n_shingles", "bytes", F.coalesce("class", "rid").alias("class")), "classes")
 
     bands = written(found.join(members.where("rid = class AND n_shingles > 0").select("rid").hint("merge"), "rid", "left_semi").select("rid", F.explode("bands").alias("band")), "bands")
+    drop_written(found)  # each table goes when nothing reads it any longer
     shared = bands.groupBy("band").agg(F.min("rid").alias("least"), F.count("*").alias("n")).where("n > 1").select("band", "least").hint("merge")
     stars = bands.join(shared, "band").where("rid <> least").select("rid", "least").distinct()
     groups = written(components(stars, "rid", "least").withColumnRenamed("id", "rid").join(members.where("rid = class").select("rid", "bytes"), "rid").withColumnRenamed("root", "group"), "groups")
+    drop_written(bands)
     totals = groups.groupBy("group").agg(F.count("*").alias("m"), F.sum("bytes").alias("all_bytes"))
     over = totals.where(f"m > {MEMBERS} OR all_bytes > {BYTES}").select("group")
     # texts travel once, and only those of candidates go on; joined alike at every size
     located = written(groups.join(rows.select("rid", "text").hint("merge"), "rid"), "candidates")
     inside = _compare(located.join(over, "group", "left_anti").select("rid", F.col("group").alias("part"), "text"), percent).select("rid", "root")
-    rooted = inside
+    rooted, used = inside, [groups, located]
     if not over.isEmpty():
-        rooted = inside.unionAll(_large(written(located.join(over, "group", "left_semi"), "large"), percent))
+        used.append(large := written(located.join(over, "group", "left_semi"), "large"))
+        rooted = inside.unionAll(_large(large, percent))
     rooted = written(rooted.withColumnRenamed("rid", "class"), "roots")
+    for table in used:
+        drop_written(table)
 
     placed = members.join(rooted, "class", "left").select("rid", "n_shingles", F.coalesce("root", "class").alias("root")).join(rows.select("rid", "doc_id"), "rid")
     placed = written(placed, "placed")
+    drop_written(members)
+    drop_written(rooted)
     least = written(placed.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
     named = placed.join(least.hint("merge"), "root")  # both sides are read and dealt: a hot root is split
     return named.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "rid", "root")
