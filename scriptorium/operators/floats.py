@@ -83,21 +83,26 @@ def anchors(figures: DataFrame, stream: DataFrame, source: DataFrame, reach: int
     By its caption's first words; else by the nearest source neighbour, back before forward,
     whose beginning is found; else in proportion to its place.  ``figures``: ms_id, fig_id,
     para_index, caption; ``stream``: ms_id, pos, text; ``source``: ms_id, idx, text.
+    Every table here grows with the manuscripts, and Spark's estimates do not see how many
+    rows a generator adds: joins are by sorting, so no table is ever broadcast.
     """
     key = lambda c, n: F.left(F.lower(T.normal_space(c)), F.lit(n))
     texts = stream.select("ms_id", "pos", F.lower(T.normal_space(F.col("text"))).alias("t")).where(F.length("t") >= 25)
     begins = texts.groupBy("ms_id", F.left("t", F.lit(60)).alias("k")).agg(F.min("pos").alias("pos"))
     captions = figures.select("ms_id", "fig_id", key(F.col("caption"), 40).alias("k")).where(F.length("k") >= 12)
-    by_caption = captions.join(texts, (captions.ms_id == texts.ms_id) & F.contains(texts.t, captions.k)).groupBy(captions.ms_id, "fig_id").agg(F.min("pos").alias("pos"))
-    near = source.select("ms_id", "idx", key(F.col("text"), 60).alias("k")).where(F.length("k") >= 25).join(begins, ["ms_id", "k"])
-    steps = F.sequence(F.lit(-reach), F.lit(reach))
-    probes = figures.select("ms_id", "fig_id", "para_index", F.explode(steps).alias("step")).where("step <> 0").withColumn("idx", F.col("para_index") + F.col("step"))
+    by_caption = captions.join(texts.hint("merge"), (captions.ms_id == texts.ms_id) & F.contains(texts.t, captions.k)).groupBy(captions.ms_id, "fig_id").agg(F.min("pos").alias("pos"))
+    near = source.select("ms_id", "idx", key(F.col("text"), 60).alias("k")).where(F.length("k") >= 25).join(begins.hint("merge"), ["ms_id", "k"])
+    # a figure asks for the three stretches its reach touches, not for each paragraph in it
+    stretch = lambda c: F.floor(c / reach)
+    probes = figures.select("ms_id", "fig_id", "para_index", F.explode(F.sequence(stretch(F.col("para_index") - reach), stretch(F.col("para_index") + reach))).alias("stretch"))
+    near = near.withColumn("stretch", stretch(F.col("idx")))
     back_first = F.struct((F.col("step") > 0).alias("ahead"), F.abs("step").alias("far"))
-    by_neighbour = probes.join(near, ["ms_id", "idx"]).groupBy("ms_id", "fig_id").agg(F.min_by(F.struct("pos", "step"), back_first).alias("n"))
-    sizes = source.groupBy("ms_id").agg(F.count("*").alias("n_source")).join(stream.groupBy("ms_id").agg(F.count("*").alias("n_stream")), "ms_id")
+    within = probes.join(near.hint("merge"), ["ms_id", "stretch"]).withColumn("step", F.col("idx") - F.col("para_index")).where((F.col("step") != 0) & (F.abs("step") <= reach))
+    by_neighbour = within.groupBy("ms_id", "fig_id").agg(F.min_by(F.struct("pos", "step"), back_first).alias("n"))
+    sizes = source.groupBy("ms_id").agg(F.count("*").alias("n_source")).join(stream.groupBy("ms_id").agg(F.count("*").alias("n_stream")).hint("merge"), "ms_id")
     share = F.least(F.greatest(F.bround(F.col("para_index") / F.greatest("n_source", F.lit(1)) * F.col("n_stream")).cast("long"), F.lit(0)), F.col("n_stream").cast("long"))
     neighbour_pos = F.col("n.pos") + F.when(F.col("n.step") < 0, 1).otherwise(0)
-    rows = figures.join(by_caption, ["ms_id", "fig_id"], "left").join(by_neighbour, ["ms_id", "fig_id"], "left").join(sizes, "ms_id", "left")
+    rows = figures.join(by_caption.hint("merge"), ["ms_id", "fig_id"], "left").join(by_neighbour.hint("merge"), ["ms_id", "fig_id"], "left").join(sizes.hint("merge"), "ms_id", "left")
     method = F.when(F.col("pos").isNotNull(), "caption").when(F.col("n").isNotNull(), "neighbour").otherwise("estimated")
     return rows.select("ms_id", "fig_id", F.coalesce("pos", neighbour_pos, share).alias("pos"), method.alias("method"))
 

@@ -125,3 +125,14 @@ def test_labels_leave_runs(spark):
     rows = spark.createDataFrame([([("text", "Fig. 3"), ("text", ": A curve"), ("math", "x")], 8), ([("math", "y"), ("text", "ab")], 3), ([], 2)], "runs array<struct<kind:string,text:string>>, n int")
     found = rows.select(render.without_label(F.col("runs"), F.col("n")).alias("r")).collect()
     assert [[tuple(x) for x in r.r] for r in found] == [[("text", "A curve"), ("math", "x")], [("math", "y"), ("text", "ab")], []]
+
+
+def test_no_table_of_paragraphs_is_broadcast(spark):
+    stream = spark.createDataFrame([(1, j, f"paragraph {j} is long enough to be found again") for j in range(120)], "ms_id int, pos int, text string")
+    source = spark.createDataFrame([(1, j, f"paragraph {j} is long enough to be found again" if j in (0, 50, 99) else "") for j in range(120)], "ms_id int, idx int, text string")
+    figures = spark.createDataFrame([(1, f"f{p}", p, "") for p in (24, 25, 26, 50, 74, 75, 119)], "ms_id int, fig_id string, para_index int, caption string")
+    placed = floats.anchors(figures, stream, source)
+    assert "Broadcast" not in placed._jdf.queryExecution().executedPlan().toString()
+    assert {r.fig_id: (r.pos, r.method) for r in placed.collect()} == {
+        "f24": (1, "neighbour"), "f25": (25, "estimated"), "f26": (50, "neighbour"), "f50": (50, "estimated"), "f74": (51, "neighbour"), "f75": (99, "neighbour"), "f119": (100, "neighbour"),
+    }
