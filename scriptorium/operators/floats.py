@@ -108,8 +108,8 @@ def anchors(figures: DataFrame, stream: DataFrame, source: DataFrame, reach: int
 
 
 def inserted(stream: DataFrame, placed: DataFrame, consumed: DataFrame) -> DataFrame:
-    """D-08: the stream with figure anchors before the rows they go before, and without consumed rows."""
-    rows = stream.join(consumed, ["ms_id", "pos"], "left_anti").select("ms_id", "pos", F.lit(1).alias("after"), F.lit(None).cast("string").alias("fig_id"), "text")
+    """D-08: the stream with figure anchors before the rows they go before, and without consumed rows; nothing is broadcast, as in :func:`anchors`."""
+    rows = stream.join(consumed.hint("merge"), ["ms_id", "pos"], "left_anti").select("ms_id", "pos", F.lit(1).alias("after"), F.lit(None).cast("string").alias("fig_id"), "text")
     heads = placed.select("ms_id", "pos", F.lit(0).alias("after"), "fig_id", F.lit(None).cast("string").alias("text"))
     every = rows.unionByName(heads)
     return every.withColumn("new_pos", F.row_number().over(Window.partitionBy("ms_id").orderBy("pos", "after", "fig_id")) - 1)

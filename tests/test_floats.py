@@ -132,7 +132,11 @@ def test_no_table_of_paragraphs_is_broadcast(spark):
     source = spark.createDataFrame([(1, j, f"paragraph {j} is long enough to be found again" if j in (0, 50, 99) else "") for j in range(120)], "ms_id int, idx int, text string")
     figures = spark.createDataFrame([(1, f"f{p}", p, "") for p in (24, 25, 26, 50, 74, 75, 119)], "ms_id int, fig_id string, para_index int, caption string")
     placed = floats.anchors(figures, stream, source)
-    assert "Broadcast" not in placed._jdf.queryExecution().executedPlan().toString()
+    put = floats.inserted(stream, placed, stream.where("pos = 3").select("ms_id", "pos"))
+    for found in (placed, put):
+        found.collect()
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert {r.fig_id: (r.pos, r.method) for r in placed.collect()} == {
         "f24": (1, "neighbour"), "f25": (25, "estimated"), "f26": (50, "neighbour"), "f50": (50, "estimated"), "f74": (51, "neighbour"), "f75": (99, "neighbour"), "f119": (100, "neighbour"),
     }
+    assert put.count() == 120 - 1 + 7
