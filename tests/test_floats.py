@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from scriptorium.operators import floats, frontmatter, layout, mining, render
+from scriptorium.plans import catalog
 
 CELL = "ms_id int, tab_id string, row int, col int, n_math int, text string, latex string, has_non_paragraph boolean"
 
@@ -140,3 +141,8 @@ def test_no_table_of_paragraphs_is_broadcast(spark):
         "f24": (1, "neighbour"), "f25": (25, "estimated"), "f26": (50, "neighbour"), "f50": (50, "estimated"), "f74": (51, "neighbour"), "f75": (99, "neighbour"), "f119": (100, "neighbour"),
     }
     assert put.count() == 120 - 1 + 7
+
+
+def test_the_issues_of_floats_broadcast_nothing(spark, sf_dir):
+    found = catalog.queries()["m_float_issues"](spark, sf_dir)
+    assert not found.isEmpty() and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
