@@ -2,6 +2,8 @@
 
 Every check is a struct (category, key, score 0..1, weight, severity, evidence); a score is
 never a probability of acceptance.  ``as_of_year`` is a parameter, so reruns agree.
+Profiles go to the manuscripts, never the other way: a product dealt by both sides' partitions
+would read every text once for each partition of profiles.
 """
 
 from __future__ import annotations
@@ -63,14 +65,18 @@ def scope_checks() -> list[Column]:
     return [F.when(n == 0, none).otherwise(_check("Scope fit", "scope.match", score, 3.0, severity, matched))]
 
 
+def _once(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def _any_has(sentences: Column, pattern: str) -> Column:
     return F.exists(sentences, lambda s: T.matches(s, pattern, True))
 
 
 def abstract_facts(text: Column) -> Column:
     """Struct n (words), missing (moves), quantities, foreign, novel (signals) of an abstract; no profile takes part."""
-    sentences = T.joined_sentences(text)
-    missing = reduce(lambda a, b: a + b, [F.when(_any_has(sentences, p), 0).otherwise(1) for p in P.MOVES.values()])
+    missing = _once(T.joined_sentences(text), lambda sentences: reduce(lambda a, b: a + b, [F.when(_any_has(sentences, p), 0).otherwise(1) for p in P.MOVES.values()]))
     foreign = T.matches(text, P.CITATION_IN_ABSTRACT) | F.coalesce("abstract_has_math", F.lit(False)) | T.matches(text, P.FLOAT_IN_ABSTRACT)
     front = F.concat_ws(" ", "title", text, "introduction")
     novel = reduce(lambda a, b: a + b, [T.matches(front, p, True).cast("int") for p in P.NOVELTY])
@@ -156,13 +162,13 @@ def reproducibility_checks() -> list[Column]:
 def writing_facts(text: Column) -> Column:
     """Struct sentences, mean_words, long_share, hedges_per_1000 of a text; only sentences of three words or more count."""
     lengths = F.filter(F.transform(F.split(text, r"(?U)(?<=[.!?])\s+"), T.word_count), lambda n: n > 2)
-    n = F.size(lengths)
-    total = F.aggregate(lengths, F.lit(0).cast("long"), lambda a, b: a + b)
-    hedges = F.regexp_count(text, T.rx(P.HEDGE))
-    return F.struct(
-        n.cast("long").alias("sentences"), F.try_divide(total, n).alias("mean_words"), F.try_divide(F.size(F.filter(lengths, lambda x: x > 40)), n).alias("long_share"),
-        (hedges / F.greatest(F.lit(1.0), T.word_count(text) / 1000)).alias("hedges_per_1000"),
-    )
+    hedges = F.regexp_count(text, T.rx(P.HEDGE)) / F.greatest(F.lit(1.0), T.word_count(text) / 1000)
+
+    def made(lengths: Column) -> Column:
+        n, total = F.size(lengths), F.aggregate(lengths, F.lit(0).cast("long"), lambda a, b: a + b)
+        return F.struct(n.cast("long").alias("sentences"), F.try_divide(total, n).alias("mean_words"), F.try_divide(F.size(F.filter(lengths, lambda x: x > 40)), n).alias("long_share"), hedges.alias("hedges_per_1000"))
+
+    return _once(lengths, made)
 
 
 def writing_checks() -> list[Column]:
@@ -202,15 +208,15 @@ def float_facts(figures: DataFrame, tables: DataFrame, profiles: DataFrame, manu
     """ms_id, profile_id, figures, tables, uncaptioned, unfit (a rejected format, or too coarse where it is placed)."""
     coarse = ~F.col("is_vector") & (F.coalesce("width_px", F.lit(0)) != 0) & (F.coalesce("placed_width_mm", F.lit(0.0)) != 0) & (effective_dpi(F.col("width_px"), F.col("placed_width_mm")) < F.col("dpi_halftone"))
     rejected = F.array_contains(F.transform("rejected_formats", lambda f: F.lower(f)), F.lower("fmt"))
-    found = figures.crossJoin(profiles).groupBy("ms_id", "profile_id").agg(
+    found = figures.crossJoin(F.broadcast(profiles)).groupBy("ms_id", "profile_id").agg(
         F.count("*").alias("figures"), F.count_if(F.coalesce("caption_raw", F.lit("")) == "").alias("uncaptioned"), F.count_if(rejected | F.coalesce(coarse, F.lit(False))).alias("unfit"))
     bare = tables.groupBy("ms_id").agg(F.count("*").alias("tables"))
-    return manuscripts.select("ms_id").crossJoin(profiles.select("profile_id")).join(found, ["ms_id", "profile_id"], "left").join(bare, "ms_id", "left")
+    return manuscripts.select("ms_id").crossJoin(F.broadcast(profiles.select("profile_id"))).join(found, ["ms_id", "profile_id"], "left").join(bare, "ms_id", "left")
 
 
 def checks(facts: DataFrame, floats: DataFrame, profiles: DataFrame) -> DataFrame:
     """I-24: ms_id, profile_id, seq and the fields of every check that applies."""
-    both = facts.crossJoin(profiles).join(floats, ["ms_id", "profile_id"], "left")
+    both = facts.crossJoin(F.broadcast(profiles)).join(floats, ["ms_id", "profile_id"], "left")
     every = scope_checks() + structure_checks() + abstract_checks() + reference_checks() + figure_checks() + reproducibility_checks() + writing_checks()
     return both.select("ms_id", "profile_id", F.posexplode(F.array(*every)).alias("seq", "c")).where("c IS NOT NULL").select("ms_id", "profile_id", "seq", "c.*")
 

@@ -1,7 +1,9 @@
+import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.operators import audit, compliance, review
 from scriptorium.plans import adapters as X
+from scriptorium.plans import catalog
 
 MS = "ms_id int, title string, abstract_raw string, keywords array<string>, highlights array<string>, abstract_paragraphs int, abstract_has_math boolean"
 
@@ -116,3 +118,13 @@ def test_ready_needs_all(spark):
     checks = spark.createDataFrame([(1, True), (1, False), (2, True), (3, True)], "ms_id int, ok boolean")
     blocked = audit.blocking(spark.createDataFrame([(1, 0, 1, 0, 0), (2, 0, 1, 0, 0), (3, 1, 0, 5, 0)], "ms_id int, mathtype int, citation_fields int, refs int, unconvertible int"))
     assert {r.ms_id: r.ready for r in audit.ready(checks, blocked).collect()} == {1: False, 2: True, 3: False}
+
+
+#: queries in which texts are read once, not once for each partition of profiles
+READ_ONCE = ["e_08_category_scores"]
+
+
+@pytest.mark.parametrize("name", READ_ONCE)
+def test_profiles_go_to_the_manuscripts(spark, sf_dir, name):
+    plan = catalog.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin BuildLeft" not in plan
