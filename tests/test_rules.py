@@ -121,7 +121,7 @@ def test_ready_needs_all(spark):
 
 
 #: queries in which texts are read once, not once for each partition of profiles
-READ_ONCE = ["e_08_category_scores", "f_11_desk_risk", "f_09_priorities", "f_10_weakest"]
+READ_ONCE = ["e_08_category_scores", "f_11_desk_risk", "f_09_priorities", "f_10_weakest", "i_review_checks"]
 
 
 @pytest.mark.parametrize("name", READ_ONCE)
