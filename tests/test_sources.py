@@ -137,3 +137,16 @@ def test_paragraphs_leave_a_package(spark):
 
 def test_models_that_have_enough(spark):
     assert learn.train_all(learn.seeds(spark)) == {"heading": None, "role": None, "finding": None}
+
+
+def test_examples_of_one_class_are_in_many_tasks(spark, monkeypatch):
+    rows = spark.range(400).selectExpr("concat('line ', id) text", "id < 100 is_heading", "'' role")
+    seen = {}
+
+    def fit(self, given):
+        seen.update(plan=given._jdf.queryExecution().executedPlan().toString(), weights={(r.is_heading, r.weight) for r in given.select("is_heading", "weight").collect()}, tasks=given.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect())
+
+    monkeypatch.setattr(learn.Pipeline, "fit", fit)
+    learn.train(rows, "is_heading", 2.0)
+    assert seen["weights"] == {(True, 2.0), (False, 400 / 600)} and "Window" not in seen["plan"]
+    assert len(seen["tasks"]) >= 4 and sum(seen["tasks"]) == 400 and max(seen["tasks"]) <= 200
