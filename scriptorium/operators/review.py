@@ -46,6 +46,16 @@ def section_text(sections: DataFrame, blocks: DataFrame, role: str) -> DataFrame
     return rows.groupBy("ms_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("blk_ord", "text"))), lambda r: r["text"]), " ").alias("text"))
 
 
+def corpus_texts(sections: DataFrame, blocks: DataFrame) -> DataFrame:
+    """I-23: ms_id, all_text and introduction, as :func:`corpus_text` and :func:`section_text` give them, out of one pass over the rows."""
+    heads = sections.select("ms_id", "sec_ord", F.lit(-1).alias("blk_ord"), F.col("title_raw").alias("text"), F.lit(True).alias("head"), (F.col("role") == "introduction").alias("opens"))
+    rows = heads.unionByName(blocks.where("kind = 'paragraph'").select("ms_id", "sec_ord", "blk_ord", "text", F.lit(False).alias("head"), F.lit(False).alias("opens")))
+    grouped = rows.groupBy("ms_id").agg(F.array_sort(F.collect_list(F.struct("sec_ord", "blk_ord", "text", "head"))).alias("rows"), F.min(F.when(F.col("opens"), F.col("sec_ord"))).alias("opening"))
+    joined = lambda keep, by: F.array_join(F.transform(F.filter("rows", keep), lambda r: r["text"]), by)
+    own = lambda r: ~r["head"] & (r["sec_ord"] == F.col("opening"))
+    return grouped.select("ms_id", joined(lambda r: ~r["head"] | (r["text"] != ""), "\n").alias("all_text"), F.when(F.exists("rows", own), joined(own, " ")).alias("introduction"))
+
+
 def padded_words(hay: Column) -> Column:
     """Lower-case words with one space around each."""
     return F.concat(F.lit(" "), F.regexp_replace(F.lower(hay), r"(?U)[^\w]+", " "), F.lit(" "))
@@ -58,11 +68,15 @@ def whole_words(terms: Column, padded: Column) -> Column:
 
 def scope_checks() -> list[Column]:
     """I-01."""
-    matched, n = F.size(whole_words(F.col("scope_keywords"), F.col("padded"))), F.size("scope_keywords")
-    score = F.least(F.lit(1.0), F.coalesce(F.try_divide(matched, F.least(n, F.lit(12))), F.lit(0.0)) * 2)
-    severity = F.when(score >= 0.67, "ok").when(score >= 0.34, "minor").otherwise("major")
+    n = F.size("scope_keywords")
     none = _check("Scope fit", "scope.match", F.lit(1.0), 0.0, F.lit("info"), F.lit(None))
-    return [F.when(n == 0, none).otherwise(_check("Scope fit", "scope.match", score, 3.0, severity, matched))]
+
+    def made(matched: Column) -> Column:
+        score = F.least(F.lit(1.0), F.coalesce(F.try_divide(matched, F.least(n, F.lit(12))), F.lit(0.0)) * 2)
+        severity = F.when(score >= 0.67, "ok").when(score >= 0.34, "minor").otherwise("major")
+        return F.when(n == 0, none).otherwise(_check("Scope fit", "scope.match", score, 3.0, severity, matched))
+
+    return [_once(F.size(whole_words(F.col("scope_keywords"), F.col("padded"))), made)]
 
 
 def _once(value: Column, f) -> Column:
@@ -74,6 +88,19 @@ def _any_has(sentences: Column, pattern: str) -> Column:
     return F.exists(sentences, lambda s: T.matches(s, pattern, True))
 
 
+def _folded(text: Column) -> Column:
+    """Text in which every character that a pattern takes for an ASCII letter, whatever the case, is that letter's small one."""
+    for odd, plain in (("\u0130", "i"), ("\u0131", "i"), ("\u017f", "s"), ("\u212a", "k")):
+        text = F.replace(text, F.lit(odd), F.lit(plain))
+    return F.lower(text)
+
+
+def signals(text: Column) -> Column:
+    """I-19: how many patterns of reproducibility a text has; each is only tried on a text with one of the words it cannot do without."""
+    words = lambda folded, name: reduce(lambda a, b: a | b, [F.contains(folded, F.lit(w)) for w in P.REPRODUCIBILITY_WORDS[name]])
+    return _once(_folded(text), lambda folded: reduce(lambda a, b: a + b, [(words(folded, name) & T.matches(text, p, True)).cast("int") for name, p in P.REPRODUCIBILITY.items()]))
+
+
 def abstract_facts(text: Column) -> Column:
     """Struct n (words), missing (moves), quantities, foreign, novel (signals) of an abstract; no profile takes part."""
     missing = _once(T.joined_sentences(text), lambda sentences: reduce(lambda a, b: a + b, [F.when(_any_has(sentences, p), 0).otherwise(1) for p in P.MOVES.values()]))
@@ -161,14 +188,19 @@ def reproducibility_checks() -> list[Column]:
 
 def writing_facts(text: Column) -> Column:
     """Struct sentences, mean_words, long_share, hedges_per_1000 of a text; only sentences of three words or more count."""
-    lengths = F.filter(F.transform(F.split(text, r"(?U)(?<=[.!?])\s+"), T.word_count), lambda n: n > 2)
-    hedges = F.regexp_count(text, T.rx(P.HEDGE)) / F.greatest(F.lit(1.0), T.word_count(text) / 1000)
+    # cuts are at white space, so no word is cut: the text has the words of its sentences
+    counts = F.transform(F.split(text, r"(?U)(?<=[.!?])\s+"), T.word_count)
+    total = lambda counts: F.aggregate(counts, F.lit(0).cast("long"), lambda a, b: a + b)
+    # the first letters are far cheaper to tell than a word's boundary
+    hedges = F.regexp_count(text, T.rx(f"(?i)(?=[acimprs]){P.HEDGE}"))
 
-    def made(lengths: Column) -> Column:
-        n, total = F.size(lengths), F.aggregate(lengths, F.lit(0).cast("long"), lambda a, b: a + b)
-        return F.struct(n.cast("long").alias("sentences"), F.try_divide(total, n).alias("mean_words"), F.try_divide(F.size(F.filter(lengths, lambda x: x > 40)), n).alias("long_share"), hedges.alias("hedges_per_1000"))
+    def made(counts: Column) -> Column:
+        per_1000 = hedges / F.greatest(F.lit(1.0), total(counts) / 1000)
+        return _once(F.filter(counts, lambda n: n > 2), lambda lengths: F.struct(
+            F.size(lengths).cast("long").alias("sentences"), F.try_divide(total(lengths), F.size(lengths)).alias("mean_words"), F.try_divide(F.size(F.filter(lengths, lambda x: x > 40)), F.size(lengths)).alias("long_share"), per_1000.alias("hedges_per_1000"),
+        ))
 
-    return _once(lengths, made)
+    return _once(counts, made)
 
 
 def writing_checks() -> list[Column]:
@@ -192,13 +224,10 @@ def review_facts(corpus: dict[str, DataFrame], text_facts: DataFrame, as_of_year
         F.count("*").alias("refs"), F.count("year").alias("dated"), F.count_if(as_of_year - F.col("year") <= 5).alias("recent"),
         F.count_if(F.coalesce("doi", F.lit("")) != "").alias("with_doi"), F.count_if(F.col("confidence") < 0.6).alias("low_refs"),
     )
-    text = corpus_text(corpus["sections"], corpus["blocks"])
-    introduction = section_text(corpus["sections"], corpus["blocks"], "introduction").withColumnRenamed("text", "introduction")
-    facts = text_facts.join(refs, "ms_id", "left").join(text, "ms_id", "left").join(introduction, "ms_id", "left")
+    facts = text_facts.join(refs, "ms_id", "left").join(corpus_texts(corpus["sections"], corpus["blocks"]), "ms_id", "left")
     abstract, whole = T.stripped(F.coalesce("abstract_raw", F.lit(""))), F.coalesce("all_text", F.lit(""))
-    signals = reduce(lambda a, b: a + b, [T.matches(whole, p, True).cast("int") for p in P.REPRODUCIBILITY.values()])
     read = {
-        "abstract_facts": F.when(abstract != "", abstract_facts(abstract)), "writing": writing_facts(whole), "signals": signals,
+        "abstract_facts": _once(abstract, lambda a: F.when(a != "", abstract_facts(a))), "writing": writing_facts(whole), "signals": signals(whole),
         "title_words": T.word_count(T.stripped(F.coalesce("title", F.lit("")))), "padded": padded_words(F.concat_ws(" ", "title", F.array_join("keywords", " "), "abstract_raw")),
     }
     return facts.withColumns(read).drop("all_text", "introduction", "abstract_raw")
@@ -215,8 +244,13 @@ def float_facts(figures: DataFrame, tables: DataFrame, profiles: DataFrame, manu
 
 
 def checks(facts: DataFrame, floats: DataFrame, profiles: DataFrame) -> DataFrame:
-    """I-24: ms_id, profile_id, seq and the fields of every check that applies."""
-    both = facts.crossJoin(F.broadcast(profiles)).join(floats, ["ms_id", "profile_id"], "left")
+    """I-24: ms_id, profile_id, seq and the fields of every check that applies.
+
+    A manuscript brings what its floats are to each profile, so that the wide rows of manuscripts and profiles stay where the manuscript is.
+    """
+    own = floats.groupBy("ms_id").agg(F.collect_list(F.struct(*[c for c in floats.columns if c != "ms_id"])).alias("floats"))
+    both = facts.join(own, "ms_id", "left").crossJoin(F.broadcast(profiles))
+    both = both.withColumn("floats", T.at(F.filter("floats", lambda f: f["profile_id"] == F.col("profile_id")), 1)).select("*", *[F.col("floats")[c].alias(c) for c in floats.columns if c not in ("ms_id", "profile_id")])
     every = scope_checks() + structure_checks() + abstract_checks() + reference_checks() + figure_checks() + reproducibility_checks() + writing_checks()
     return both.select("ms_id", "profile_id", F.posexplode(F.array(*every)).alias("seq", "c")).where("c IS NOT NULL").select("ms_id", "profile_id", "seq", "c.*")
 

@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from scriptorium.functions import patterns as P
+from scriptorium.functions import text as T
 from scriptorium.operators import audit, compliance, review
 from scriptorium.plans import adapters as X
 from scriptorium.plans import catalog
@@ -128,3 +130,37 @@ READ_ONCE = ["e_08_category_scores", "f_11_desk_risk", "f_09_priorities", "f_10_
 def test_profiles_go_to_the_manuscripts(spark, sf_dir, name):
     plan = catalog.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin BuildLeft" not in plan
+
+
+TEXTS = [
+    "Data are available. The CODE is available on GitHub; see the Open-source version.", "Available on request", "available from the corresponding author", "two Repositories", "a repository", "data availability",
+    "Z\u0415NODO", "zenodo", "figshare", "dryad", "source code", "open source", "code will be available", "code are available", "data will be available", "data is available", "MATLAB", "S\u0130mul\u0131nk", "\u017fimulink", "Python", "homer", "COMSOL",
+    "AN\u017fYS", "simulin\u212a", "TRNSYS", "PVsyst", "R  statistical", "R\nstatistical", "R is statistical", "Our Parameters are\nin a table", "The parameter set is given here.", "\u212aelvin, stra\u00dfe", "pythonic and available", "", None,
+    "It may be so. It could not! Perhaps \u0130t is bel\u0131eved; \u017fomewhat, as it SEEMS to and suggests that; dismay is maybe no hedge\u2003and might is.\n\nTwo more words here.  ", " . ", "one two three",
+]
+
+
+def test_signals_and_hedges_are_those_of_the_whole_patterns(spark):
+    rows = spark.createDataFrame([(t,) for t in TEXTS], "t string")
+    plain = sum((T.matches(F.col("t"), p, True).cast("int") for p in P.REPRODUCIBILITY.values()), F.lit(0))
+    hedges = F.regexp_count("t", T.rx(P.HEDGE)) / F.greatest(F.lit(1.0), T.word_count(F.col("t")) / 1000)
+    found = rows.select("t", review.signals(F.col("t")).alias("a"), plain.alias("b"), review.writing_facts(F.col("t"))["hedges_per_1000"].alias("c"), hedges.alias("d")).collect()
+    assert [r for r in found if r.a != r.b or r.c != r.d] == [] and sum(r.a or 0 for r in found) >= 24 and max(r.c or 0 for r in found) >= 6
+
+
+def test_texts_of_a_manuscript_come_from_one_pass(spark):
+    sections = spark.createDataFrame([(1, 0, "abstract", "A"), (1, 1, "introduction", ""), (1, 2, "introduction", "C"), (2, 0, "introduction", "T"), (3, 0, "methods", None)], "ms_id int, sec_ord int, role string, title_raw string")
+    blocks = spark.createDataFrame([(1, 1, 1, "paragraph", "second"), (1, 1, 0, "paragraph", "first"), (1, 2, 0, "paragraph", "later"), (1, 0, 0, "paragraph", ""), (2, 0, 0, "table", "x"), (3, 0, 0, "paragraph", None)], "ms_id int, sec_ord int, blk_ord int, kind string, text string")
+    whole = {r.ms_id: r.all_text for r in review.corpus_text(sections, blocks).collect()}
+    opening = {r.ms_id: r.text for r in review.section_text(sections, blocks, "introduction").collect()}
+    made = {r.ms_id: r for r in review.corpus_texts(sections, blocks).collect()}
+    assert opening == {1: "first second"} and all(made[k].all_text == v for k, v in whole.items()) and {k: r.introduction for k, r in made.items()} == {1: "first second", 2: None, 3: None}
+
+
+@pytest.mark.parametrize("name", READ_ONCE)
+def test_rows_of_manuscripts_and_profiles_stay_with_the_manuscript(spark, sf_dir, name):
+    plan = catalog.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    above = plan.split("BroadcastNestedLoopJoin")[0]
+    assert "Generate posexplode" in above and "SortMergeJoin" not in above
+    if name != "f_10_weakest":  # which counts over all manuscripts
+        assert "Exchange" not in above
