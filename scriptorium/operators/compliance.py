@@ -77,7 +77,11 @@ def text_facts(manuscripts: DataFrame, sections: DataFrame, blocks: DataFrame) -
         F.array_sort(F.collect_list(F.when(F.col("level") == 1, F.struct("sec_ord", "role", "title_raw")))).alias("tops"),
     )
     text = blocks.where("kind = 'paragraph'").groupBy("ms_id").agg(F.sum(T.word_count(F.col("text"))).alias("words"))
-    facts = manuscripts.join(whole, "ms_id", "left").join(text, "ms_id", "left")
+    return front_facts(manuscripts.join(whole, "ms_id", "left").join(text, "ms_id", "left"))
+
+
+def front_facts(facts: DataFrame) -> DataFrame:
+    """Manuscripts with roles (all their sections'), tops (sec_ord, role, title_raw of those of level 1) and words, as :func:`text_facts` gives them."""
     none = F.array().cast("array<string>")
     front = F.concat(F.when(T.stripped(F.col("abstract_raw")) != "", F.array(F.lit("abstract"))).otherwise(none), F.when(F.size("keywords") > 0, F.array(F.lit("keywords"))).otherwise(none))
     present = F.array_union(F.coalesce("roles", none), front)

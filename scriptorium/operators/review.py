@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import patterns as P
 from scriptorium.functions import text as T
-from scriptorium.operators.compliance import effective_dpi
+from scriptorium.operators.compliance import effective_dpi, front_facts
 
 
 def _check(category: str, key: str, score: Column, weight: Column | float, severity: Column, evidence: Column) -> Column:
@@ -46,14 +46,24 @@ def section_text(sections: DataFrame, blocks: DataFrame, role: str) -> DataFrame
     return rows.groupBy("ms_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("blk_ord", "text"))), lambda r: r["text"]), " ").alias("text"))
 
 
-def corpus_texts(sections: DataFrame, blocks: DataFrame) -> DataFrame:
-    """I-23: ms_id, all_text and introduction, as :func:`corpus_text` and :func:`section_text` give them, out of one pass over the rows."""
-    heads = sections.select("ms_id", "sec_ord", F.lit(-1).alias("blk_ord"), F.col("title_raw").alias("text"), F.lit(True).alias("head"), (F.col("role") == "introduction").alias("opens"))
-    rows = heads.unionByName(blocks.where("kind = 'paragraph'").select("ms_id", "sec_ord", "blk_ord", "text", F.lit(False).alias("head"), F.lit(False).alias("opens")))
-    grouped = rows.groupBy("ms_id").agg(F.array_sort(F.collect_list(F.struct("sec_ord", "blk_ord", "text", "head"))).alias("rows"), F.min(F.when(F.col("opens"), F.col("sec_ord"))).alias("opening"))
+def corpus_texts(sections: DataFrame, blocks: DataFrame, structure: bool = False) -> DataFrame:
+    """I-23: ms_id, all_text and introduction, as :func:`corpus_text` and :func:`section_text` give them, out of one pass over the rows.
+
+    With ``structure`` also roles, tops and words, which :func:`compliance.front_facts` reads.
+    """
+    level, own = F.col("level") if structure else F.lit(None).cast("int"), F.lit(None)
+    heads = sections.select("ms_id", "sec_ord", F.lit(-1).alias("blk_ord"), F.col("title_raw").alias("text"), F.lit(True).alias("head"), "role", level.alias("level"), own.cast("long").alias("n"))
+    counted = T.word_count(F.col("text")) if structure else own
+    rows = heads.unionByName(blocks.where("kind = 'paragraph'").select("ms_id", "sec_ord", "blk_ord", "text", F.lit(False).alias("head"), own.cast("string").alias("role"), own.cast("int").alias("level"), counted.cast("long").alias("n")))
+    found = [F.array_sort(F.collect_list(F.struct("sec_ord", "blk_ord", "text", "head"))).alias("rows"), F.min(F.when(F.col("role") == "introduction", F.col("sec_ord"))).alias("opening")]
+    facts = ["roles", "tops", "words"] if structure else []
+    if structure:
+        tops = F.collect_list(F.when(F.col("level") == 1, F.struct("sec_ord", "role", F.col("text").alias("title_raw"))))
+        found += [F.collect_set("role").alias("roles"), F.array_sort(tops).alias("tops"), F.sum("n").alias("words")]
+    grouped = rows.groupBy("ms_id").agg(*found)
     joined = lambda keep, by: F.array_join(F.transform(F.filter("rows", keep), lambda r: r["text"]), by)
     own = lambda r: ~r["head"] & (r["sec_ord"] == F.col("opening"))
-    return grouped.select("ms_id", joined(lambda r: ~r["head"] | (r["text"] != ""), "\n").alias("all_text"), F.when(F.exists("rows", own), joined(own, " ")).alias("introduction"))
+    return grouped.select("ms_id", joined(lambda r: ~r["head"] | (r["text"] != ""), "\n").alias("all_text"), F.when(F.exists("rows", own), joined(own, " ")).alias("introduction"), *facts)
 
 
 def padded_words(hay: Column) -> Column:
@@ -84,29 +94,24 @@ def _once(value: Column, f) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
-def _any_has(sentences: Column, pattern: str) -> Column:
-    return F.exists(sentences, lambda s: T.matches(s, pattern, True))
-
-
-def _folded(text: Column) -> Column:
-    """Text in which every character that a pattern takes for an ASCII letter, whatever the case, is that letter's small one."""
-    for odd, plain in (("\u0130", "i"), ("\u0131", "i"), ("\u017f", "s"), ("\u212a", "k")):
-        text = F.replace(text, F.lit(odd), F.lit(plain))
-    return F.lower(text)
+def _has(folded: Column, pattern: str) -> Column:
+    return T.matches(folded, T.lowered_pattern(pattern))
 
 
-def signals(text: Column) -> Column:
+def signals(text: Column, folded: Column | None = None) -> Column:
     """I-19: how many patterns of reproducibility a text has; each is only tried on a text with one of the words it cannot do without."""
     words = lambda folded, name: reduce(lambda a, b: a | b, [F.contains(folded, F.lit(w)) for w in P.REPRODUCIBILITY_WORDS[name]])
-    return _once(_folded(text), lambda folded: reduce(lambda a, b: a + b, [(words(folded, name) & T.matches(text, p, True)).cast("int") for name, p in P.REPRODUCIBILITY.items()]))
+    made = lambda folded: reduce(lambda a, b: a + b, [(words(folded, name) & _has(folded, p)).cast("int") for name, p in P.REPRODUCIBILITY.items()])
+    return _once(T.lowered(text), made) if folded is None else made(folded)
 
 
 def abstract_facts(text: Column) -> Column:
     """Struct n (words), missing (moves), quantities, foreign, novel (signals) of an abstract; no profile takes part."""
-    missing = _once(T.joined_sentences(text), lambda sentences: reduce(lambda a, b: a + b, [F.when(_any_has(sentences, p), 0).otherwise(1) for p in P.MOVES.values()]))
+    found = lambda sentences, p: F.exists(sentences, lambda s: _has(s, p))
+    missing = _once(T.joined_sentences(T.lowered(text)), lambda sentences: reduce(lambda a, b: a + b, [F.when(found(sentences, p), 0).otherwise(1) for p in P.MOVES.values()]))
     foreign = T.matches(text, P.CITATION_IN_ABSTRACT) | F.coalesce("abstract_has_math", F.lit(False)) | T.matches(text, P.FLOAT_IN_ABSTRACT)
-    front = F.concat_ws(" ", "title", text, "introduction")
-    novel = reduce(lambda a, b: a + b, [T.matches(front, p, True).cast("int") for p in P.NOVELTY])
+    front = T.lowered(F.concat_ws(" ", "title", text, "introduction"))
+    novel = _once(front, lambda folded: reduce(lambda a, b: a + b, [_has(folded, p).cast("int") for p in P.NOVELTY]))
     return F.struct(T.word_count(text).alias("n"), missing.alias("missing"), F.regexp_count(text, T.rx(P.QUANTITY)).alias("quantities"), foreign.alias("foreign"), novel.alias("novel"))
 
 
@@ -186,13 +191,13 @@ def reproducibility_checks() -> list[Column]:
     ]
 
 
-def writing_facts(text: Column) -> Column:
+def writing_facts(text: Column, folded: Column | None = None) -> Column:
     """Struct sentences, mean_words, long_share, hedges_per_1000 of a text; only sentences of three words or more count."""
-    # cuts are at white space, so no word is cut: the text has the words of its sentences
-    counts = F.transform(F.split(text, r"(?U)(?<=[.!?])\s+"), T.word_count)
+    # a sentence ends with a word that ends with . ! or ?: each word becomes one letter, with that mark behind it
+    marks = F.regexp_replace(F.regexp_replace(text, r"(?U)\S+(?:(?<=([.!?]))|)\s*", "w$1"), r"(?U)^\s+", "")
+    counts = F.transform(F.split(F.translate(marks, "!?", ".."), r"\."), lambda s: F.length(s).cast("long"))
     total = lambda counts: F.aggregate(counts, F.lit(0).cast("long"), lambda a, b: a + b)
-    # the first letters are far cheaper to tell than a word's boundary
-    hedges = F.regexp_count(text, T.rx(f"(?i)(?=[acimprs]){P.HEDGE}"))
+    hedges = F.regexp_count(T.lowered(text) if folded is None else folded, T.rx(T.lowered_pattern(P.HEDGE)))
 
     def made(counts: Column) -> Column:
         per_1000 = hedges / F.greatest(F.lit(1.0), total(counts) / 1000)
@@ -215,8 +220,8 @@ def writing_checks() -> list[Column]:
     ]
 
 
-def review_facts(corpus: dict[str, DataFrame], text_facts: DataFrame, as_of_year: int) -> DataFrame:
-    """Adds to text facts what the checks read of references and texts.
+def review_facts(corpus: dict[str, DataFrame], as_of_year: int) -> DataFrame:
+    """Text facts, and what the checks read of references and texts.
 
     Texts are read here, once a manuscript; they stay behind when manuscripts meet profiles.
     """
@@ -224,13 +229,14 @@ def review_facts(corpus: dict[str, DataFrame], text_facts: DataFrame, as_of_year
         F.count("*").alias("refs"), F.count("year").alias("dated"), F.count_if(as_of_year - F.col("year") <= 5).alias("recent"),
         F.count_if(F.coalesce("doi", F.lit("")) != "").alias("with_doi"), F.count_if(F.col("confidence") < 0.6).alias("low_refs"),
     )
-    facts = text_facts.join(refs, "ms_id", "left").join(corpus_texts(corpus["sections"], corpus["blocks"]), "ms_id", "left")
-    abstract, whole = T.stripped(F.coalesce("abstract_raw", F.lit(""))), F.coalesce("all_text", F.lit(""))
+    whole = corpus_texts(corpus["sections"], corpus["blocks"], structure=True)
+    facts = front_facts(corpus["manuscripts"].join(whole, "ms_id", "left")).join(refs, "ms_id", "left").withColumn("folded", T.lowered(F.coalesce("all_text", F.lit(""))))
+    abstract, whole, folded = T.stripped(F.coalesce("abstract_raw", F.lit(""))), F.coalesce("all_text", F.lit("")), F.col("folded")
     read = {
-        "abstract_facts": _once(abstract, lambda a: F.when(a != "", abstract_facts(a))), "writing": writing_facts(whole), "signals": signals(whole),
+        "abstract_facts": _once(abstract, lambda a: F.when(a != "", abstract_facts(a))), "writing": writing_facts(whole, folded), "signals": signals(whole, folded),
         "title_words": T.word_count(T.stripped(F.coalesce("title", F.lit("")))), "padded": padded_words(F.concat_ws(" ", "title", F.array_join("keywords", " "), "abstract_raw")),
     }
-    return facts.withColumns(read).drop("all_text", "introduction", "abstract_raw")
+    return facts.withColumns(read).drop("all_text", "introduction", "abstract_raw", "folded")
 
 
 def float_facts(figures: DataFrame, tables: DataFrame, profiles: DataFrame, manuscripts: DataFrame) -> DataFrame:

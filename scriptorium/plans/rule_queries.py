@@ -29,8 +29,7 @@ def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus, profiles = X.corpus(spark, sf_dir), X.profiles(spark)
-    facts = compliance.text_facts(corpus["manuscripts"], corpus["sections"], corpus["blocks"])
-    facts = review.review_facts(corpus, facts, AS_OF_YEAR)
+    facts = review.review_facts(corpus, AS_OF_YEAR)
     return review.checks(facts, review.float_facts(corpus["figures"], corpus["tables"], profiles, corpus["manuscripts"]), profiles)
 
 

@@ -164,3 +164,40 @@ def test_rows_of_manuscripts_and_profiles_stay_with_the_manuscript(spark, sf_dir
     assert "Generate posexplode" in above and "SortMergeJoin" not in above
     if name != "f_10_weakest":  # which counts over all manuscripts
         assert "Exchange" not in above
+
+
+SENTENCES = [*TEXTS, *(f"x {w} y. Then {w.upper()}" for w in ("however", "novel", "for the first time", "we propose", "unlike prior", "few studies", "is", "results show", "used to", "under-explored", "the main contributions of this work", "ſhow")), "a  b. c d e!f g h? i j k", "  leads. on and on", " ", "a.", "x.y z\x85w", "İı \U0001d400\U0001d401 é"]
+
+
+def test_lowered_patterns_find_what_patterns_find_in_any_case(spark):
+    """Every pattern of the checks, told by first letters on lowered text, against the plain one."""
+    rows = spark.createDataFrame([(t,) for t in SENTENCES], "t string")
+    every = [*P.MOVES.values(), *P.NOVELTY, *P.REPRODUCIBILITY.values(), P.HEDGE]
+    assert all("(?=[" in T.lowered_pattern(p) for p in every)
+    pairs = [(F.regexp_count(T.lowered(F.col("t")), T.rx(T.lowered_pattern(p))), F.regexp_count("t", T.rx(p, True))) for p in every]
+    found = rows.select(*[F.sum((~a.eqNullSafe(b)).cast("int")).alias(f"c{n}") for n, (a, b) in enumerate(pairs)], *[F.sum(b).alias(f"n{n}") for n, (_, b) in enumerate(pairs)]).first()
+    assert not any(found[: len(every)]) and sum(n > 0 for n in found[len(every) :]) >= 12
+
+
+def test_words_are_counted_without_a_row_of_words(spark):
+    rows = spark.createDataFrame([(t,) for t in SENTENCES], "t string")
+    sentences = F.transform(F.split("t", r"(?U)(?<=[.!?])\s+"), lambda s: F.size(T.words(s)))
+    plain = F.filter(sentences, lambda n: n > 2)
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, b: a + b)
+    facts = review.writing_facts(F.col("t"))
+    found = rows.where("t IS NOT NULL").select("t", T.word_count(F.col("t")).alias("a"), F.size(T.words(F.col("t"))).alias("b"), facts["sentences"].alias("c"), F.size(plain).alias("d"), facts["mean_words"].alias("e"), F.try_divide(total(plain), F.size(plain)).alias("f")).collect()
+    assert [r for r in found if (r.a, r.c, r.e) != (r.b, r.d, r.f)] == [] and sum(r.c for r in found) > 20
+
+
+def test_structure_comes_from_the_pass_over_the_texts(spark, sf_dir):
+    """The checks read lines twice, as sections and as paragraphs, and count as the text facts do."""
+    corpus = X.corpus(spark, sf_dir)
+    keys = ["ms_id", "present", "words", "abstract_words", "unlabelled", "top_roles"]
+    tidy = lambda df: df.select("ms_id", F.array_sort("present"), *keys[2:])
+    plain = tidy(compliance.text_facts(corpus["manuscripts"], corpus["sections"], corpus["blocks"]))
+    whole = review.corpus_texts(corpus["sections"], corpus["blocks"], structure=True)
+    made = tidy(compliance.front_facts(corpus["manuscripts"].join(whole, "ms_id", "left")))
+    assert made.exceptAll(plain).isEmpty() and plain.exceptAll(made).isEmpty()
+    for name in READ_ONCE:
+        plan = catalog.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+        assert plan.count("Generate posexplode(split") == 2
