@@ -12,6 +12,8 @@ SLACK = 1e-6
 RADII = tuple(np.pi / 2**k for k in range(6))
 #: Children of a pair of nodes from which on they are compared by a matrix product.
 MANY = 1024
+#: Axes on which such products are bounded before cosines are computed, and what single precision may err there.
+AXES, COARSE = 21, np.float32(1e-5)
 
 
 @dataclass
@@ -52,7 +54,7 @@ def angle(cosine: np.ndarray) -> np.ndarray:
 
 def build(vectors: np.ndarray) -> CoverTree:
     """Greedy: a level keeps the coarser level's centres and adds points that none covers."""
-    n = len(vectors)
+    n, single = len(vectors), vectors.astype(np.float32)  # whose centre a point takes steers speed; radii are measured in doubles
     centres: list[np.ndarray] = []
     parent: list[np.ndarray] = []
     chosen: list[int] = []
@@ -61,13 +63,13 @@ def build(vectors: np.ndarray) -> CoverTree:
         while len(far := np.flatnonzero(best < np.cos(radius))):
             # a batch of uncovered points; those that an earlier one of it covers are dropped
             batch = far[:256]
-            near = np.tril(vectors[batch] @ vectors[batch].T >= np.cos(radius), -1)
+            near = np.tril(single[batch] @ single[batch].T >= np.cos(radius), -1)
             keep: list[int] = []
             for i in range(len(batch)):
                 if not near[i, keep].any():
                     keep.append(i)
             for at in range(0, n, 4096):
-                found = vectors[at : at + 4096] @ vectors[batch[keep]].T
+                found = single[at : at + 4096] @ single[batch[keep]].T
                 top = found.argmax(axis=1)
                 value = found[np.arange(len(found)), top]
                 better = value > best[at : at + 4096]
@@ -122,6 +124,7 @@ def dual(a: CoverTree, b: CoverTree, cosine: float, same: bool, work: list[int]
     joined = Forest(len(a.vectors) if same else len(a.vectors) + len(b.vectors))
     shift = 0 if same else len(a.vectors)
     last = len(RADII)
+    coarse = bounds(a.vectors, b.vectors)
     i, j = (x.ravel() for x in np.meshgrid(np.arange(len(a.centres[0])), np.arange(len(b.centres[0])), indexing="ij"))
     work = [0] if work is None else work
     for level in range(last + 1):
@@ -143,7 +146,7 @@ def dual(a: CoverTree, b: CoverTree, cosine: float, same: bool, work: list[int]
         if not part:
             break
         _take_whole(a, b, level, *(np.concatenate(x) for x in zip(*whole)), counts, joined, same)
-        i, j = _expand(a, b, level, *(np.concatenate(x) for x in zip(*part)), limit, work)
+        i, j = _expand(a, b, level, *(np.concatenate(x) for x in zip(*part)), limit, work, coarse)
     return *counts, joined
 
 
@@ -166,7 +169,22 @@ def _take_whole(a, b, level, p, q, counts, joined, same) -> None:
         joined.join(np.concatenate([in_a[x], np.full(len(in_b[y]), in_a[x][0])]), shift + np.concatenate([np.full(len(in_a[x]), in_b[y][0]), in_b[y]]))
 
 
-def _expand(a, b, level, p, q, limit, work) -> tuple[np.ndarray, np.ndarray]:
+def bounds(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Short vectors whose products are at least the cosines of the unit vectors x and y.
+
+    Some axes on which both have much of their length are kept, and the length of what is left is one more.
+    """
+    drawn = np.concatenate([v[:: max(1, len(v) // 256)] for v in (x, y)])
+    if x.shape[1] <= 256:
+        axes = np.linalg.eigh(drawn.T @ drawn)[1][:, ::-1][:, :AXES]
+        heads = [v @ axes for v in (x, y)]
+    else:
+        axes = np.argsort(-(drawn * drawn).sum(axis=0), kind="stable")[:AXES]
+        heads = [v[:, axes] for v in (x, y)]
+    return tuple(np.concatenate([h, np.sqrt(np.maximum(0.0, 1 - (h * h).sum(axis=1, keepdims=True)))], axis=1).astype(np.float32) for h in heads)
+
+
+def _expand(a, b, level, p, q, limit, work, coarse) -> tuple[np.ndarray, np.ndarray]:
     """The pairs of children, one of each, whose covering radii do not keep them apart."""
     (order_a, begin_a), (order_b, begin_b) = children(a, level), children(b, level)
     at_a, at_b = a.vectors[a.centres[level + 1]], b.vectors[b.centres[level + 1]]
@@ -175,11 +193,23 @@ def _expand(a, b, level, p, q, limit, work) -> tuple[np.ndarray, np.ndarray]:
     work[0] += int((many_a * many_b).sum())
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     large = many_a * many_b >= MANY
+    acute = large.any() and reach_a.max() + reach_b.max() + limit + SLACK < np.pi
+    if acute:  # the least cosine, cos(u + v), is cos u cos v - sin u sin v: two more axes take it off
+        u, v = reach_a + (limit + SLACK), reach_b
+        left = np.column_stack([coarse[0][a.centres[level + 1]], -np.cos(u), np.sin(u)]).astype(np.float32)
+        right = np.column_stack([coarse[1][b.centres[level + 1]], np.cos(v), np.sin(v)]).astype(np.float32)
     for x, y in zip(p[large].tolist(), q[large].tolist()):
         own, other = order_a[begin_a[x] : begin_a[x + 1]], order_b[begin_b[y] : begin_b[y + 1]]
         step = max(1, 4_000_000 // len(other))
         for at in range(0, len(own), step):
             some = own[at : at + step]
+            if acute:
+                r, s = np.divmod(np.flatnonzero(left[some] @ right[other].T >= -COARSE), len(other))
+                if len(r) <= len(some) * len(other) // 16:  # else they are as cheap all at once
+                    r, s = some[r], other[s]
+                    near = np.einsum("ij,ij->i", at_a[r], at_b[s]) >= np.cos(reach_a[r] + reach_b[s] + limit + SLACK)
+                    found.append((r[near], s[near]))
+                    continue
             # cos of an angle that both radii and the limit cannot bridge; beyond pi nothing is dropped
             least = np.cos(np.minimum(np.pi, reach_a[some][:, None] + reach_b[other][None, :] + limit + SLACK)) if reach_a[some].any() or reach_b[other].any() else np.cos(limit + SLACK)
             r, s = np.nonzero(at_a[some] @ at_b[other].T >= least)

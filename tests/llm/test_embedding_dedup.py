@@ -96,3 +96,22 @@ def test_empty_and_unusable(spark):
     assert embedding_duplicates(rows).isEmpty()
     one = spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in embedding_duplicates(one).collect()] == [(1, 0, 1, True)]
+
+
+def test_short_vectors_bound_cosines_and_lose_no_link():
+    """Where no radius prunes, most pairs are told by 22 numbers a vector; links are those of all cosines."""
+    draw = np.random.default_rng(5)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    noise = draw.standard_normal((1200, 64))
+    noise[600:] = np.where(draw.random((600, 1)) < 0.3, noise[:600] + 0.2 * draw.standard_normal((600, 64)), noise[600:])
+    near, wide = 1 + 0.33 * draw.standard_normal((1200, 64)), draw.standard_normal((1200, 300))
+    for x in map(unit, (noise, near, wide, noise[:, :8])):
+        a, b = x[:600], x[600:]
+        left, right = cover_tree.bounds(a, b)
+        assert left.shape[1] <= cover_tree.AXES + 1 and (left @ right.T + cover_tree.COARSE >= a @ b.T).all()
+        counts = cover_tree.dual(cover_tree.build(a), cover_tree.build(b), 0.9, False)[:2]
+        linked = a @ b.T >= 0.9
+        assert (counts[0] == linked.sum(axis=1)).all() and (counts[1] == linked.sum(axis=0)).all()
+    a, b = unit(noise)[:600], unit(noise)[600:]
+    left, right = cover_tree.bounds(a, b)
+    assert (left @ right.T >= 0.9).mean() < 0.05
