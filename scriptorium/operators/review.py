@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import patterns as P
+from scriptorium.functions import plain
 from scriptorium.functions import text as T
 from scriptorium.operators.compliance import effective_dpi, front_facts
+from scriptorium.session import ship, small_batches
 
 
 def _check(category: str, key: str, score: Column, weight: Column | float, severity: Column, evidence: Column) -> Column:
@@ -49,21 +51,29 @@ def section_text(sections: DataFrame, blocks: DataFrame, role: str) -> DataFrame
 def corpus_texts(sections: DataFrame, blocks: DataFrame, structure: bool = False) -> DataFrame:
     """I-23: ms_id, all_text and introduction, as :func:`corpus_text` and :func:`section_text` give them, out of one pass over the rows.
 
-    With ``structure`` also roles, tops and words, which :func:`compliance.front_facts` reads.
+    With ``structure`` also roles, tops and words, which :func:`compliance.front_facts` reads, and ``plain``: what
+    :func:`plain.whole_facts` says of texts of ASCII characters alone, null for others.
     """
     level, own = F.col("level") if structure else F.lit(None).cast("int"), F.lit(None)
-    heads = sections.select("ms_id", "sec_ord", F.lit(-1).alias("blk_ord"), F.col("title_raw").alias("text"), F.lit(True).alias("head"), "role", level.alias("level"), own.cast("long").alias("n"))
-    counted = T.word_count(F.col("text")) if structure else own
-    rows = heads.unionByName(blocks.where("kind = 'paragraph'").select("ms_id", "sec_ord", "blk_ord", "text", F.lit(False).alias("head"), own.cast("string").alias("role"), own.cast("int").alias("level"), counted.cast("long").alias("n")))
+    counted = T.word_count(F.col("title_raw")) if structure else own
+    heads = sections.select("ms_id", "sec_ord", F.lit(-1).alias("blk_ord"), F.col("title_raw").alias("text"), F.lit(True).alias("head"), "role", level.alias("level"), counted.cast("long").alias("n"))
+    rows = heads.unionByName(blocks.where("kind = 'paragraph'").select("ms_id", "sec_ord", "blk_ord", "text", F.lit(False).alias("head"), own.cast("string").alias("role"), own.cast("int").alias("level"), own.cast("long").alias("n")))
     found = [F.array_sort(F.collect_list(F.struct("sec_ord", "blk_ord", "text", "head"))).alias("rows"), F.min(F.when(F.col("role") == "introduction", F.col("sec_ord"))).alias("opening")]
-    facts = ["roles", "tops", "words"] if structure else []
+    facts = ["roles", "tops", "titled"] if structure else []
     if structure:
         tops = F.collect_list(F.when(F.col("level") == 1, F.struct("sec_ord", "role", F.col("text").alias("title_raw"))))
-        found += [F.collect_set("role").alias("roles"), F.array_sort(tops).alias("tops"), F.sum("n").alias("words")]
+        found += [F.collect_set("role").alias("roles"), F.array_sort(tops).alias("tops"), F.coalesce(F.sum("n"), F.lit(0)).alias("titled")]
     grouped = rows.groupBy("ms_id").agg(*found)
     joined = lambda keep, by: F.array_join(F.transform(F.filter("rows", keep), lambda r: r["text"]), by)
     own = lambda r: ~r["head"] & (r["sec_ord"] == F.col("opening"))
-    return grouped.select("ms_id", joined(lambda r: ~r["head"] | (r["text"] != ""), "\n").alias("all_text"), F.when(F.exists("rows", own), joined(own, " ")).alias("introduction"), *facts)
+    texts = grouped.select("ms_id", joined(lambda r: ~r["head"] | (r["text"] != ""), "\n").alias("all_text"), F.when(F.exists("rows", own), joined(own, " ")).alias("introduction"), *facts)
+    if not structure:
+        return texts
+    ship(sections.sparkSession)
+    small_batches(sections.sparkSession)
+    texts = texts.withColumn("plain", plain.whole_facts(plain.only(F.col("all_text"))))
+    # lines add up: the paragraphs' words are all but those of titles
+    return texts.withColumn("words", F.coalesce("plain.words", T.word_count(F.col("all_text"))) - F.col("titled")).drop("titled")
 
 
 def padded_words(hay: Column) -> Column:
@@ -80,13 +90,10 @@ def scope_checks() -> list[Column]:
     """I-01."""
     n = F.size("scope_keywords")
     none = _check("Scope fit", "scope.match", F.lit(1.0), 0.0, F.lit("info"), F.lit(None))
-
-    def made(matched: Column) -> Column:
-        score = F.least(F.lit(1.0), F.coalesce(F.try_divide(matched, F.least(n, F.lit(12))), F.lit(0.0)) * 2)
-        severity = F.when(score >= 0.67, "ok").when(score >= 0.34, "minor").otherwise("major")
-        return F.when(n == 0, none).otherwise(_check("Scope fit", "scope.match", score, 3.0, severity, matched))
-
-    return [_once(F.size(whole_words(F.col("scope_keywords"), F.col("padded"))), made)]
+    matched = F.col("matched")
+    score = F.least(F.lit(1.0), F.coalesce(F.try_divide(matched, F.least(n, F.lit(12))), F.lit(0.0)) * 2)
+    severity = F.when(score >= 0.67, "ok").when(score >= 0.34, "minor").otherwise("major")
+    return [F.when(n == 0, none).otherwise(_check("Scope fit", "scope.match", score, 3.0, severity, matched))]
 
 
 def _once(value: Column, f) -> Column:
@@ -191,6 +198,12 @@ def reproducibility_checks() -> list[Column]:
     ]
 
 
+def _written(words: Column, sentences: Column, total: Column, long: Column, hedges: Column) -> Column:
+    """Struct of writing facts out of counts: all words, sentences of three words or more, the words of these, those of more than 40, hedges."""
+    per_1000 = hedges / F.greatest(F.lit(1.0), words / 1000)
+    return F.struct(sentences.alias("sentences"), F.try_divide(total, sentences).alias("mean_words"), F.try_divide(long, sentences).alias("long_share"), per_1000.alias("hedges_per_1000"))
+
+
 def writing_facts(text: Column, folded: Column | None = None) -> Column:
     """Struct sentences, mean_words, long_share, hedges_per_1000 of a text; only sentences of three words or more count."""
     # a sentence ends with a word that ends with . ! or ?: each word becomes one letter, with that mark behind it
@@ -200,10 +213,7 @@ def writing_facts(text: Column, folded: Column | None = None) -> Column:
     hedges = F.regexp_count(T.lowered(text) if folded is None else folded, T.rx(T.lowered_pattern(P.HEDGE)))
 
     def made(counts: Column) -> Column:
-        per_1000 = hedges / F.greatest(F.lit(1.0), total(counts) / 1000)
-        return _once(F.filter(counts, lambda n: n > 2), lambda lengths: F.struct(
-            F.size(lengths).cast("long").alias("sentences"), F.try_divide(total(lengths), F.size(lengths)).alias("mean_words"), F.try_divide(F.size(F.filter(lengths, lambda x: x > 40)), F.size(lengths)).alias("long_share"), per_1000.alias("hedges_per_1000"),
-        ))
+        return _once(F.filter(counts, lambda n: n > 2), lambda lengths: _written(total(counts), F.size(lengths).cast("long"), total(lengths), F.size(F.filter(lengths, lambda x: x > 40)), hedges))
 
     return _once(counts, made)
 
@@ -229,14 +239,21 @@ def review_facts(corpus: dict[str, DataFrame], as_of_year: int) -> DataFrame:
         F.count("*").alias("refs"), F.count("year").alias("dated"), F.count_if(as_of_year - F.col("year") <= 5).alias("recent"),
         F.count_if(F.coalesce("doi", F.lit("")) != "").alias("with_doi"), F.count_if(F.col("confidence") < 0.6).alias("low_refs"),
     )
-    whole = corpus_texts(corpus["sections"], corpus["blocks"], structure=True)
-    facts = front_facts(corpus["manuscripts"].join(whole, "ms_id", "left")).join(refs, "ms_id", "left").withColumn("folded", T.lowered(F.coalesce("all_text", F.lit(""))))
-    abstract, whole, folded = T.stripped(F.coalesce("abstract_raw", F.lit(""))), F.coalesce("all_text", F.lit("")), F.col("folded")
+    whole, text, known = corpus_texts(corpus["sections"], corpus["blocks"], structure=True), F.col("all_text"), F.col("plain")
+    said = _written(known["words"], known["sentences"], known["total"], known["long"], known["hedges"])
+    whole = whole.withColumns({"writing": F.when(known.isNotNull(), said).otherwise(writing_facts(text)), "signals": F.coalesce(known["signals"], signals(text))}).drop("all_text", "plain")
+    nothing = writing_facts(F.lit(""))  # a manuscript without any section or paragraph
+    facts = front_facts(corpus["manuscripts"].join(whole, "ms_id", "left")).join(refs, "ms_id", "left").withColumns({"writing": F.coalesce("writing", nothing), "signals": F.coalesce("signals", F.lit(0))})
+    abstract, known = F.col("abstract"), F.col("plain")
+    facts = facts.withColumn("abstract", T.stripped(F.coalesce("abstract_raw", F.lit("")))).withColumn("front", F.concat_ws(" ", "title", abstract, "introduction"))
+    facts = facts.withColumn("plain", plain.abstract_facts(plain.only(abstract, F.col("front")), plain.only(F.col("front"))))
+    math = F.coalesce("abstract_has_math", F.lit(False))
+    said = F.struct(known["n"].alias("n"), known["missing"].alias("missing"), known["quantities"].alias("quantities"), (known["foreign"] | math).alias("foreign"), known["novel"].alias("novel"))
     read = {
-        "abstract_facts": _once(abstract, lambda a: F.when(a != "", abstract_facts(a))), "writing": writing_facts(whole, folded), "signals": signals(whole, folded),
+        "abstract_facts": F.when(abstract != "", F.when(known.isNotNull(), said).otherwise(abstract_facts(abstract))),
         "title_words": T.word_count(T.stripped(F.coalesce("title", F.lit("")))), "padded": padded_words(F.concat_ws(" ", "title", F.array_join("keywords", " "), "abstract_raw")),
     }
-    return facts.withColumns(read).drop("all_text", "introduction", "abstract_raw", "folded")
+    return facts.withColumns(read).drop("introduction", "abstract_raw", "abstract", "front", "plain")
 
 
 def float_facts(figures: DataFrame, tables: DataFrame, profiles: DataFrame, manuscripts: DataFrame) -> DataFrame:
@@ -257,8 +274,11 @@ def checks(facts: DataFrame, floats: DataFrame, profiles: DataFrame) -> DataFram
     own = floats.groupBy("ms_id").agg(F.collect_list(F.struct(*[c for c in floats.columns if c != "ms_id"])).alias("floats"))
     both = facts.join(own, "ms_id", "left").crossJoin(F.broadcast(profiles))
     both = both.withColumn("floats", T.at(F.filter("floats", lambda f: f["profile_id"] == F.col("profile_id")), 1)).select("*", *[F.col("floats")[c].alias(c) for c in floats.columns if c not in ("ms_id", "profile_id")])
+    both = both.withColumn("matched", F.size(whole_words(F.col("scope_keywords"), F.col("padded"))))
     every = scope_checks() + structure_checks() + abstract_checks() + reference_checks() + figure_checks() + reproducibility_checks() + writing_checks()
-    return both.select("ms_id", "profile_id", F.posexplode(F.array(*every)).alias("seq", "c")).where("c IS NOT NULL").select("ms_id", "profile_id", "seq", "c.*")
+    # made before the generator, which would interpret each check; outer, or a test that the array has elements makes all of them once more
+    made = both.select("ms_id", "profile_id", F.array(*every).alias("checks"))
+    return made.select("ms_id", "profile_id", F.posexplode_outer("checks").alias("seq", "c")).where("c IS NOT NULL").select("ms_id", "profile_id", "seq", "c.*")
 
 
 def category_scores(found: DataFrame) -> DataFrame:

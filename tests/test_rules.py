@@ -2,10 +2,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions import patterns as P
+from scriptorium.functions import plain
 from scriptorium.functions import text as T
 from scriptorium.operators import audit, compliance, review
 from scriptorium.plans import adapters as X
 from scriptorium.plans import catalog
+from scriptorium.session import ship
 
 MS = "ms_id int, title string, abstract_raw string, keywords array<string>, highlights array<string>, abstract_paragraphs int, abstract_has_math boolean"
 
@@ -201,3 +203,44 @@ def test_structure_comes_from_the_pass_over_the_texts(spark, sf_dir):
     for name in READ_ONCE:
         plan = catalog.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
         assert plan.count("Generate posexplode(split") == 2
+
+
+def test_plain_texts_have_the_facts_of_all_texts(spark):
+    """Arrow's patterns and the bytes of words, against the expressions; texts beyond ASCII are left to those."""
+    more = [f"{lead}{text}{tail}" for text in SENTENCES if text for lead, tail in (("", ""), ("\x0bNo\x0b", " yet. "), ("no a\rb study! ", "\r\nno x. study?"), ("5 kg6kg 5%6% 7\x0bkW, 3.5 Hz", " (Li et al., 2001) [3]Fig. 2"), ("a\x1fb c. ", "\x1c. d e f." + " w" * 41))]
+    rows = spark.createDataFrame([(t,) for t in [*SENTENCES, *more]], "t string").repartition(3).withColumns({"title": F.lit("For the first time"), "introduction": F.concat(F.lit("No. "), F.reverse("t")), "abstract_has_math": F.lit(None).cast("boolean")})
+    ship(spark)
+    front = F.concat_ws(" ", "title", "t", "introduction")
+    rows = rows.withColumns({"w": plain.whole_facts(plain.only(F.col("t"))), "a": plain.abstract_facts(plain.only(F.col("t"), front), plain.only(front))})
+    one = rows.select("t", "w", "a", T.word_count(F.col("t")).alias("words"), review.writing_facts(F.col("t")).alias("f"), review.signals(F.col("t")).alias("s"), review.abstract_facts(F.col("t")).alias("b")).collect()
+    seen = [r for r in one if r.w is not None]
+    assert {r.t for r in one if r.w is None} == {t for t in [*SENTENCES, *more] if t is None or not t.isascii()}
+    for r in seen:
+        assert (r.w.words, r.w.sentences, r.w.signals) == (r.words, r.f.sentences, r.s), r.t
+        assert r.w.hedges / max(1.0, r.w.words / 1000) == r.f.hedges_per_1000 and (r.w.total, r.w.long) == (round((r.f.mean_words or 0) * r.w.sentences), round((r.f.long_share or 0) * r.w.sentences)), r.t
+        assert r.a == r.b, r.t
+    assert len(seen) > 150 and max(r.a.quantities for r in seen) >= 4 and {r.a.foreign for r in seen} == {True, False} and max(r.a.novel for r in seen) >= 2 and min(r.a.missing for r in seen) < 4
+
+
+def test_texts_of_the_checks_are_read_by_arrow(spark, sf_dir):
+    """The checks' patterns run over all of a text in Arrow, once; only texts beyond ASCII meet the expressions."""
+    for name in READ_ONCE:
+        made = catalog.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert made.count("ArrowEvalPython") == 2
+    corpus = X.corpus(spark, sf_dir)
+    odd = lambda c: F.concat(c, F.when(F.col("ms_id") % 2 == 0, " é").otherwise(""))
+    corpus |= {"blocks": corpus["blocks"].withColumn("text", odd("text")), "manuscripts": corpus["manuscripts"].withColumn("abstract_raw", odd("abstract_raw"))}
+    facts = review.review_facts(corpus, 2000).select("ms_id", "words", "writing", "signals", "abstract_facts", "title_words")
+    texts = review.corpus_text(corpus["sections"], corpus["blocks"]).join(review.section_text(corpus["sections"], corpus["blocks"], "introduction").withColumnRenamed("text", "introduction"), "ms_id", "left").join(corpus["manuscripts"], "ms_id")
+    abstract = T.stripped(F.col("abstract_raw"))
+    words = corpus["blocks"].groupBy("ms_id").agg(F.sum(T.word_count(F.col("text"))).alias("words"))
+    expected = texts.join(words, "ms_id").select("ms_id", "words", review.writing_facts(F.col("all_text")).alias("writing"), review.signals(F.col("all_text")).alias("signals"), F.when(abstract != "", review.abstract_facts(abstract)).alias("abstract_facts"), T.word_count(T.stripped(F.col("title"))).alias("title_words"))
+    assert facts.exceptAll(expected).isEmpty() and expected.exceptAll(facts).isEmpty()
+
+
+@pytest.mark.parametrize("name", READ_ONCE)
+def test_checks_are_compiled(spark, sf_dir, name):
+    """What a generator or a lambda holds is interpreted, so all checks are made before their rows are."""
+    plan = catalog.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    made = [line for line in plan.splitlines() if "scope.match" in line]
+    assert "Generate posexplode(checks" in plan and len(made) == 1 and "Project" in made[0] and "lambda" not in made[0]
