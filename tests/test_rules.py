@@ -242,5 +242,5 @@ def test_texts_of_the_checks_are_read_by_arrow(spark, sf_dir):
 def test_checks_are_compiled(spark, sf_dir, name):
     """What a generator or a lambda holds is interpreted, so all checks are made before their rows are."""
     plan = catalog.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
-    made = [line for line in plan.splitlines() if "scope.match" in line]
+    made = [line for line in plan.splitlines() if " AS checks#" in line]
     assert "Generate posexplode(checks" in plan and len(made) == 1 and "Project" in made[0] and "lambda" not in made[0]
