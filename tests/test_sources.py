@@ -1,11 +1,14 @@
 import io
 import json
+import math
 import struct
 import zipfile
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
-from scriptorium.operators import floats, learn
+from scriptorium.operators import floats, grams, learn
 from scriptorium.sources import docx, files
 from scriptorium.streaming import corrections
 
@@ -150,3 +153,36 @@ def test_examples_of_one_class_are_in_many_tasks(spark, monkeypatch):
     learn.train(rows, "is_heading", 2.0)
     assert seen["weights"] == {(True, 2.0), (False, 400 / 600)} and "Window" not in seen["plan"]
     assert len(seen["tasks"]) >= 4 and sum(seen["tasks"]) == 400 and max(seen["tasks"]) <= 200
+
+
+def test_grams_of_whole_texts(spark, monkeypatch):
+    def counts(text):
+        words = [f" {w} " for w in text.lower().split()]
+        return Counter(w[i : i + n] for w in words for n in (2, 3, 4) for i in range(len(w) - n + 1))
+
+    texts = ["Wind and water", "wind  WIND\twind", "", "a", "\U0001f600\U0001f601 und été", "x" * 50 + " end", "\x00a \x00"]
+    found = [counts(t) for t in texts]
+    total, documents = sum(found, Counter()), Counter(g for c in found for g in c)
+    monkeypatch.setattr(grams, "LETTERS", 20)
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    model = grams.Grams(10_000).fit(rows)
+    assert len(model.getOrDefault("vocabulary")) == len(total)
+    vectors = [r.tfidf for r in model.transform(rows).orderBy("id").collect()]
+    for c, v in zip(found, vectors):
+        values = {g: (1 + math.log(n)) * (math.log((1 + len(texts)) / (1 + documents[g])) + 1) for g, n in c.items()}
+        norm = math.sqrt(sum(x * x for x in values.values()))
+        assert sorted(v.values) == pytest.approx(sorted(x / norm for x in values.values()))
+    few = grams.Grams(5).fit(rows)
+    kept = {(int(n), int(d)) for n, d in zip(*grams_counts(rows, few))}
+    assert min(n for n, _ in kept) >= sorted(total.values(), reverse=True)[4]
+
+
+def grams_counts(rows, model):
+    tallied = {r.gram: r for r in rows.select(grams.spaced(F.col("text")).alias("text")).mapInArrow(grams._tallied, "gram long, n long, texts long").groupBy("gram").sum("n", "texts").collect()}
+    kept = [tallied[g] for g in model.getOrDefault("vocabulary")]
+    return [r["sum(n)"] for r in kept], [r["sum(texts)"] for r in kept]
+
+
+def test_two_classes_train_one_vector(spark):
+    rows = spark.createDataFrame([(f"Title {i}", True, "") for i in range(8)] + [(f"a sentence of some length, number {i}.", False, "") for i in range(8)], files.EXAMPLES)
+    assert learn.train(rows, "is_heading", 2.0).stages[-1].coefficientMatrix.numRows == 1
